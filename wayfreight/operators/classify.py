@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfreight import rules
+from wayfreight.functions.rows import keep_if
 from wayfreight.functions.text import base_name, contains_any, count_literal
 from wayfreight.operators.deps import packages
 
@@ -18,34 +19,57 @@ def _flag(test: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def with_python_flags(files: DataFrame, strict: bool = False) -> DataFrame:
-    """UI, API, UDF and procedure flags of readable Python files, and the type they lead to.
+def with_gates(files: DataFrame) -> DataFrame:
+    """Shared parts of the Python literals, each looked for once per file.
+
+    Every literal below holds one of these parts, so a file without the part cannot hold the literal.
+    Most files hold none and are scanned a handful of times instead of once per literal.
+    """
+    python = F.col("kind") == "python"
+    return files.withColumns(
+        {gate: _flag(python & F.col("content").contains(part)) for gate, part in rules.GATES.items()}
+    )
+
+
+def with_python_flags(gated: DataFrame, strict: bool = False) -> DataFrame:
+    """UI, API, UDF and procedure flags of readable Python files, after :func:`with_gates`.
 
     ``st.`` counts wherever it stands, inside words too; ``strict=True`` asks for a word boundary.
     """
     content = F.col("content")
-    if strict:
-        plain = tuple(m for m in rules.UI_MARKERS if m != "st.")
-        ui = contains_any(content, plain) | content.rlike(r"\bst\.")
-    else:
-        ui = contains_any(content, rules.UI_MARKERS)
     python = F.col("kind") == "python"
-    return files.withColumns(
+    named = tuple(m for m in rules.UI_MARKERS if m != rules.UI_BARE)
+    bare = content.rlike(r"\bst\.") if strict else content.contains(rules.UI_BARE)
+    decorators = tuple(m for m in rules.API_MARKERS if m.startswith("@"))
+    imports = tuple(m for m in rules.API_MARKERS if not m.startswith("@"))
+    at = F.col("has_at")
+    return gated.withColumns(
         {
-            "is_ui": _flag(python & ui),
-            "is_api": _flag(python & contains_any(content, rules.API_MARKERS)),
-            "py_udf": _flag(python & content.contains(rules.UDF_MARKER)),
-            "py_procedure": _flag(python & content.contains(rules.PROCEDURE_MARKER)),
+            "is_ui": _flag(python & ((F.col("has_streamlit") & contains_any(content, named)) | bare)),
+            "is_api": _flag(python & ((at & contains_any(content, decorators)) | contains_any(content, imports))),
+            "py_udf": _flag(at & content.contains(rules.UDF_MARKER)),
+            "py_procedure": _flag(at & content.contains(rules.PROCEDURE_MARKER)),
         }
     )
 
 
+def constructs(upper: Column) -> Column:
+    """Flagged constructs in upper-cased SQL, in a fixed order (array<string>)."""
+    return F.array_compact(
+        F.array(*[F.when(upper.contains(text), label) for label, text in rules.SQL_CONSTRUCTS])
+    )
+
+
+def sql_feature_flags(files: DataFrame) -> DataFrame:
+    """One row per file and flagged construct."""
+    return files.filter((F.col("kind") == "sql") & F.col("readable")).withColumn("upper", F.upper("content")).select(
+        "app_id", "path", F.explode(constructs(F.col("upper"))).alias("construct")
+    )
+
+
 def with_sql_flags(files: DataFrame) -> DataFrame:
     """Object and construct flags of readable SQL files, from one upper-cased copy of the text."""
     upper = F.col("upper")
-    constructs = F.array_compact(
-        F.array(*[F.when(upper.contains(text), label) for label, text in rules.SQL_CONSTRUCTS])
-    )
     return (
         files.withColumn("upper", F.when(F.col("kind") == "sql", F.upper("content")))
         .withColumns(
@@ -53,7 +77,7 @@ def with_sql_flags(files: DataFrame) -> DataFrame:
                 "sql_procedure": _flag(contains_any(upper, rules.SQL_PROCEDURE_MARKERS)),
                 "sql_udf": _flag(contains_any(upper, rules.SQL_FUNCTION_MARKERS)),
                 "is_view": _flag(contains_any(upper, rules.SQL_VIEW_MARKERS)),
-                "constructs": constructs,
+                "constructs": constructs(upper),
             }
         )
         .drop("upper")
@@ -94,12 +118,16 @@ def sql_complexity() -> Column:
     )
 
 
-def with_usage(files: DataFrame) -> DataFrame:
+def with_usage(gated: DataFrame) -> DataFrame:
     """Number of uses of each platform-API feature, as columns: no join with a pattern table."""
-    python = F.col("kind") == "python"
-    return files.withColumns(
+
+    def gate_of(literal: str) -> str:
+        return next(gate for gate, part in rules.GATES.items() if part in literal)
+
+    none = F.lit(0).cast("bigint")
+    return gated.withColumns(
         {
-            column: F.coalesce(F.when(python, count_literal(F.col("content"), literal)), F.lit(0).cast("bigint"))
+            column: F.when(F.col(gate_of(literal)), count_literal(F.col("content"), literal)).otherwise(none)
             for _, literal, column in rules.API_FEATURES
         }
     )
@@ -110,7 +138,7 @@ def file_facts(files: DataFrame, strict: bool = False, keep_content: bool = Fals
     component = F.col("readable") & F.col("kind").isin("python", "sql")
     python = F.col("kind") == "python"
     facts = (
-        with_usage(with_sql_flags(with_python_flags(files, strict)))
+        with_usage(with_sql_flags(with_python_flags(with_gates(files), strict)))
         .withColumns(
             {
                 "name": base_name(F.col("path")),
@@ -124,6 +152,7 @@ def file_facts(files: DataFrame, strict: bool = False, keep_content: bool = Fals
             }
         )
     )
+    facts = facts.drop(*rules.GATES)
     return facts if keep_content else facts.drop("content")
 
 
@@ -164,13 +193,15 @@ def notes() -> Column:
 
 def udf_inventory(files: DataFrame) -> DataFrame:
     """Files that define UDFs or procedures, in Python or SQL, and how many decorators they hold."""
-    facts = file_facts(files)
-    return facts.filter(F.col("is_udf") | F.col("is_procedure")).select(
-        "app_id",
-        "path",
-        F.col("kind").alias("language"),
-        "is_udf",
-        "is_procedure",
-        F.col("n_udf").alias("udf_decorators"),
-        F.col("n_sproc").alias("procedure_decorators"),
+    return keep_if(
+        file_facts(files),
+        F.col("is_udf") | F.col("is_procedure"),
+        derived=[
+            F.col("kind").alias("language"),
+            F.col("is_udf"),
+            F.col("is_procedure"),
+            F.col("n_udf").alias("udf_decorators"),
+            F.col("n_sproc").alias("procedure_decorators"),
+        ],
+        through=["app_id", "path"],
     )

@@ -43,13 +43,14 @@ def requirements_parse(files: DataFrame) -> DataFrame:
     return line_filter(files).select("app_id", "path", "line_no", package_name(F.col("line")).alias("package"))
 
 
-def dependency_set(facts: DataFrame) -> DataFrame:
+def dependency_set(files: DataFrame) -> DataFrame:
     """Distinct packages per application, one row each.
 
     Kept long on purpose: the partial distinct runs before the shuffle on (app_id, package), so no
     task ever holds all packages of one application.
     """
-    return facts.select("app_id", F.explode("packages").alias("package")).distinct()
+    lists = files.filter((F.col("kind") == "requirements") & F.col("readable"))
+    return lists.select("app_id", F.explode(packages(F.col("content"))).alias("package")).distinct()
 
 
 def dependency_drop(dependencies: DataFrame) -> DataFrame:

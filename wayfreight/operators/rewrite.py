@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfreight import rules
-from wayfreight.functions.text import count_literal, first_lines, swap
+from wayfreight.functions.rows import keep_if
+from wayfreight.functions.text import contains_any, count_literal, first_lines, swap
+from wayfreight.operators.classify import file_facts
 
 PYTHON_TYPES = ("python", "api")
 WRITTEN_TYPES = ("streamlit", "python", "api", "sql")
@@ -52,6 +54,17 @@ def target_path() -> Column:
     return F.when(~F.col("is_empty"), placed)
 
 
+def with_target(facts: DataFrame, *through: str) -> DataFrame:
+    """Components that have a target, with type and target; other files give no row."""
+    target = target_path()
+    return keep_if(
+        facts,
+        target.isNotNull(),
+        derived=[F.col("type"), target.alias("target_path")],
+        through=["app_id", "path", *through],
+    )
+
+
 def target_collisions(facts: DataFrame) -> DataFrame:
     """One row per target: how many sources claim it and which one wins (the highest path).
 
@@ -59,9 +72,7 @@ def target_collisions(facts: DataFrame) -> DataFrame:
     application still shuffles one row per map task.
     """
     return (
-        facts.filter("is_component")
-        .withColumn("target_path", target_path())
-        .filter(F.col("target_path").isNotNull())
+        with_target(facts)
         .groupBy("app_id", "target_path")
         .agg(F.max("path").alias("path"), F.count("*").alias("sources"))
     )
@@ -90,8 +101,12 @@ def target_paths(facts: DataFrame) -> DataFrame:
 
 def skip_empty(facts: DataFrame) -> DataFrame:
     """Components of a written type, marked by whether they have any text to convert."""
-    return facts.filter(F.col("is_component") & F.col("type").isin(*WRITTEN_TYPES)).select(
-        "app_id", "path", "type", F.when(F.col("is_empty"), "skipped_empty").otherwise("converted").alias("status")
+    status = F.when(F.col("is_empty"), "skipped_empty").otherwise("converted")
+    return keep_if(
+        facts,
+        F.col("type").isin(*WRITTEN_TYPES),
+        derived=[F.col("type"), status.alias("status")],
+        through=["app_id", "path"],
     )
 
 
@@ -107,37 +122,27 @@ def conversion_coverage(targets: DataFrame, by: str = "app_id") -> DataFrame:
     )
 
 
-def converted_text() -> Column:
-    """Rewritten text of one file by its type."""
-    content = F.col("content")
+def rewrite_targets(targets: DataFrame) -> DataFrame:
+    """Rewritten text of rows ``app_id, path, type, target_path, content``. No shuffle."""
+    kind, content = F.col("type"), F.col("content")
+    # Two projections: the helper test reads the rewritten text twice and must not rewrite it twice.
     return (
-        F.when(F.col("type") == "streamlit", with_helper(rewrite_ui(content)))
-        .when(F.col("type").isin(*PYTHON_TYPES), rewrite_py(content))
-        .when(F.col("type") == "sql", stamp_sql(F.col("path"), content))
-    )
-
-
-def convert_each(facts_with_content: DataFrame) -> DataFrame:
-    """Rewritten text of every convertible file, collisions not yet resolved. No shuffle."""
-    # The ordered replacements feed one another; a separate projection keeps the helper test from
-    # repeating all of them.
-    return (
-        facts_with_content.filter(F.col("is_component") & F.col("type").isin(*WRITTEN_TYPES) & ~F.col("is_empty"))
-        .withColumn("target_path", target_path())
-        .withColumn(
-            "content",
-            F.when(F.col("type") == "streamlit", rewrite_ui(F.col("content")))
-            .when(F.col("type").isin(*PYTHON_TYPES), rewrite_py(F.col("content")))
-            .otherwise(stamp_sql(F.col("path"), F.col("content"))),
-        )
-        .withColumn(
+        targets.withColumn(
             "content",
-            F.when(F.col("type") == "streamlit", with_helper(F.col("content"))).otherwise(F.col("content")),
+            F.when(kind == "streamlit", rewrite_ui(content))
+            .when(kind.isin(*PYTHON_TYPES), rewrite_py(content))
+            .otherwise(stamp_sql(F.col("path"), content)),
         )
+        .withColumn("content", F.when(kind == "streamlit", with_helper(content)).otherwise(content))
         .select("app_id", "path", "type", "target_path", "content")
     )
 
 
+def convert_each(facts_with_content: DataFrame) -> DataFrame:
+    """Every convertible file rewritten, before collisions are resolved."""
+    return rewrite_targets(with_target(facts_with_content, "content"))
+
+
 def converted_files(facts_with_content: DataFrame) -> DataFrame:
     """The files that are really written: one winner per target, rewritten.
 
@@ -145,16 +150,12 @@ def converted_files(facts_with_content: DataFrame) -> DataFrame:
     at most one text per target and map task crosses the network, and only winners are rewritten.
     """
     winners = (
-        facts_with_content.filter("is_component")
-        .withColumn("target_path", target_path())
-        .filter(F.col("target_path").isNotNull())
+        with_target(facts_with_content, "content")
         .groupBy("app_id", "target_path")
-        .agg(
-            F.max_by(F.struct("path", "type", "content", "is_empty", "is_component", "name"), "path").alias("w"),
-        )
-        .select("app_id", "w.*")
+        .agg(F.max_by(F.struct("path", "type", "content"), "path").alias("winner"))
+        .select("app_id", "target_path", "winner.*")
     )
-    return convert_each(winners)
+    return rewrite_targets(winners)
 
 
 def write_converted(converted: DataFrame, path: str) -> None:
@@ -166,13 +167,16 @@ def write_converted(converted: DataFrame, path: str) -> None:
     converted.hint("rebalance", "app_id").write.mode("overwrite").parquet(path)
 
 
-def rewrite_hits(facts_with_content: DataFrame) -> DataFrame:
+def rewrite_hits(files: DataFrame) -> DataFrame:
     """Replacements per application and rule, each counted on the text its rule gets to see."""
+    # Every rule needs one of these parts in the untouched text; other files cannot have a hit, so
+    # they leave the plan before anything is classified.
+    candidates = files.filter(contains_any(F.col("content"), rules.REWRITE_PARTS))
     content = F.col("content")
     ui = F.col("type") == "streamlit"
     py = F.col("type").isin(*PYTHON_TYPES) & content.contains(rules.PY_REWRITE_GUARD)
-    step = facts_with_content.filter(F.col("is_component") & (ui | py)).select(
-        "app_id", F.col("type"), "content"
+    step = file_facts(candidates, keep_content=True).filter("is_component").select(
+        "app_id", F.when(ui, "streamlit").when(py, "python").alias("type"), "content"
     )
     counted: list[tuple[str, str]] = []
     for n, (old, new) in enumerate(rules.UI_REWRITES, start=1):
@@ -181,7 +185,7 @@ def rewrite_hits(facts_with_content: DataFrame) -> DataFrame:
         step = step.withColumn(column, F.when(is_ui, count_literal(content, old)))
         step = step.withColumn("content", F.when(is_ui, swap(content, old, new)).otherwise(content))
         counted.append((f"ui: {old}", column))
-    is_py = F.col("type") != "streamlit"
+    is_py = F.col("type") == "python"
     step = step.withColumn("py_1", F.when(is_py, F.regexp_count(content, F.lit(rules.PY_IMPORT_PATTERN))))
     step = step.withColumn(
         "content",

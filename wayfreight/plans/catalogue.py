@@ -11,7 +11,7 @@ from wayfreight import rules
 from wayfreight.functions.text import contains_any
 from wayfreight.operators import appfacts, classify, deps, manifest, rewrite, sales, semi
 from wayfreight.plans import estate as plans
-from wayfreight.schemas import EVENTS
+from wayfreight.schemas import TABLES
 from wayfreight.session import shared_dir
 from wayfreight.sources import files, sample_corpus, tree
 from wayfreight.sources.tables import sales_data, table
@@ -32,9 +32,9 @@ def query(run: Query) -> Query:
 
 def sample_estate(spark: SparkSession, data_dir: str) -> plans.Estate:
     return plans.Estate(
-        files=sample_corpus.src_files(spark, data_dir),
-        manifest_files=sample_corpus.manifest_files(spark, data_dir),
-        apps=sample_corpus.apps(spark, data_dir),
+        files=lambda: sample_corpus.src_files(spark, data_dir),
+        manifest_files=lambda: sample_corpus.manifest_files(spark, data_dir),
+        apps=lambda: sample_corpus.apps(spark, data_dir),
     )
 
 
@@ -109,8 +109,8 @@ def file_preview(spark, data_dir):
 def copy_into_events(spark, data_dir):
     target, checkpoint = shared_dir(spark, "events"), shared_dir(spark, "events-checkpoint")
     for _ in range(2):  # the second run finds nothing new
-        copy_into(spark, data_dir, target, checkpoint, EVENTS, name_pattern="events.parquet")
-    return spark.read.schema(EVENTS).parquet(target)
+        copy_into(spark, data_dir, target, checkpoint, TABLES["events"], name_pattern="events.parquet")
+    return spark.read.schema(TABLES["events"]).parquet(target)
 
 
 @query
@@ -133,7 +133,7 @@ def create_frame(spark, data_dir):
 @query
 def classify_python(spark, data_dir):
     python = sample_corpus.src_files(spark, data_dir).filter("kind = 'python' AND readable")
-    return classify.with_python_flags(python).select(
+    return classify.with_python_flags(classify.with_gates(python)).select(
         "app_id", "path", classify.python_type().alias("type"), "is_ui", "is_api", "py_udf", "py_procedure"
     )
 
@@ -141,7 +141,7 @@ def classify_python(spark, data_dir):
 @query
 def classify_python_strict(spark, data_dir):
     python = sample_corpus.src_files(spark, data_dir).filter("kind = 'python' AND readable")
-    return classify.with_python_flags(python, strict=True).select(
+    return classify.with_python_flags(classify.with_gates(python), strict=True).select(
         "app_id", "path", classify.python_type().alias("type"), "is_ui"
     )
 
@@ -162,8 +162,7 @@ def classify_sql(spark, data_dir):
 
 @query
 def sql_feature_flags(spark, data_dir):
-    sql = sample_corpus.src_files(spark, data_dir).filter("kind = 'sql' AND readable")
-    return classify.with_sql_flags(sql).select("app_id", "path", F.explode("constructs").alias("construct"))
+    return classify.sql_feature_flags(sample_corpus.src_files(spark, data_dir))
 
 
 @query
@@ -205,12 +204,12 @@ def app_names(spark, data_dir):
 
 @query
 def api_usage(spark, data_dir):
-    return appfacts.api_usage(sample_estate(spark, data_dir).app_facts)
+    return appfacts.api_usage(sample_estate(spark, data_dir).active_app_facts)
 
 
 @query
 def usage_total(spark, data_dir):
-    return appfacts.usage_total(sample_estate(spark, data_dir).app_facts)
+    return appfacts.usage_total(sample_estate(spark, data_dir).active_app_facts)
 
 
 @query
@@ -285,20 +284,20 @@ def provisioning_plan(spark, data_dir):
 
 @query
 def rewrite_ui(spark, data_dir):
-    facts = sample_estate(spark, data_dir).facts_with_content
-    return rewrite.convert_each(facts.filter("type = 'streamlit'")).select("app_id", "path", "content")
+    each = rewrite.convert_each(sample_estate(spark, data_dir).facts_with_content)
+    return each.filter("type = 'streamlit'").select("app_id", "path", "content")
 
 
 @query
 def rewrite_py(spark, data_dir):
-    facts = sample_estate(spark, data_dir).facts_with_content
-    return rewrite.convert_each(facts.filter("type IN ('python', 'api')")).select("app_id", "path", "content")
+    each = rewrite.convert_each(sample_estate(spark, data_dir).facts_with_content)
+    return each.filter("type IN ('python', 'api')").select("app_id", "path", "content")
 
 
 @query
 def stamp_sql(spark, data_dir):
-    facts = sample_estate(spark, data_dir).facts_with_content
-    return rewrite.convert_each(facts.filter("type = 'sql'")).select("app_id", "path", "content")
+    each = rewrite.convert_each(sample_estate(spark, data_dir).facts_with_content)
+    return each.filter("type = 'sql'").select("app_id", "path", "content")
 
 
 @query
@@ -328,7 +327,7 @@ def coverage_by_complexity(spark, data_dir):
 
 @query
 def rewrite_hits(spark, data_dir):
-    return rewrite.rewrite_hits(sample_estate(spark, data_dir).facts_with_content)
+    return rewrite.rewrite_hits(sample_estate(spark, data_dir).files)
 
 
 # --- sales -----------------------------------------------------------------------------------------

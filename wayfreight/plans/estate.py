@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,44 +11,70 @@ from pyspark.sql import functions as F
 from wayfreight import rules
 from wayfreight.operators import appfacts, classify, deps, manifest, rewrite
 
+Source = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Estate:
-    """The input tables of one estate: decoded files, decoded manifest files and application folders."""
+    """One estate: decoded files, decoded manifest files and application folders.
 
-    files: DataFrame
-    manifest_files: DataFrame
-    apps: DataFrame
+    The inputs may be DataFrames or functions that make them; every derived table is built on first
+    use. All of it stays lazy, nothing here runs a job.
+    """
 
-    @property
-    def facts(self) -> DataFrame:
-        return classify.file_facts(self.files)
+    def __init__(self, files: Source, manifest_files: Source, apps: Source):
+        self._sources = {"files": files, "manifest_files": manifest_files, "apps": apps}
+
+    def _source(self, name: str) -> DataFrame:
+        source = self._sources[name]
+        return source() if callable(source) else source
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return self._source("files")
 
-    @property
+    @cached_property
+    def manifest_files(self) -> DataFrame:
+        return self._source("manifest_files")
+
+    @cached_property
+    def apps(self) -> DataFrame:
+        return self._source("apps")
+
+    @cached_property
     def facts_with_content(self) -> DataFrame:
         return classify.file_facts(self.files, keep_content=True)
 
-    @property
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self.facts_with_content.drop("content")
+
+    @cached_property
     def app_facts(self) -> DataFrame:
+        """Facts of every application, also of those without files."""
         return appfacts.app_facts(self.facts, self.apps)
 
-    @property
+    @cached_property
+    def active_app_facts(self) -> DataFrame:
+        """Facts of applications that have files; no join with the application list."""
+        return appfacts.app_facts(self.facts)
+
+    @cached_property
     def dependencies(self) -> DataFrame:
-        return deps.dependency_set(self.facts)
+        return deps.dependency_set(self.files)
 
-    @property
+    @cached_property
     def manifests(self) -> DataFrame:
         return manifest.parse_manifests(self.manifest_files)
 
-    @property
+    @cached_property
     def catalog(self) -> DataFrame:
         return manifest.manifest_catalog(self.apps, self.manifests)
 
-    @property
+    @cached_property
     def privileges(self) -> DataFrame:
         return manifest.manifest_privileges(self.manifests)
 
-    @property
+    @cached_property
     def targets(self) -> DataFrame:
         return rewrite.target_paths(self.facts)
 

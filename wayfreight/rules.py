@@ -9,6 +9,7 @@ from __future__ import annotations
 # --- fixed values: text that marks a Python file -----------------------------------------------
 UI_MARKERS = ("import streamlit", "from streamlit", "st.", "streamlit_app")
 API_MARKERS = ("from flask", "from fastapi", "@app.route", "@app.get", "@app.post")
+UI_BARE = "st."
 UDF_MARKER = "@udf"
 PROCEDURE_MARKER = "@sproc"
 
@@ -23,6 +24,9 @@ API_FEATURES = (
     ("@sproc", "@sproc", "n_sproc"),
 )
 
+# Parts shared by the literals above, by flag column; every feature literal holds exactly one of them.
+GATES = {"has_at": "@", "has_session": "session.", "has_snowpark": "snowflake.snowpark", "has_streamlit": "streamlit"}
+
 # --- fixed values: text that marks a SQL file, tested against the upper-cased text ----------------
 SQL_PROCEDURE_MARKERS = ("CREATE OR REPLACE PROCEDURE",)
 SQL_FUNCTION_MARKERS = ("CREATE OR REPLACE FUNCTION",)
@@ -68,6 +72,8 @@ PY_REWRITES = (
     ("snowpark.Session", "SparkSession"),
     ("session.", "spark."),
 )
+# Every rewrite literal holds one of these.
+REWRITE_PARTS = ("snowflake", "snowpark", "session.")
 HELPER_CALL = "sql.connect("
 HELPER_NAME = "get_db_connection"
 

@@ -7,11 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfreight.schemas import SALES_DATA
+from wayfreight.schemas import SALES_DATA, TABLES
 
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{data_dir}/{name}.parquet")
+    """A sample table under its declared schema; no footer is read to infer one."""
+    return spark.read.schema(TABLES[name]).parquet(f"{data_dir}/{name}.parquet")
 
 
 def net_revenue() -> F.Column:

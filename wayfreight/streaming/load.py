@@ -11,7 +11,7 @@ def copy_into(
     source: str,
     target: str,
     checkpoint: str,
-    schema: StructType,
+    schema: StructType | str,
     file_format: str = "parquet",
     name_pattern: str | None = None,
     files_per_batch: int = 1000,
