@@ -429,7 +429,7 @@ ORACLES: dict[str, str] = {
     FROM facts WHERE is_component AND kind = 'python'""",
     "classify_python_strict": f"""WITH {FACTS}, strict AS (
         SELECT *, contains(content, 'import streamlit') OR contains(content, 'from streamlit')
-               OR contains(content, 'streamlit_app') OR regexp_matches(content, '\\bst\\.') AS strict_ui
+               OR contains(content, 'streamlit_app') OR regexp_matches(content, '(^|[^\\p{{L}}\\p{{N}}_])st\\.') AS strict_ui
         FROM facts WHERE is_component AND kind = 'python'
     )
     SELECT app_id, path, CASE WHEN type IN ('streamlit', 'python') THEN CASE WHEN strict_ui THEN 'streamlit' ELSE 'python' END

@@ -1,8 +1,8 @@
-"""Revenue category and forecast, as a column function and as SQL functions."""
+"""Revenue category and forecast, as a column function and in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HIGH_ABOVE = 100000
@@ -16,11 +16,8 @@ def categorize_revenue(revenue: Column) -> Column:
     )
 
 
-def register_sql_functions(spark: SparkSession, sales_view: str = "sales_data") -> None:
-    """Make ``categorize_revenue(x)`` and ``calculate_sales_forecast(year, regions)`` callable in SQL.
-
-    Both are SQL functions, so Catalyst inlines them; no Python runs. ``sales_view`` must exist.
-    """
+def register_sql_functions(spark: SparkSession) -> None:
+    """Make ``categorize_revenue(x)`` callable in SQL: a SQL function, which Catalyst inlines."""
     spark.sql(
         f"""
         CREATE OR REPLACE TEMPORARY FUNCTION categorize_revenue(revenue DOUBLE) RETURNS STRING
@@ -29,30 +26,32 @@ def register_sql_functions(spark: SparkSession, sales_view: str = "sales_data")
                     ELSE 'Low' END
         """
     )
-    spark.sql(
-        f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION calculate_sales_forecast(forecast_year INT, regions STRING)
-        RETURNS DOUBLE
-        RETURN (
-            WITH yearly AS (
-                SELECT year,
-                       CAST(SUM(revenue) AS DOUBLE) AS revenue,
-                       SUM(CASE WHEN array_contains(split(regions, ','), region) THEN revenue END) AS picked
-                FROM {sales_view}
-                WHERE year >= forecast_year - 4
-                GROUP BY year
-            ), shifted AS (
-                SELECT year, revenue, CAST(NULL AS DOUBLE) AS prior, picked FROM yearly
-                UNION ALL
-                SELECT year + 1, NULL, revenue, NULL FROM yearly
-            ), paired AS (
-                SELECT year, MAX(revenue) AS revenue, MAX(prior) AS prior, MAX(picked) AS picked
-                FROM shifted GROUP BY year
-            )
-            SELECT CAST(MAX(CASE WHEN year = forecast_year - 1 THEN picked END) AS DOUBLE)
-                   * (1 + AVG(CASE WHEN year >= forecast_year - 3
-                                   THEN try_divide(revenue - prior, prior) END))
-            FROM paired
+
+
+# Each year and the year before meet in the second aggregation, see operators.sales.yearly_pairs.
+FORECAST_SQL = """
+    WITH yearly AS (
+        SELECT year,
+               CAST(SUM(revenue) AS DOUBLE) AS revenue,
+               CAST(SUM(revenue) FILTER (WHERE array_contains(split(:regions, ','), region)) AS DOUBLE) AS picked
+        FROM IDENTIFIER(:sales)
+        WHERE year >= :forecast_year - 4
+        GROUP BY year
+    ), paired AS (
+        SELECT y, MAX(current) AS revenue, MAX(before) AS prior, MAX(base) AS picked
+        FROM (
+            SELECT year AS y, revenue AS current, CAST(NULL AS DOUBLE) AS before, picked AS base FROM yearly
+            UNION ALL
+            SELECT year + 1, NULL, revenue, NULL FROM yearly
         )
-        """
+        GROUP BY y
     )
+    SELECT MAX(picked) FILTER (WHERE y = :forecast_year - 1)
+           * (1 + AVG(try_divide(revenue - prior, prior)) FILTER (WHERE y >= :forecast_year - 3)) AS forecast
+    FROM paired
+"""
+
+
+def call_sales_forecast(spark: SparkSession, forecast_year: int, regions: str, sales: str = "sales_data") -> DataFrame:
+    """The forecast procedure over a view, with bound parameters; one row, NULL when a part is missing."""
+    return spark.sql(FORECAST_SQL, args={"forecast_year": forecast_year, "regions": regions, "sales": sales})

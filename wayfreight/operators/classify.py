@@ -12,6 +12,9 @@ from wayfreight.functions.rows import keep_if
 from wayfreight.functions.text import base_name, contains_any, count_literal
 from wayfreight.operators.deps import packages
 
+# ``st.`` not preceded by a letter, digit or underscore of any script.
+STRICT_BARE = r"(^|[^\p{L}\p{N}_])st\."
+
 USAGE_COLUMNS = [column for _, _, column in rules.API_FEATURES]
 
 
@@ -39,7 +42,7 @@ def with_python_flags(gated: DataFrame, strict: bool = False) -> DataFrame:
     content = F.col("content")
     python = F.col("kind") == "python"
     named = tuple(m for m in rules.UI_MARKERS if m != rules.UI_BARE)
-    bare = content.rlike(r"\bst\.") if strict else content.contains(rules.UI_BARE)
+    bare = content.rlike(STRICT_BARE) if strict else content.contains(rules.UI_BARE)
     decorators = tuple(m for m in rules.API_MARKERS if m.startswith("@"))
     imports = tuple(m for m in rules.API_MARKERS if not m.startswith("@"))
     at = F.col("has_at")

@@ -108,15 +108,23 @@ def manifest_catalog(apps: DataFrame, manifests: DataFrame) -> DataFrame:
 def manifest_privileges(manifests: DataFrame) -> DataFrame:
     """One row per privilege entry, key and object: ``USAGE on SCHEMA: [a]`` -> USAGE, SCHEMA, a."""
     spark = manifests.sparkSession
+
+    def scalar(value: str) -> str:
+        """SQL text of a scalar; NULL for a list or mapping, which would otherwise print as JSON."""
+        return (
+            f"CASE WHEN schema_of_variant({value}) RLIKE '^(ARRAY|OBJECT)<' THEN NULL "
+            f"ELSE try_variant_get({value}, '$', 'string') END"
+        )
+
     entries = spark.sql(
-        """
+        f"""
         SELECT m.app_id,
                CAST(e.pos AS INT) + 1 AS entry_no,
-               coalesce(k.key, try_variant_get(e.value, '$', 'string')) AS entry,
+               coalesce(k.key, {scalar("e.value")}) AS entry,
                k.key AS entry_key,
                CAST(coalesce(o.pos, 0) AS INT) + 1 AS object_no,
-               coalesce(try_variant_get(o.value, '$', 'string'), try_variant_get(k.value, '$', 'string')) AS object
-        FROM {manifests} m,
+               coalesce({scalar("o.value")}, {scalar("k.value")}) AS object
+        FROM {{manifests}} m,
              LATERAL variant_explode(m.privileges) e,
              LATERAL variant_explode_outer(e.value) k,
              LATERAL variant_explode_outer(k.value) o
