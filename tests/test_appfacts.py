@@ -1,11 +1,7 @@
 from __future__ import annotations
 
-import json
-
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
-
 from wayfreight.operators import appfacts
 from wayfreight.operators.classify import USAGE_COLUMNS
 from wayfreight.plans import estate as plans
@@ -124,15 +120,6 @@ def test_apps_without_files_appear_with_zeros(make_estate):
     assert (got["empty"].score, got["empty"].app_type) == (0, "Generic")
 
 
-def test_report_sink_writes_objects_and_every_warning(sample, make_estate, spark, tmp_path):
-    estate = make_estate({("a", f"x{n}.py"): b"\xff" for n in range(30)})
-    plans.write_report(estate, str(tmp_path))
-    report = [json.loads(line) for f in (tmp_path / "report").glob("part-*") for line in f.read_text().splitlines()]
-    assert len(report) == 1 and len(report[0]) >= 11
-    assert {"code": "file_unreadable", "n": 30} in report[0]["warnings"]
-    assert spark.read.json(str(tmp_path / "warnings")).filter("code = 'file_unreadable'").count() == 30
-
-
 def test_hot_application_keeps_whole_results(spark, make_estate):
     """One application owns most files, all claiming one target; nothing is lost or capped."""
     entries = {("hot", f"d{n}/main.py"): f"import streamlit\nx{n} = session.sql(1)" for n in range(400)}

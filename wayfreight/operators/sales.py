@@ -190,18 +190,25 @@ def sales_forecast_batch(sales: DataFrame, requests: DataFrame) -> DataFrame:
     The fact is read once, into one row per (year, region). Requests meet those rows by equality on
     year and region, and the growth averages by equality on forecast year.
     """
-    by_region = sales.groupBy("year", "region").agg(F.sum("revenue").alias("revenue"))
+    by_region = sales.filter(F.col("year").isNotNull()).groupBy("year", "region").agg(F.sum("revenue").alias("revenue"))
     averages = growth_by_forecast_year(
         by_region.groupBy("year").agg(F.sum("revenue").cast("double").alias("revenue")),
         requests.select("forecast_year").distinct(),
     )
     wanted = requests.select(
         "request_id",
-        (F.col("forecast_year") - 1).alias("year"),
-        F.explode(F.array_distinct(F.split("regions", ","))).alias("region"),
+        (F.col("forecast_year") - 1).alias("base_year"),
+        F.explode(F.array_distinct(F.split("regions", ","))).alias("base_region"),
     )
+    # Null-safe equality, though neither wanted key nor ``year`` is ever NULL where it matters: plain
+    # equality would push "region is not null" into this use of ``by_region`` only, and the two uses
+    # could then not share the one aggregation of the fact.
     bases = (
-        wanted.join(by_region, ["year", "region"])
+        wanted.filter(F.col("base_year").isNotNull())
+        .join(
+            by_region,
+            F.col("base_year").eqNullSafe(F.col("year")) & F.col("base_region").eqNullSafe(F.col("region")),
+        )
         .groupBy("request_id")
         .agg(F.sum("revenue").cast("double").alias("last_year_sales"))
     )

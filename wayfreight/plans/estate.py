@@ -131,14 +131,6 @@ def analysis_report(estate: Estate) -> DataFrame:
     )
 
 
-def write_report(estate: Estate, path: str) -> None:
-    """The report as JSON objects, and beside it every single warning."""
-    analysis_report(estate).write.mode("overwrite").json(f"{path}/report")
-    appfacts.warnings(estate.facts, estate.app_facts, estate.catalog).write.mode("overwrite").json(
-        f"{path}/warnings"
-    )
-
-
 def report_as_text(report: DataFrame) -> DataFrame:
     """The report with its nested fields as sorted, joined text, for flat sinks."""
     usage = F.transform(F.map_entries("api_usage"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfreight.functions.text import swap
 from wayfreight.sources.files import decode_files
-from wayfreight.sources.tables import table
+from wayfreight.sources.tables import spread, table
 
 # Snippet texts by position; ``|`` stands for a line end.
 SNIPPETS = (
@@ -54,7 +54,7 @@ def _app_columns(doc_id: Column) -> dict[str, Column]:
 
 def raw_files(spark: SparkSession, data_dir: str) -> DataFrame:
     """``app_id, path, content binary`` for every document of the sample."""
-    docs = table(spark, data_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, data_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     d = docs.select("*", *[c.alias(n) for n, c in _app_columns(F.col("doc_id")).items()])
     k, i, doc_id = F.col("k"), F.col("i"), F.col("doc_id")
 
