@@ -29,7 +29,7 @@ FILES = DOCS + """, snippets AS (
       (3, 'requirements', '# core|pandas==2.0|  snowflake-connector-python>=3.0|streamlit||numpy<=1.26|Flask~=2.0|'),
       (4, 'python', 'import streamlit as st|import snowflake.connector|conn = snowflake.connector.connect(x)|session.sql(q)|'),
       (5, 'sql', 'CREATE OR REPLACE VIEW v AS SELECT 1;|'),
-      (6, 'python', 'from snowflake.snowpark import Session|a = session.table(1)|b = session.table(2)|c = session.create_dataframe(z)|d = session.sql(a)|e = session.sql(b)|'),
+      (6, 'python', 'from snowflake.snowpark import Session|a = session.table(1)|b = session.table(2)|c = session.create_dataframe(z)|d = session.sql(a)|e = session.sql(b)|f = session.sql(c)|'),
       (7, 'sql', 'create or replace function f() returns int;|'),
       (8, 'python', 'from snowflake.snowpark.functions import udf|@udf|def f(x): pass|'),
       (9, 'sql', 'CREATE OR REPLACE PROCEDURE p() AS x; COPY INTO t FROM @s;|'),

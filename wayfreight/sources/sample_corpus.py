@@ -24,7 +24,7 @@ SNIPPETS = (
     "import streamlit as st|import snowflake.connector|conn = snowflake.connector.connect(x)|session.sql(q)|",
     "CREATE OR REPLACE VIEW v AS SELECT 1;|",
     "from snowflake.snowpark import Session|a = session.table(1)|b = session.table(2)|"
-    "c = session.create_dataframe(z)|d = session.sql(a)|e = session.sql(b)|",
+    "c = session.create_dataframe(z)|d = session.sql(a)|e = session.sql(b)|f = session.sql(c)|",
     "create or replace function f() returns int;|",
     "from snowflake.snowpark.functions import udf|@udf|def f(x): pass|",
     "CREATE OR REPLACE PROCEDURE p() AS x; COPY INTO t FROM @s;|",
