@@ -6,6 +6,7 @@ import pytest
 import restated
 from conftest import rows
 
+from wayfreight import rules
 from wayfreight.functions.text import WHITE_SPACE
 from wayfreight.operators import classify
 from wayfreight.rules import API_FEATURES, API_MARKERS, GATES, REWRITE_PARTS, PY_REWRITES, UI_MARKERS, UI_REWRITES
@@ -45,8 +46,12 @@ def test_types_and_usage_equal_the_row_by_row_restatement(make_files, corpus):
 def test_every_literal_holds_its_gate():
     for _, literal, _ in API_FEATURES:
         assert sum(part in literal for part in GATES.values()) == 1
-    assert all("@" in m for m in API_MARKERS if m.startswith("@"))
-    assert all("streamlit" in m for m in UI_MARKERS if m != "st.")
+    for marker in UI_MARKERS:
+        assert marker == rules.UI_BARE or rules.UI_PART in marker
+    for marker in API_MARKERS:
+        assert marker.startswith("@") or rules.API_IMPORT_PART in marker
+    for marker in rules.SQL_PROCEDURE_MARKERS + rules.SQL_FUNCTION_MARKERS + rules.SQL_VIEW_MARKERS:
+        assert rules.SQL_CREATE_PART in marker
     for old, _ in UI_REWRITES + PY_REWRITES:
         assert any(part in old for part in REWRITE_PARTS)
 

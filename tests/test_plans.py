@@ -54,3 +54,10 @@ def test_forecast_scans_the_fact_once(spark):
 def test_text_is_classified_once_before_a_winner_is_picked(spark):
     text = plan(rewrite.converted_files(sample_estate(spark, DATA).facts_with_content))
     assert text.count(", @sproc)") == 1
+
+
+def test_targets_scan_the_texts_once(spark):
+    targets = sample_estate(spark, DATA).targets
+    targets.collect()
+    final = plan(targets).split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final

@@ -39,8 +39,8 @@ def app_facts(facts: DataFrame, apps: DataFrame | None = None) -> DataFrame:
         _any(F.col("is_api")).alias("has_api"),
         _any(F.col("is_procedure")).alias("has_stored_procedures"),
         _any(F.col("is_udf")).alias("has_udfs"),
-        _any(F.array_contains("packages", rules.CONNECTOR_PACKAGE)).alias("needs_connector"),
-        _any(F.array_contains("packages", rules.SNOWPARK_PACKAGE)).alias("needs_snowpark"),
+        _any(F.col("needs_connector")).alias("needs_connector"),
+        _any(F.col("needs_snowpark")).alias("needs_snowpark"),
         *[F.sum(c).alias(c) for c in USAGE_COLUMNS],
     )
     if apps is not None:

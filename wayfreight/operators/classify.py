@@ -34,6 +34,15 @@ def with_gates(files: DataFrame) -> DataFrame:
     )
 
 
+def _names(package: str) -> Column:
+    """Whether a requirements file names the package; only files that hold the text are parsed."""
+    content = F.col("content")
+    # when() rather than &: subexpression elimination looks past the short cut of an AND and would
+    # parse every file.
+    holds = (F.col("kind") == "requirements") & content.contains(package)
+    return F.when(holds, F.array_contains(packages(content), package)).otherwise(False)
+
+
 def with_python_flags(gated: DataFrame, strict: bool = False) -> DataFrame:
     """UI, API, UDF and procedure flags of readable Python files, after :func:`with_gates`.
 
@@ -48,8 +57,8 @@ def with_python_flags(gated: DataFrame, strict: bool = False) -> DataFrame:
     at = F.col("has_at")
     return gated.withColumns(
         {
-            "is_ui": _flag(python & ((F.col("has_streamlit") & contains_any(content, named)) | bare)),
-            "is_api": _flag(python & ((at & contains_any(content, decorators)) | contains_any(content, imports))),
+            "is_ui": _flag(python & (bare | (content.contains(rules.UI_PART) & contains_any(content, named)))),
+            "is_api": _flag(python & ((at & contains_any(content, decorators)) | (content.contains(rules.API_IMPORT_PART) & contains_any(content, imports)))),
             "py_udf": _flag(at & content.contains(rules.UDF_MARKER)),
             "py_procedure": _flag(at & content.contains(rules.PROCEDURE_MARKER)),
         }
@@ -73,17 +82,19 @@ def sql_feature_flags(files: DataFrame) -> DataFrame:
 def with_sql_flags(files: DataFrame) -> DataFrame:
     """Object and construct flags of readable SQL files, from one upper-cased copy of the text."""
     upper = F.col("upper")
+    create = F.col("has_create")
     return (
         files.withColumn("upper", F.when(F.col("kind") == "sql", F.upper("content")))
+        .withColumn("has_create", _flag(upper.contains(rules.SQL_CREATE_PART)))
         .withColumns(
             {
-                "sql_procedure": _flag(contains_any(upper, rules.SQL_PROCEDURE_MARKERS)),
-                "sql_udf": _flag(contains_any(upper, rules.SQL_FUNCTION_MARKERS)),
-                "is_view": _flag(contains_any(upper, rules.SQL_VIEW_MARKERS)),
+                "sql_procedure": _flag(create & contains_any(upper, rules.SQL_PROCEDURE_MARKERS)),
+                "sql_udf": _flag(create & contains_any(upper, rules.SQL_FUNCTION_MARKERS)),
+                "is_view": _flag(create & contains_any(upper, rules.SQL_VIEW_MARKERS)),
                 "constructs": constructs(upper),
             }
         )
-        .drop("upper")
+        .drop("upper", "has_create")
     )
 
 
@@ -151,7 +162,8 @@ def file_facts(files: DataFrame, strict: bool = False, keep_content: bool = Fals
                 "is_procedure": F.col("py_procedure") | F.col("sql_procedure"),
                 "type": F.when(component, F.when(python, python_type()).otherwise(sql_type())),
                 "complexity": F.when(component, F.when(python, python_complexity()).otherwise(sql_complexity())),
-                "packages": F.when(F.col("kind") == "requirements", packages(F.col("content"))),
+                "needs_connector": _names(rules.CONNECTOR_PACKAGE),
+                "needs_snowpark": _names(rules.SNOWPARK_PACKAGE),
             }
         )
     )

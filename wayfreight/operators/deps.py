@@ -11,8 +11,9 @@ from wayfreight.functions.text import strip
 
 def requirement_lines(content: Column) -> Column:
     """The lines that name a package: stripped, not blank, not a comment (array<string>)."""
-    lines = F.transform(F.split(content, "\n"), strip)
-    return F.filter(lines, lambda line: (line != "") & ~line.startswith("#"))
+    # Comments that start the line need no stripping, and files full of them are common.
+    lines = F.filter(F.split(content, "\n"), lambda line: (line != "") & ~line.startswith("#"))
+    return F.filter(F.transform(lines, strip), lambda line: (line != "") & ~line.startswith("#"))
 
 
 def package_name(line: Column) -> Column:

@@ -20,7 +20,11 @@ def yaml_to_json():
         import json
 
         import pandas as pd
-        import yaml
+
+        try:
+            import yaml
+        except ImportError:
+            return pd.DataFrame({"json": None, "error": ["YAML module missing"] * len(texts)}, dtype=object)
 
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 

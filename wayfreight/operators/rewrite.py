@@ -83,11 +83,23 @@ def target_paths(facts: DataFrame) -> DataFrame:
 
     The winners are joined back on (app_id, path), which is unique, instead of ranking inside
     (app_id, target_path), where one target may attract most of an application's files.
+
+    Both sides of that join come from one shuffle of the narrow rows, so the texts are scanned and
+    classified once. For Spark to reuse that exchange, both sides must ask the same of it: that is why
+    the winner carries the whole row and empty targets are dropped after the aggregation.
     """
-    placed = facts.filter("is_component").select(
-        "app_id", "path", "type", "complexity", "is_empty", target_path().alias("target_path")
+    row = ["path", "type", "complexity", "is_empty"]
+    placed = (
+        facts.filter("is_component AND app_id IS NOT NULL AND path IS NOT NULL")
+        .select("app_id", *row, target_path().alias("target_path"))
+        .repartition("app_id", "path")
+    )
+    winners = (
+        placed.groupBy("app_id", "target_path")
+        .agg(F.max(F.struct(*row)).alias("winner"), F.count("target_path").alias("sources"))
+        .filter(F.col("sources") > 0)
+        .select("app_id", F.col("winner.path").alias("path"), "sources")
     )
-    winners = target_collisions(facts).select("app_id", "path", "sources")
     status = (
         F.when(~F.col("type").isin(*WRITTEN_TYPES), "skipped_type")
         .when(F.col("is_empty"), "skipped_empty")
@@ -159,12 +171,13 @@ def converted_files(facts_with_content: DataFrame) -> DataFrame:
 
 
 def write_converted(converted: DataFrame, path: str) -> None:
-    """Converted files as Parquet, clustered by application in bounded files.
+    """Converted files as Parquet rows.
 
-    ``rebalance`` lets AQE split an application that is too large for one task and merge small ones,
-    which a plain ``partitionBy(app_id)`` write after hashing on it would not.
+    They come out of an aggregation on unique keys, so the partitions are even and AQE has sized
+    them already; clustering by application would shuffle all texts once more, and one folder per
+    application would give applications times tasks many small files.
     """
-    converted.hint("rebalance", "app_id").write.mode("overwrite").parquet(path)
+    converted.write.mode("overwrite").parquet(path)
 
 
 def rewrite_hits(files: DataFrame) -> DataFrame:

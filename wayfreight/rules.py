@@ -24,8 +24,11 @@ API_FEATURES = (
     ("@sproc", "@sproc", "n_sproc"),
 )
 
-# Parts shared by the literals above, by flag column; every feature literal holds exactly one of them.
-GATES = {"has_at": "@", "has_session": "session.", "has_snowpark": "snowflake.snowpark", "has_streamlit": "streamlit"}
+# Parts shared by the literals above. Every feature literal holds exactly one of the gates, by flag column.
+GATES = {"has_at": "@", "has_session": "session.", "has_snowpark": "snowflake.snowpark"}
+UI_PART = "streamlit"
+API_IMPORT_PART = "from f"
+SQL_CREATE_PART = "CREATE"
 
 # --- fixed values: text that marks a SQL file, tested against the upper-cased text ----------------
 SQL_PROCEDURE_MARKERS = ("CREATE OR REPLACE PROCEDURE",)
