@@ -6,7 +6,7 @@ from wayfreight.operators import appfacts
 from wayfreight.operators.classify import USAGE_COLUMNS
 from wayfreight.plans import estate as plans
 
-# An app shaped like the reference's sample: one dashboard, one set-up script, a full manifest.
+# A small application with known facts: one dashboard, one set-up script, a full manifest.
 DASHBOARD = """import streamlit as st
 import snowflake.connector
 from snowflake.snowpark import Session

@@ -78,3 +78,22 @@ def test_a_hot_application_is_listed_by_folder(spark, tmp_path):
     root = tmp_path / "estate"
     build(root, {f"hot/d{n}/f{m}.py": b"x" for n in range(60) for m in range(5)} | {"cold/f.py": b"y"})
     assert rows(tree.stage_listing(tree.list_tree(spark, str(root)))) == [("cold", 1, 1), ("hot", 300, 300)]
+
+
+def test_listing_through_a_uri_equals_the_local_walk(tmp_path):
+    """The branch for object stores, driven over a file URI."""
+    import pyarrow as pa
+
+    build(tmp_path, {"app one/x y.py": b"abc", "app one/sub/.q.sql": b""})
+    folders = pa.RecordBatch.from_pydict({"app_id": ["", "app one", "app one"], "path": ["", "", "sub"]})
+
+    def listed(root):
+        found = [row for batch in tree._list_folders(root)([folders]) for row in batch.to_pylist()]
+        return sorted((r["app_id"], r["path"], r["is_dir"], r["size"]) for r in found)
+
+    assert listed(tmp_path.as_uri()) == listed(str(tmp_path)) == [
+        ("app one", "", True, None),
+        ("app one", "sub", True, None),
+        ("app one", "sub/.q.sql", False, 0),
+        ("app one", "x y.py", False, 3),
+    ]

@@ -24,10 +24,12 @@ READ_BATCH_BYTES = 16 << 20
 LISTING_TASKS_PER_CORE = 4
 
 
-def _local_root(root: str) -> str:
-    """``file:/x`` and ``file:///x`` as plain paths; other roots unchanged."""
+def _plain_root(root: str) -> str:
+    """The root as pyarrow takes it: ``file:`` URIs as plain paths, Hadoop's ``s3a`` as ``s3``."""
     if root.startswith("file:"):
         return "/" + root[len("file:"):].lstrip("/")
+    if root.startswith("s3a://"):
+        root = "s3://" + root[len("s3a://"):]
     return root.rstrip("/")
 
 
@@ -38,6 +40,7 @@ def _list_folders(root: str):
         import os
 
         import pyarrow as pa
+        from pyarrow import fs
 
         schema = pa.schema(
             [("app_id", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("mtime", pa.float64())]
@@ -57,19 +60,19 @@ def _list_folders(root: str):
                         yield e.name, False, None, None
 
         def remote(folder):
-            from pyarrow import fs
-
-            where, base = fs.FileSystem.from_uri(folder)
-            for info in where.get_file_info(fs.FileSelector(base)):
+            for info in where.get_file_info(fs.FileSelector(folder)):
                 is_dir = info.type == fs.FileType.Directory
                 mtime = None if info.mtime is None else info.mtime.timestamp()
                 yield info.base_name, is_dir, None if is_dir else info.size, mtime
 
-        children = remote if "://" in root else local
+        base, children = root, local
+        if "://" in root:
+            where, base = fs.FileSystem.from_uri(root)
+            children = remote
 
         def rows(batch):
             for app_id, path in zip(batch["app_id"].to_pylist(), batch["path"].to_pylist()):
-                folder = "/".join(p for p in (root, app_id, path) if p)
+                folder = "/".join(p for p in (base, app_id, path) if p)
                 for name, is_dir, size, mtime in children(folder):
                     if not app_id:
                         # Children of the root are the applications; loose files there belong to none.
@@ -102,7 +105,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     Each depth is written to the shared folder before the next one starts, so a lost executor costs
     at most the depth in progress and the result is a plain table. The loop runs once per depth.
     """
-    root = _local_root(root)
+    root = _plain_root(root)
     work = shared_dir(spark, "tree")
     folders = spark.range(1).select(F.lit("").alias("app_id"), F.lit("").alias("path"))
     count, depth = 1, 0
@@ -181,7 +184,7 @@ def read_tree(spark: SparkSession, root: str, listing: DataFrame | None = None)
     chosen = estate_scan(listing)
     total = chosen.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // READ_TASK_BYTES))
-    return chosen.select("app_id", "path").repartition(tasks).mapInArrow(_read_files(_local_root(root)), RAW_FILES)
+    return chosen.select("app_id", "path").repartition(tasks).mapInArrow(_read_files(_plain_root(root)), RAW_FILES)
 
 
 def _write_files(root: str):
@@ -223,5 +226,5 @@ def _write_files(root: str):
 def write_tree(files: DataFrame, root: str) -> int:
     """Write ``app_id, path, content`` rows as files below ``root``; returns how many."""
     rows = files.select("app_id", "path", F.col("content").cast("binary").alias("content"))
-    written = rows.mapInArrow(_write_files(_local_root(root)), "written bigint")
+    written = rows.mapInArrow(_write_files(_plain_root(root)), "written bigint")
     return written.agg(F.coalesce(F.sum("written"), F.lit(0)).alias("n")).first()["n"]
