@@ -64,7 +64,7 @@ def sales_data(
     lines = table(spark, data_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
     # Both sides are facts. The hint keeps the planner from broadcasting one of them because its
     # compressed, pruned size looks small.
-    fact = spread(lines, "l_orderkey").hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    fact = lines.hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "product_name" in wanted:
         part = table(spark, data_dir, "part")
         fact = fact.join(part, fact.l_partkey == part.p_partkey)
