@@ -25,12 +25,30 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "way
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder name that every executor can reach.
+    """A fresh folder name that every executor can reach, with its file system spelled out.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is unset
-    (single-machine runs) does a temporary folder stand in for it.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a single-machine session may
+    go without it: a temporary folder stands in there, and anywhere else the job stops, because each
+    executor would write to its own disk. A name without a scheme is on Hadoop's default file system,
+    as it is for Spark's own readers and writers.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="wayfreight-")
-    return f"{base.rstrip('/')}/wayfreight/{purpose}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='wayfreight-')}"
+    return f"{qualified(spark, base)}/wayfreight/{purpose}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI of the file system that Hadoop takes it to be on."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    on = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return on.makeQualified(hadoop).toString().rstrip("/")
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``shared_dir`` named, once nothing reads it any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
