@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfreight.llm import bpe, exact_dedup
+from wayfreight.llm import bpe, exact_dedup, pii, warc
 from wayfreight.llm.common import source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,34 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.bpe_round_trip(source(spark, sf_dir, "documents"))
 
 
+@query
+def op6_pii(spark, sf_dir):
+    return pii.find_pii(source(spark, sf_dir, "documents"))
+
+
+@query
+def op7_warc(spark, sf_dir):
+    return warc.write_and_read(spark, source(spark, sf_dir, "pages"))
+
+
+# Base32 of a digest: each of its 32 letters is five bits out of two neighbouring hex digits.
+LLM_ORACLES["op7_warc"] = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex,
+           min(page_id) OVER (PARTITION BY payload) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(hex, 1 + (5 * i) // 4, 2))::INTEGER >> (3 - (5 * i) % 4)) & 31)::INTEGER, 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(source(spark, sf_dir, "documents"))
