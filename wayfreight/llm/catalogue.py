@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfreight.llm import bpe, exact_dedup, pii, warc
+from wayfreight.llm import bpe, exact_dedup, langid, pii, quality, toxicity, warc
 from wayfreight.llm.common import source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,16 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.bpe_round_trip(source(spark, sf_dir, "documents"))
 
 
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(source(spark, sf_dir, "documents"), source(spark, sf_dir, "labels"))
+
+
+@query
+def op5_quality(spark, sf_dir):
+    return quality.score_quality(source(spark, sf_dir, "documents"), source(spark, sf_dir, "labels"))
+
+
 @query
 def op6_pii(spark, sf_dir):
     return pii.find_pii(source(spark, sf_dir, "documents"))
@@ -52,6 +62,11 @@ FROM d
 """
 
 
+@query
+def op9_langid(spark, sf_dir):
+    return langid.identify_language(source(spark, sf_dir, "documents"))
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(source(spark, sf_dir, "documents"))

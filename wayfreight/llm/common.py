@@ -113,7 +113,7 @@ _CACHE: dict[str, np.ndarray] = {}
 def _power_table(name: str, base: int, n: int) -> np.ndarray:
     """A table of powers that grows by doubling and is kept while it is small."""
     if name not in _CACHE or len(_CACHE[name]) < n:
-        table = _powers(base, 1 << max(16, (n - 1).bit_length()))
+        table = _powers(base, 1 << max(16, int(n - 1).bit_length()))
         if n > 1 << 24:
             return table
         _CACHE[name] = table
