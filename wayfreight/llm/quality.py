@@ -17,7 +17,7 @@ STATISTICS = (
     "words_per_line", "byte_entropy",
 )
 FEATURES = 256
-RIDGE = 1e-3
+RIDGE = 0.5
 BINS = 4096
 LOW, HIGH = -0.5, 1.5  # range of ridge scores that the bins of the calibration cover
 CHUNK = 64  # words among which distinct ones are counted
@@ -205,8 +205,7 @@ def score_quality(
     total = np.zeros((FEATURES + 1, FEATURES + 2))
     for i, j, v in cells.collect():  # as many cells as the feature map has, whatever the input
         total[i, j] = v
-    count = total[-1, -2]
-    ridge = RIDGE * count * np.eye(FEATURES + 1) / FEATURES
+    ridge = RIDGE * np.eye(FEATURES + 1)
     ridge[-1, -1] = 0
     weights = np.linalg.solve(total[:, :-1] + ridge, total[:, -1])
 

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from wayfreight.llm.common import LOWER, in_fold, narrow, sliced, text_bytes
 from wayfreight.llm.sampling import sample_by_class
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6)
 BINS = 1 << 19
+#: A feature is an n-gram that a text holds at least so many times; each n-gram has one for each level.
+LEVELS = (1, 2, 4)
+FEATURES = BINS * len(LEVELS)
 #: The model is fitted on a bounded sample of labelled documents.
 DOCUMENTS_PER_CLASS = 2500
 #: Log-count ratios within so many standard errors of zero are chance; their n-grams are left out.
@@ -37,16 +40,18 @@ def ngram_bins(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _present(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bin) of every n-gram a text holds, once each; only bins that ``wanted`` marks, if given."""
-    keys = []
+    """(text, feature) of every n-gram a text holds often enough, once each; only bins that ``wanted`` marks, if given."""
+    keys = [np.zeros(0, np.int64)]
     for bins, inside in ngram_bins(data, ends):
         at = np.flatnonzero(inside if wanted is None else inside & wanted[bins])
         text = np.searchsorted(ends, at, side="right") - 1
-        keys.append(np.unique(text.astype(np.int64) * BINS + bins[at]))
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    unique = np.unique(np.concatenate(keys))
-    return unique // BINS, unique % BINS
+        keys.append(text.astype(np.int64) * BINS + bins[at])
+    unique, times = np.unique(np.concatenate(keys), return_counts=True)
+    levels = [unique[times >= least] for least in LEVELS]
+    text = np.concatenate([u // BINS for u in levels])
+    feature = np.concatenate([u % BINS + k * BINS for k, u in enumerate(levels)])
+    order = np.argsort(text, kind="stable")
+    return text[order], feature[order]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,33 +68,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(examples: list[tuple[int, np.ndarray]], counts: dict) -> dict:
-    """Weights by bin and a bias, for the share of label 1 that ``counts`` gives (label -> rows).
+    """Weights by feature and a bias, for the share of label 1 that ``counts`` gives (label -> rows).
 
-    The ratio of a bin is the logarithm of how much more often documents of label 1 hold it, smoothed
-    by one. A document's feature is that ratio where it holds the bin; logistic regression with a
-    ridge weighs the features.
+    The ratio of a feature is the logarithm of how much more often documents of label 1 have it,
+    smoothed by one. Where a document has the feature, its value is that ratio; logistic regression
+    with a ridge weighs the values.
     """
     labels = np.array([y for y, _ in examples], float)
     share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
     if not 0 < labels.sum() < len(labels):
         odds = np.log(max(share, 1e-4) / max(1 - share, 1e-4))
-        return {"weights": np.zeros(BINS, np.float32), "bias": float(odds)}
+        return {"weights": np.zeros(FEATURES, np.float32), "bias": float(odds)}
     bins = np.concatenate([b for _, b in examples])
     owner = np.repeat(np.arange(len(examples)), [len(b) for _, b in examples])
-    positive = np.bincount(bins, weights=labels[owner], minlength=BINS)
-    every = np.bincount(bins, minlength=BINS)
+    positive = np.bincount(bins, weights=labels[owner], minlength=FEATURES)
+    every = np.bincount(bins, minlength=FEATURES)
     ratio = np.log((positive + 1) / (labels.sum() + 2)) - np.log((every - positive + 1) / (len(labels) - labels.sum() + 2))
     used = np.abs(ratio) >= LEAST_ERRORS * np.sqrt(1 / (positive + 1) + 1 / (every - positive + 1))
     keep = used[bins]
     bins, owner = bins[keep], owner[keep]
     value = ratio[bins]
-    weight, bias = np.zeros(BINS), 0.0
+    weight, bias = np.zeros(FEATURES), 0.0
     balance = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
-    squares_w, squares_b = np.full(BINS, 1e-8), 1e-8
+    squares_w, squares_b = np.full(FEATURES, 1e-8), 1e-8
     for _ in range(STEPS):
         margin = np.bincount(owner, weights=weight[bins] * value, minlength=len(labels)) + bias
         error = (_sigmoid(margin) - labels) * balance
-        grad = np.bincount(bins, weights=error[owner] * value, minlength=BINS) + 1e-5 * weight
+        grad = np.bincount(bins, weights=error[owner] * value, minlength=FEATURES) + 1e-5 * weight
         squares_w += grad * grad
         squares_b += error.sum() ** 2
         weight -= 0.1 * grad / np.sqrt(squares_w)
@@ -100,7 +105,8 @@ def fit(examples: list[tuple[int, np.ndarray]], counts: dict) -> dict:
 
 def score_texts(model: dict, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The chance of label 1 for each text, from every n-gram it holds anywhere."""
-    text, bins = _present(data, ends, model["weights"] != 0)
+    wanted = (model["weights"].reshape(len(LEVELS), BINS) != 0).any(axis=0)
+    text, bins = _present(data, ends, wanted)
     margin = np.bincount(text, weights=model["weights"][bins], minlength=len(ends) - 1) + model["bias"]
     return _sigmoid(margin)
 
