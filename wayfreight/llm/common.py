@@ -177,3 +177,41 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
         step = words[np.where(there, first + j, first)]
         h = np.where(there, mix(h + step * np.uint64(2 * j + 0x1234567)), h)
     return mix(h + length.astype(np.uint64)), at
+
+
+def sets_of(data: np.ndarray, ends: np.ndarray, size: int, word_byte: np.ndarray = ~SPACE) -> Iterator[np.ndarray]:
+    """For each text its distinct shingles of ``size`` words, as sorted 64-bit hashes."""
+    starts, stops, offsets = words_of(data, ends, word_byte)
+    shingles, at = shingle_hashes(word_hashes(data, starts, stops), offsets, size)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        one = np.sort(shingles[a:b])
+        if len(one) > 1:
+            one = one[np.concatenate(([True], one[1:] != one[:-1]))]
+        yield one
+
+
+#: A membership filter has 16 bits a key, but no more than this; broadcast, it has at most a 64th of it in rows.
+MOST_FILTER_BITS = 1 << 27
+
+
+def _slot(key: Column, k: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits))
+
+
+def perhaps_among(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose value may be among the keys (all that are, and few others), without a shuffle.
+
+    A Bloom filter of the keys is broadcast as (word, bits) rows; ``MOST_FILTER_BITS`` bounds its size.
+    """
+    bits = 1 << max(12, min(MOST_FILTER_BITS, 16 * keys.count()).bit_length() - 1)
+    slots = keys.select(F.explode(F.array(*[_slot(F.col(key), k, bits) for k in range(2)])).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("set_bits")
+    )
+    words = stored(words, "membership-filter")
+    for k in range(2):
+        part = words.select(F.col("word").alias(f"__word{k}"), F.col("set_bits").alias(f"__bits{k}"))
+        tested = df.withColumn("__slot", _slot(df[column], k, bits))
+        hit = F.expr(f"shiftright(__slot, 6) = __word{k} AND (shiftright(__bits{k}, cast(__slot % 64 as int)) & 1L) = 1L")
+        df = tested.join(F.broadcast(part), hit, "left_semi").drop("__slot")
+    return df
