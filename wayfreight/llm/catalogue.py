@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfreight.llm import bpe, exact_dedup, jaccard, langid, pii, quality, toxicity, warc
+from wayfreight.llm import bpe, decontaminate, exact_dedup, jaccard, langid, pii, quality, toxicity, warc
 from wayfreight.llm.common import source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ FROM d
 """
 
 
+@query
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.find_contamination(source(spark, sf_dir, "documents"), source(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_langid(spark, sf_dir):
     return langid.identify_language(source(spark, sf_dir, "documents"))
