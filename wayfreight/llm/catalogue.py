@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfreight.llm import bpe, decontaminate, exact_dedup, jaccard, langid, pii, quality, toxicity, warc
+from wayfreight.llm import bpe, decontaminate, exact_dedup, jaccard, langid, lm, pii, quality, toxicity, warc
 from wayfreight.llm.common import source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op1_lm_scores(spark, sf_dir):
+    return lm.score_texts(source(spark, sf_dir, "documents"))
+
+
 @query
 def op2_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(source(spark, sf_dir, "documents"), size=3, percent=90)
