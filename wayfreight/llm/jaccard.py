@@ -10,7 +10,8 @@ are already known to be highly similar instead of being found anew:
    the index need not be walked.
 4. Everything else meets in a prefix index: shingles are ordered from rare to frequent, and sets that
    are similar enough share one of the first. Lists whose entries all belong to one pivot are skipped
-   as blocks, and size and position in the order skip pairs before any set is read.
+   as blocks, and size, position in the order and the parities of two sets skip pairs before any set
+   is read.
 
 Pivots are chosen by chance and only save work; steps 3 and 4 together cover every pair of classes.
 """
@@ -30,7 +31,8 @@ MINIMA = 6  # minimum hashes of a set
 VOTES = 2  # of them that a class must share with its pivot
 CLUSTER_PERCENT = 50  # a set less similar to its pivot than this is not derived from it
 #: Frequencies are counted in so many cells. They only order the shingles: any order gives the same links.
-CELLS = 1 << 20
+CELLS = 1 << 22
+PARITIES = 1024  # bits of a set: each counts, modulo 2, the shingles that fall to it
 CHUNK = 1024  # rows of one hot group that a task works on at a time, against as many others
 
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
@@ -56,24 +58,27 @@ def _describe_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("minima", pa.list_(pa.int64())),
-             ("part", pa.int32()), ("cells", pa.binary())]
+             ("parity", pa.binary()), ("part", pa.int32()), ("cells", pa.binary())]
         )
         cells = np.zeros(CELLS, np.int32)
         for batch in sliced(batches, "text", 4 << 20):
-            n, cls, minima = [], [], []
+            n, cls, minima, parity = [], [], [], []
             for one in sets_of(*text_bytes(batch.column("text")), size):
                 n.append(len(one))
                 if not len(one):
                     cls.append(None)
                     minima.append(None)
+                    parity.append(None)
                     continue
                 cls.append(_fingerprint(one))
                 minima.append([int((one * f).min().astype(np.int64)) for f in _FACTORS])
+                odd = np.bincount((one >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).tobytes())
                 cells[one.astype(np.int64) & (CELLS - 1)] += 1  # once a set
             rows = len(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(minima, pa.list_(pa.int64())),
-                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                 pa.array(parity, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                 schema=schema,
             )
         parts = np.split(cells, 16)
@@ -81,7 +86,7 @@ def _describe_batches(size: int):
         if used:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()),
-                 pa.nulls(len(used), pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())],
+                 pa.nulls(len(used), pa.list_(pa.int64())), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())],
                 schema=schema,
             )
 
@@ -327,21 +332,29 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pair_batches(percent: int):
-    """Pairs across pivots that share a key, as far as sizes and positions allow a link."""
+    """Pairs across pivots that share a key, as far as sizes, positions and parities allow a link.
+
+    Two sets differ in at least as many shingles as their parities differ in bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key", "i", "j"]):
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             rep, cluster, chunk, n, pos = (group.column(c).to_numpy() for c in ("rep", "cluster", "chunk", "n", "pos"))
+            parity = np.frombuffer(b"".join(group.column("parity").to_pylist()), np.uint64).reshape(len(rep), -1)
             found = []
             for a in range(len(rep) - 1):
                 b = slice(a + 1, None)
                 least = overlap_needed(n[a], n[b], percent)
                 most = np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1)
-                fits = (cluster[b] != cluster[a]) & (most >= least)
+                fits = (cluster[b] != cluster[a]) & (rep[b] != rep[a]) & (most >= least)
                 if i != j:
                     fits &= chunk[b] != chunk[a]
-                found += [(int(min(rep[a], y)), int(max(rep[a], y))) for y in rep[b][fits] if y != rep[a]]
+                others = np.flatnonzero(fits)
+                if len(others):
+                    apart = np.bitwise_count(parity[a] ^ parity[a + 1 + others]).sum(axis=1, dtype=np.int64)
+                    others = others[apart <= n[a] + n[b][others] - 2 * least[others]]
+                    found += [(int(min(rep[a], y)), int(max(rep[a], y))) for y in rep[b][others]]
             if found:
                 yield _edges(sorted(set(found)))
 
@@ -394,10 +407,10 @@ def jaccard_components(
     result; other columns are not looked at.
     """
     rows = narrow(docs, id_col, text_col)
-    described = stored(rows.mapInArrow(_describe_batches(size), "id bigint, n bigint, cls bigint, minima array<bigint>, part int, cells binary"), "jaccard-sets")
-    members = described.filter("part IS NULL").select("id", "n", "cls", "minima")
+    described = stored(rows.mapInArrow(_describe_batches(size), "id bigint, n bigint, cls bigint, minima array<bigint>, parity binary, part int, cells binary"), "jaccard-sets")
+    members = described.filter("part IS NULL").select("id", "n", "cls", "minima", "parity")
     classes = stored(
-        members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("minima").alias("minima")),
+        members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("minima").alias("minima"), F.first("parity").alias("parity")),
         "jaccard-classes",
     )
     named = classes.filter("rep IS NOT NULL")
@@ -426,9 +439,11 @@ def jaccard_components(
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
     lists = lists.filter("low <> high").select(F.col("key").alias("lkey"), F.ceil(F.col("many") / CHUNK).cast("int").alias("chunks"))
     lists = stored(lists, "jaccard-lists")
-    mixed = entries.join(lists, F.col("key") == F.col("lkey")).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    parities = named.select(F.col("rep").alias("prep"), "parity")
+    mixed = entries.join(lists, F.col("key") == F.col("lkey")).join(parities, F.col("rep") == F.col("prep"))
+    mixed = mixed.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
     mixed = _chunk_pairs(mixed, "chunk", "chunks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = mixed.select("key", "i", "j", "rep", "cluster", "chunk", "n", "pos").mapInArrow(_pair_batches(percent), "a bigint, b bigint")
+    pairs = mixed.select("key", "i", "j", "rep", "cluster", "chunk", "n", "pos", "parity").mapInArrow(_pair_batches(percent), "a bigint, b bigint")
     pairs = stored(pairs.distinct().select(F.col("b").alias("x"), F.col("a").alias("p")), "jaccard-candidates")
     across = compare(texts, pairs, size, percent)
     edges.append(across.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))

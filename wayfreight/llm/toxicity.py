@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfreight.llm.common import LOWER, in_fold, narrow, sliced, text_bytes
+from wayfreight.llm.common import LOWER, in_fold, narrow, sliced, stored, text_bytes
 from wayfreight.llm.sampling import sample_by_class
 
 ORDERS = (4, 5, 6)
@@ -17,8 +17,9 @@ BINS = 1 << 19
 #: A feature is an n-gram that a text holds at least so many times; each n-gram has one for each level.
 LEVELS = (1, 2, 4)
 FEATURES = BINS * len(LEVELS)
+PARTS = 12  # in which counts of features travel
 #: The model is fitted on a bounded sample of labelled documents.
-DOCUMENTS_PER_CLASS = 2500
+DOCUMENTS_PER_CLASS = 2000
 #: Log-count ratios within so many standard errors of zero are chance; their n-grams are left out.
 LEAST_ERRORS = 3.0
 STEPS = 120
@@ -55,52 +56,112 @@ def _present(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray | None = Non
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", 4 << 20):
         data, ends = text_bytes(batch.column("text"))
-        text, bins = _present(data, ends)
+        text, found = _present(data, ends)
         cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-        held = [bins[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.binary())], names=["label", "bins"])
+        held = [found[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.binary())], names=["label", "features"])
+
+
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of each label have each feature, in PARTS rows of fixed size for each label."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for label, raw in zip(batch.column("label").to_pylist(), batch.column("features")):
+            counts = total.setdefault(label, np.zeros(FEATURES, np.int32))
+            counts[np.frombuffer(raw.as_buffer(), "<i4")] += 1
+    for label, counts in total.items():
+        for part, some in enumerate(np.split(counts, PARTS)):
+            yield _part_row(label, part, some)
+
+
+def _part_row(label: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([label], pa.int32()), pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary())],
+        names=["label", "part", "counts"],
+    )
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for label, part, raw in zip(*(batch.column(c).to_pylist() for c in ("label", "part", "counts"))):
+            total.setdefault((label, part), np.zeros(FEATURES // PARTS, np.int32))
+            total[label, part] += np.frombuffer(raw, np.int32)
+    for (label, part), counts in total.items():
+        yield _part_row(label, part, counts)
+
+
+def _only(used: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (np.frombuffer(raw.as_buffer(), "<i4") for raw in batch.column("features"))
+            kept = [f[used[f]].tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(kept, pa.binary())], names=["label", "features"])
+
+    return run
+
+
+def log_count_ratios(positive: np.ndarray, negative: np.ndarray, positives: int, negatives: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ratio of each feature, smoothed by one, and whether it is beyond chance."""
+    ratio = np.log((positive + 1) / (positives + 2)) - np.log((negative + 1) / (negatives + 2))
+    return ratio, np.abs(ratio) >= LEAST_ERRORS * np.sqrt(1 / (positive + 1) + 1 / (negative + 1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(examples: list[tuple[int, np.ndarray]], counts: dict) -> dict:
-    """Weights by feature and a bias, for the share of label 1 that ``counts`` gives (label -> rows).
+def weigh(examples: list[tuple[int, np.ndarray]], ratio: np.ndarray, used: np.ndarray, share: float) -> dict:
+    """Weights by feature and a bias, by logistic regression with a ridge.
 
-    The ratio of a feature is the logarithm of how much more often documents of label 1 have it,
-    smoothed by one. Where a document has the feature, its value is that ratio; logistic regression
-    with a ridge weighs the values.
+    Where a document has a feature, its value is the feature's ratio. Both labels weigh the same in
+    the fit; the bias then moves to ``share`` of label 1.
     """
     labels = np.array([y for y, _ in examples], float)
-    share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
-    if not 0 < labels.sum() < len(labels):
-        odds = np.log(max(share, 1e-4) / max(1 - share, 1e-4))
-        return {"weights": np.zeros(FEATURES, np.float32), "bias": float(odds)}
-    bins = np.concatenate([b for _, b in examples])
-    owner = np.repeat(np.arange(len(examples)), [len(b) for _, b in examples])
-    positive = np.bincount(bins, weights=labels[owner], minlength=FEATURES)
-    every = np.bincount(bins, minlength=FEATURES)
-    ratio = np.log((positive + 1) / (labels.sum() + 2)) - np.log((every - positive + 1) / (len(labels) - labels.sum() + 2))
-    used = np.abs(ratio) >= LEAST_ERRORS * np.sqrt(1 / (positive + 1) + 1 / (every - positive + 1))
-    keep = used[bins]
-    bins, owner = bins[keep], owner[keep]
-    value = ratio[bins]
-    weight, bias = np.zeros(FEATURES), 0.0
+    place = np.cumsum(used) - 1  # of a used feature among the used ones
+    features = place[np.concatenate([f for _, f in examples])].astype(np.int32)
+    owner = np.repeat(np.arange(len(examples), dtype=np.int32), [len(f) for _, f in examples])
+    value = ratio[used][features].astype(np.float32)
+    n = int(used.sum())
+    weight, bias = np.zeros(n), 0.0
     balance = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
-    squares_w, squares_b = np.full(FEATURES, 1e-8), 1e-8
+    squares_w, squares_b = np.full(n, 1e-8), 1e-8
     for _ in range(STEPS):
-        margin = np.bincount(owner, weights=weight[bins] * value, minlength=len(labels)) + bias
+        margin = np.bincount(owner, weights=weight[features] * value, minlength=len(labels)) + bias
         error = (_sigmoid(margin) - labels) * balance
-        grad = np.bincount(bins, weights=error[owner] * value, minlength=FEATURES) + 1e-5 * weight
+        grad = np.bincount(features, weights=error[owner] * value, minlength=n) + 1e-5 * weight
         squares_w += grad * grad
         squares_b += error.sum() ** 2
         weight -= 0.1 * grad / np.sqrt(squares_w)
         bias -= 0.1 * error.sum() / np.sqrt(squares_b)
-    bias += np.log(share / (1 - share)) if 0 < share < 1 else 0.0
-    return {"weights": (weight * ratio * used).astype(np.float32), "bias": float(bias)}
+    weights = np.zeros(FEATURES, np.float32)
+    weights[used] = weight * ratio[used]
+    return {"weights": weights, "bias": float(bias + np.log(share / (1 - share)))}
+
+
+def fit(chosen: DataFrame, counts: dict) -> dict:
+    """A model from rows of label and text; ``counts`` has the rows there are by label.
+
+    Features are stored and counted in Spark, so that only counts of fixed size and the features
+    beyond chance come to the driver.
+    """
+    share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+    stored_rows = stored(chosen.mapInArrow(_features, "label int, features binary"), "toxicity-features")
+    by_label = dict(stored_rows.groupBy("label").count().collect())
+    if not by_label.get(0) or not by_label.get(1):
+        odds = np.log(max(share, 1e-4) / max(1 - share, 1e-4))
+        return {"weights": np.zeros(FEATURES, np.float32), "bias": float(odds)}
+    schema = "label int, part int, counts binary"
+    sums = stored_rows.mapInArrow(_count_features, schema).repartition("label", "part").mapInArrow(_add_counts, schema)
+    having = np.zeros((2, FEATURES), np.int64)
+    for label, part, raw in sums.toLocalIterator():
+        having[label, part * (FEATURES // PARTS) : (part + 1) * (FEATURES // PARTS)] = np.frombuffer(raw, np.int32)
+    ratio, used = log_count_ratios(having[1], having[0], by_label[1], by_label[0])
+    taken = stored_rows.mapInArrow(_only(used), "label int, features binary").toArrow()
+    examples = [(y, np.frombuffer(b, "<i4")) for y, b in zip(taken.column(0).to_pylist(), taken.column(1).to_pylist())]
+    return weigh(examples, ratio, used, share)
 
 
 def score_texts(model: dict, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -135,8 +196,8 @@ def score_toxicity(
     """doc_id, held_out, score and predicted (score of 0.5 or more) of every whole text.
 
     Labels are learned only from rows whose crc32 of the id does not leave ``remainder``. The sample of
-    labels is bounded by ``DOCUMENTS_PER_CLASS`` a class and goes to the documents by broadcast; what
-    comes back to the driver are the n-gram bins of those documents.
+    labels is bounded by ``DOCUMENTS_PER_CLASS`` a class and goes to the documents by broadcast; whole
+    texts of the sample are learned from.
 
     Defined cases: null and empty texts get the score of a text without n-grams; a null label is no
     label, of several labels of one id the largest counts; without labels of both classes every text
@@ -149,8 +210,6 @@ def score_toxicity(
     known = known.groupBy("label_id").agg(F.max("label").alias("label"))
     sample, counts = sample_by_class(known, "label", F.col("label_id"), DOCUMENTS_PER_CLASS)
     chosen = rows.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select("label", "text")
-    bounded = chosen.limit(4 * DOCUMENTS_PER_CLASS)  # an id may repeat in the documents
-    taken = bounded.mapInArrow(_features, "label int, bins binary").toArrow()
-    examples = [(y, np.frombuffer(b, "<i4")) for y, b in zip(taken.column(0).to_pylist(), taken.column(1).to_pylist())]
-    model = fit(examples, counts)
+    bounded = chosen.limit(4 * DOCUMENTS_PER_CLASS).repartition(16)  # an id may repeat in the documents
+    model = fit(bounded, counts)
     return rows.mapInArrow(_score_batches(model), "doc_id bigint, held_out boolean, score double, predicted int")
