@@ -147,7 +147,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     at = 0
     while at < len(starts):  # in pieces of some MB of text, so that prefix sums stay small
         low = starts[at]
-        to = max(at + 1, int(np.searchsorted(stops, low + (4 << 20), side="right")))
+        to = max(at + 1, int(np.searchsorted(stops, low + (1 << 20), side="right")))
         high = stops[to - 1]
         sums = np.empty(high - low + 1, np.uint64)
         sums[0] = 0
@@ -169,14 +169,28 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
     at = np.concatenate(([0], np.cumsum(made)))
     if not at[-1]:
         return np.zeros(0, np.uint64), at
-    first = np.arange(at[-1]) - np.repeat(at[:-1] - offsets[:-1], made)
-    length = np.repeat(np.minimum(counts, size), made)
-    h = np.zeros(len(first), np.uint64)
+    rolled = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for j in range(size):
-        there = j < length
-        step = words[np.where(there, first + j, first)]
-        h = np.where(there, mix(h + step * np.uint64(2 * j + 0x1234567)), h)
-    return mix(h + length.astype(np.uint64)), at
+        rolled += words[j : j + len(rolled)] * _STEPS[j % len(_STEPS)]
+    out = np.empty(at[-1], np.uint64)
+    long = counts >= size
+    reach = np.where(long, counts - size + 1, 0)
+    first = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach - offsets[:-1], reach)
+    place = np.ones(at[-1], bool)
+    short = np.flatnonzero((counts > 0) & ~long)
+    place[at[short]] = False
+    out[place] = mix(rolled[first] + np.uint64(size))
+    if len(short):
+        sums = np.zeros(len(short), np.uint64)
+        for j in range(size - 1):
+            there = counts[short] > j
+            sums[there] += words[offsets[short][there] + j] * _STEPS[j % len(_STEPS)]
+        out[at[short]] = mix(sums + counts[short].astype(np.uint64))
+    return out, at
+
+
+#: Odd factors for the places of a word in a shingle; their order counts.
+_STEPS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def sets_of(data: np.ndarray, ends: np.ndarray, size: int, word_byte: np.ndarray = ~SPACE) -> Iterator[np.ndarray]:

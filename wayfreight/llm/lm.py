@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wayfreight.llm.common import in_fold, mix, narrow, sliced, stored, text_bytes, word_hashes, words_of
 
-BLOCK_BYTES = 12 << 20  # of text in a block, or one longer text
+BLOCK_BYTES = 4 << 20  # of text in a block, or one longer text
 RANGE_ENTRIES = 1 << 20  # n-gram entries that a range gets, about
 PAIR_KEY_BITS = 40  # of a pair's hash below its range; words keep all 64 bits
 #: Strength of the shorter history in a longer one: p(w|h) = (c(hw) + STRENGTH p(w)) / (c(h) + STRENGTH).
