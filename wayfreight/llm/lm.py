@@ -21,11 +21,12 @@ from wayfreight.llm.common import in_fold, mix, narrow, sliced, stored, text_byt
 
 BLOCK_BYTES = 4 << 20  # of text in a block, or one longer text
 RANGE_ENTRIES = 1 << 20  # n-gram entries that a range gets, about
-PAIR_KEY_BITS = 40  # of a pair's hash below its range; words keep all 64 bits
+#: Of a pair's hash below its range; words keep all 64 bits. About one pair in a million shares its key, at any size.
+PAIR_KEY_BITS = 40
 #: Strength of the shorter history in a longer one: p(w|h) = (c(hw) + STRENGTH p(w)) / (c(h) + STRENGTH).
 STRENGTH = 4.0
 END, BEGIN = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
-DOCS, WORDS, PAIRS, TOTALS = 0, 1, 2, 3
+DOCS, WORDS, PAIRS, TOTALS, KEYS = 0, 1, 2, 3, 4
 
 
 class Unigrams:
@@ -171,7 +172,7 @@ def _block_rows(batches: list[pa.RecordBatch], range_bits: int) -> Iterator[pa.R
 
     yield pa.RecordBatch.from_arrays([
         pa.array([block], pa.int64()), pa.array([DOCS], pa.int32()), pa.array([0], pa.int64()), pa.array([len(tokens)], pa.int64()),
-        pa.array([_pack_sorted(words)], pa.binary()), pa.array([_pack(number.astype(np.uint32))], pa.binary()),
+        pa.nulls(1, pa.binary()), pa.array([_pack(number.astype(np.uint32))], pa.binary()),
         pa.array([texts.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())),
         pa.array([sizes.tolist()], pa.list_(pa.int64())),
     ], schema=_ARROW_BLOCK)
@@ -233,13 +234,13 @@ def _answer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 # --- scores ----------------------------------------------------------------------------------------
 
 
-def _score_block(docs: dict, counts: dict[int, list[bytes]], totals: dict, range_bits: int) -> pa.RecordBatch:
-    words = _unpack_sorted(docs["keys"])
+def _score_block(docs: dict, told: dict[int, list[bytes]], totals: dict, range_bits: int) -> pa.RecordBatch:
+    words = np.concatenate([_unpack_sorted(k) for k in told[KEYS]])
     number = _unpack(docs["counts"], np.uint32).astype(np.int64)
     sizes = np.array(docs["sizes"], np.int64)
     firsts = np.cumsum(sizes) - sizes
-    known = np.concatenate([_unpack(c, np.uint64) for c in counts[WORDS]]).astype(np.int64)
-    pair_totals = np.concatenate([_unpack(c, np.uint64) for c in counts[PAIRS]]).astype(np.int64)
+    known = np.concatenate([_unpack(c, np.uint64) for c in told[WORDS]]).astype(np.int64)
+    pair_totals = np.concatenate([_unpack(c, np.uint64) for c in told[PAIRS]]).astype(np.int64)
     tokens = words[number]
     previous = np.empty(len(tokens), np.uint64)
     previous[1:] = tokens[:-1]
@@ -266,22 +267,22 @@ def _score_block(docs: dict, counts: dict[int, list[bytes]], totals: dict, range
 
 
 def _score_batches(totals: dict, range_bits: int):
-    """Rows sorted by (block, kind, range): the documents, then the answers in the order of the keys."""
+    """Rows sorted by (block, kind, range): the documents, then the answers and the words in the order of the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, counts = None, {}
+        docs, told = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
                 kind = batch.column("kind")[k].as_py()
                 if kind == DOCS:
                     if docs is not None:
-                        yield _score_block(docs, counts, totals, range_bits)
-                    docs = {c: batch.column(c)[k].as_py() for c in ("keys", "counts", "ids", "held", "sizes")}
-                    counts = {WORDS: [], PAIRS: []}
+                        yield _score_block(docs, told, totals, range_bits)
+                    docs = {c: batch.column(c)[k].as_py() for c in ("counts", "ids", "held", "sizes")}
+                    told = {WORDS: [], PAIRS: [], KEYS: []}
                 else:
-                    counts[kind].append(batch.column("counts")[k].as_py())
+                    told[kind].append(batch.column("keys" if kind == KEYS else "counts")[k].as_py())
         if docs is not None:
-            yield _score_block(docs, counts, totals, range_bits)
+            yield _score_block(docs, told, totals, range_bits)
 
     return run
 
@@ -321,8 +322,9 @@ def score_texts(
     totals = dict(zip(("tokens", "types", "once", "twice", "begins"), found))
 
     parts = blocks.filter(F.col("kind") == DOCS).select("block", "kind", "bucket", "keys", "counts", "ids", "held", "sizes")
+    keys = blocks.filter(F.col("kind") == WORDS).select("block", F.lit(KEYS).alias("kind"), "bucket", "keys")
     replies = answers.filter(F.col("kind") != TOTALS).select("block", "kind", "bucket", "counts")
-    together = parts.unionByName(replies, allowMissingColumns=True)
+    together = parts.unionByName(replies, allowMissingColumns=True).unionByName(keys, allowMissingColumns=True)
     together = together.repartition("block").sortWithinPartitions("block", "kind", "bucket")
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return together.mapInArrow(_score_batches(totals, range_bits), out)
