@@ -83,11 +83,16 @@ MANIFESTS = DOCS + """, manifests AS (
     SELECT app_id, CASE WHEN g % 2 = 0 THEN 5 ELSE 4 END, 'APPLICATION ROLE on SCHEMA', 'APPLICATION ROLE',
            'SCHEMA', 1, 'app_schema'
     FROM manifests WHERE status = 'ok' AND g % 3 = 0
+    UNION ALL
+    SELECT app_id, 4 + CASE WHEN g % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN g % 3 = 0 THEN 1 ELSE 0 END, key, upper(key), NULL, 1, object
+    FROM manifests, (VALUES ('privilege', 'MANAGE EVENTS'), ('remark', 'odd')) AS t(key, object) WHERE status = 'ok' AND g % 7 = 1
+), keyed AS (
+    SELECT *, CASE entry_key WHEN 'remark' THEN 2 ELSE 1 END AS key_no FROM privileges
 ), mapped AS (
-    SELECT app_id, entry_no, object_no, verb, object_type, object,
+    SELECT app_id, entry_no, key_no, entry_key, object_no, verb, object_type, object,
            CASE verb WHEN 'USAGE' THEN 'USE SCHEMA' WHEN 'SELECT' THEN 'SELECT' WHEN 'EXECUTE' THEN 'EXECUTE'
                      WHEN 'APPLICATION ROLE' THEN 'SERVICE PRINCIPAL' ELSE 'needs_review' END AS target
-    FROM privileges
+    FROM keyed
 )"""
 
 
@@ -106,7 +111,9 @@ MANIFEST_TEXTS_TAIL = """, manifest_versions AS (
              '|      - ref_schema|  - EXECUTE on ALL FUNCTIONS IN SCHEMA:|      - app_schema|' ||
              CASE WHEN g % 2 = 0 THEN '  - privilege: CREATE DATABASE|' ELSE '' END ||
              CASE WHEN g % 3 = 0 THEN '  - APPLICATION ROLE on SCHEMA: [app_schema]|' ELSE '' END ||
-             'configuration:|  log_level: INFO|  enable_telemetry: true|' END, '|', chr(10)) AS body
+             CASE WHEN g % 7 = 1 THEN '  - privilege: MANAGE EVENTS|    remark: odd|' ELSE '' END ||
+             'configuration:|  log_level: INFO|  enable_telemetry: true|' ||
+             CASE WHEN g % 4 = 1 THEN '  limit: .nan|  2024-01-05: .inf|' ELSE '' END END, '|', chr(10)) AS body
     FROM manifest_versions
 )"""
 
@@ -221,23 +228,23 @@ ADVICE_TAIL = REQUIREMENTS_TAIL + MANIFESTS_TAIL + """, guarded AS (
     FROM app_facts f JOIN catalog c ON f.app_id = c.app_id
 ), advice AS (
     SELECT app_id, seq, code, text FROM guarded, (VALUES
-      (1, 'ui_runtime', 'ui', 'Run the UI on the Streamlit runtime of the target platform'),
-      (2, 'ui_connector', 'ui', 'Open connections with databricks.sql.connect'),
-      (3, 'ui_table_calls', 'ui', 'Read tables through spark.table()'),
-      (4, 'api_runtime', 'api', 'Serve the API as a Flask or FastAPI app'),
-      (5, 'api_auth', 'api', 'Configure authentication in app.yaml'),
-      (6, 'procedures', 'proc', 'Turn stored procedures into Python functions or notebooks'),
-      (7, 'udfs', 'udf', 'Recreate UDFs as SQL or Python functions'),
-      (8, 'usage_convert', 'use', 'Convert platform DataFrame calls to PySpark'),
-      (9, 'usage_key_calls', 'use', 'Start with session.table() and session.sql()'),
-      (10, 'swap_connector', 'conn', 'Swap snowflake-connector-python for databricks-sql-connector'),
-      (11, 'swap_snowpark', 'snow', 'Swap snowflake-snowpark-python for pyspark'),
-      (12, 'phased', 'high', 'Plan the move in phases'),
-      (13, 'phase_data', 'high', 'Phase 1: data layer and SQL'),
-      (14, 'phase_logic', 'high', 'Phase 2: Python and DataFrame logic'),
-      (15, 'phase_ui', 'high', 'Phase 3: user interface'),
-      (16, 'grants_review', 'priv', 'Map the manifest privileges to catalog grants'),
-      (17, 'grants_mapping', 'priv', 'USAGE becomes USE SCHEMA; SELECT and EXECUTE stay')
+      (1, 'ui_runtime', 'ui', 'The app shows pages: host it where Streamlit apps run on the target'),
+      (2, 'ui_connector', 'ui', 'Its connections must be opened through the databricks SQL driver'),
+      (3, 'ui_table_calls', 'ui', 'Whatever it reads by table name goes through the Spark session'),
+      (4, 'api_runtime', 'api', 'The app answers requests: it needs a process that serves HTTP'),
+      (5, 'api_auth', 'api', 'Say in app.yaml who may call it'),
+      (6, 'procedures', 'proc', 'Stored procedures have no counterpart: make each a function or a notebook'),
+      (7, 'udfs', 'udf', 'User-defined functions have to be declared again, in SQL or Python'),
+      (8, 'usage_convert', 'use', 'Calls of the platform''s DataFrame library become PySpark'),
+      (9, 'usage_key_calls', 'use', 'Most of them are table and sql calls on the session; begin there'),
+      (10, 'swap_connector', 'conn', 'Requirements: databricks-sql-connector in place of snowflake-connector-python'),
+      (11, 'swap_snowpark', 'snow', 'Requirements: pyspark in place of snowflake-snowpark-python'),
+      (12, 'phased', 'high', 'The score is high: move in steps, each of which can be checked'),
+      (13, 'phase_data', 'high', 'Step 1: tables, views and other SQL'),
+      (14, 'phase_logic', 'high', 'Step 2: Python that works on data'),
+      (15, 'phase_ui', 'high', 'Step 3: what users see'),
+      (16, 'grants_review', 'priv', 'The manifest asks for privileges: each needs a grant in the catalog'),
+      (17, 'grants_mapping', 'priv', 'A schema''s USAGE is called USE SCHEMA there; SELECT and EXECUTE keep their names')
     ) AS r(seq, code, guard, text)
     WHERE CASE guard WHEN 'ui' THEN has_streamlit WHEN 'api' THEN has_api WHEN 'proc' THEN has_stored_procedures
                WHEN 'udf' THEN has_udfs WHEN 'use' THEN has_api_usage WHEN 'conn' THEN needs_connector
@@ -296,20 +303,17 @@ _PY_1 = f"regexp_replace(content, '{_PY_IMPORT}', 'from pyspark.sql import Spark
 _PY_2 = f"replace({_PY_1}, 'snowpark.Session', 'SparkSession')"
 _PY_3 = f"replace({_PY_2}, 'session.', 'spark.')"
 
-_HELPER = """import os
-from databricks import sql as warehouse_sql
+_HELPER = '''def get_db_connection(prefix="DATABRICKS_"):
+    """One connection to the SQL warehouse that the environment names."""
+    from os import environ
 
+    import databricks.sql
 
-def get_db_connection():
-    env = os.environ
-    return warehouse_sql.connect(
-        server_hostname=env["DATABRICKS_SERVER_HOSTNAME"],
-        http_path=env["DATABRICKS_HTTP_PATH"],
-        access_token=env["DATABRICKS_TOKEN"],
-    )
+    keys = {"server_hostname": "SERVER_HOSTNAME", "http_path": "HTTP_PATH", "access_token": "TOKEN"}
+    return databricks.sql.connect(**{name: environ[prefix + key] for name, key in keys.items()})
 
 
-"""
+'''
 _STAMP = """
 -- Carried over as it was; nothing below this header has been translated.
 -- Check warehouse-specific syntax by hand before running it.
@@ -356,8 +360,8 @@ sales AS (
            CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,2)) AS revenue,
            1 AS order_count, o_orderdate AS order_date
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-    JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey
+    LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+    LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON l_partkey = p_partkey
 )"""
 DASHBOARD = "year = 2000 AND region IN ('ASIA', 'EUROPE')"
 GROWTH = SALES + """, yearly AS (
@@ -368,6 +372,11 @@ GROWTH = SALES + """, yearly AS (
     FROM yearly c JOIN yearly p ON c.year = p.year + 1
 )"""
 LAST_YEAR = f"(SELECT CAST(sum(revenue) AS DECIMAL(28,2)) FROM sales WHERE {DASHBOARD})"
+ORDER_OBJECTS = """objects AS (
+    SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '{}' WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(to_json({
+        'status': o_orderstatus, 'year': year(o_orderdate), 'of': {'customer': o_custkey, 'priority': o_orderpriority}}) AS VARCHAR) END AS object
+    FROM orders
+)"""
 REVENUE = "CAST(sum(revenue) AS DECIMAL(28,2)) AS revenue"
 ORDERS = "CAST(sum(order_count) AS BIGINT) AS"
 
@@ -420,10 +429,8 @@ ORACLES: dict[str, str] = {
     SELECT r.app_id, r.target_path, array_to_string(string_split(new_content, chr(10))[1:10], chr(10)) AS preview
     FROM rewritten r JOIN winners w ON r.app_id = w.app_id AND r.path = w.path""",
     "copy_into": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
-    "create_frame": f"""WITH {SALES} SELECT year, region, {REVENUE} FROM sales
-    WHERE (year = 1996 AND region = 'ASIA') OR (year = 1998 AND region = 'EUROPE')
-       OR (year = 2000 AND region = 'AFRICA') OR (year = 2001 AND region = 'AMERICA')
-    GROUP BY year, region""",
+    "create_frame": f"""WITH {SALES} SELECT year, region, CASE region WHEN 'ASIA' THEN 'east desk' WHEN 'EUROPE' THEN 'west desk' END AS desk,
+           {REVENUE} FROM sales GROUP BY year, region""",
     # per-file facts
     "classify_python": f"""WITH {FACTS} SELECT app_id, path, type, is_ui, is_api, py_udf, py_procedure
     FROM facts WHERE is_component AND kind = 'python'""",
@@ -485,19 +492,32 @@ ORACLES: dict[str, str] = {
     UNION SELECT app_id, package FROM dependencies
     WHERE NOT contains(package, 'snowflake-connector') AND NOT contains(package, 'snowflake-snowpark')
       AND package NOT IN ('streamlit', 'flask', 'pyspark')""",
+    "ordered_requirements": f"""WITH {APPS}{REQUIREMENTS_TAIL}, needed AS (
+    SELECT app_id, 'databricks-sql-connector>=3.0.0' AS requirement FROM app_facts
+    UNION SELECT app_id, 'streamlit>=1.30.0' FROM app_facts WHERE has_streamlit
+    UNION SELECT app_id, 'flask>=3.0.0' FROM app_facts WHERE has_api
+    UNION SELECT app_id, 'pyspark>=3.5.0' FROM app_facts WHERE api_usage_total > 0
+    UNION SELECT app_id, package FROM dependencies
+    WHERE NOT contains(package, 'snowflake-connector') AND NOT contains(package, 'snowflake-snowpark')
+      AND package NOT IN ('streamlit', 'flask', 'pyspark')
+    ) SELECT app_id, row_number() OVER (PARTITION BY app_id ORDER BY requirement) AS line_no, requirement FROM needed""",
     # manifests and provisioning
-    "manifest_privileges": f"WITH {MANIFESTS} SELECT app_id, entry_no, entry_key, verb, object_type, object_no, object FROM privileges",
+    "manifest_privileges": f"WITH {MANIFESTS} SELECT app_id, entry_no, CAST(key_no AS INTEGER) AS key_no, entry_key, verb, object_type, object_no, object FROM keyed",
     "manifest_permissions": f"""WITH {MANIFESTS} SELECT app_id, entry_no, 'CAN_VIEW' AS permission, object AS source
     FROM privileges WHERE entry_key = 'privilege'""",
     "manifest_artifacts": f"""WITH {MANIFESTS}
     SELECT app_id, 1 AS artifact_no, 'streamlit_app.py' AS src, '/' AS dest FROM manifests WHERE status = 'ok'
     UNION ALL SELECT app_id, 2, 'sql/setup_' || g || '.sql', '/' FROM manifests WHERE status = 'ok'""",
-    "privilege_map": f"WITH {MANIFESTS} SELECT * FROM mapped",
+    "privilege_map": f"WITH {MANIFESTS} SELECT app_id, entry_no, CAST(key_no AS INTEGER) AS key_no, entry_key, object_no, verb, object_type, object, target FROM mapped",
+    "manifest_configuration": f"""WITH {MANIFESTS}
+    SELECT app_id, key, value FROM manifests, (VALUES ('log_level', 'INFO'), ('enable_telemetry', 'true')) AS t(key, value) WHERE status = 'ok'
+    UNION ALL SELECT app_id, key, value FROM manifests, (VALUES ('limit', 'nan'), ('2024-01-05', 'inf')) AS t(key, value)
+    WHERE status = 'ok' AND g % 4 = 1""",
     "provisioning_plan": f"""WITH {MANIFESTS}
     SELECT app_id, 1 AS step, 1 AS part, 'create_catalog' AS action, lower(app_id) || '_catalog' AS detail FROM apps
     UNION ALL SELECT app_id, 2, 1, 'create_schema', lower(app_id) || '_catalog.main' FROM apps
     UNION ALL SELECT app_id, entry_no + 2, object_no, CASE target WHEN 'needs_review' THEN target ELSE 'grant' END,
-           target || ' on ' || coalesce(object_type, '?') || ' ' || coalesce(object, '?') FROM mapped""",
+           target || ' on ' || coalesce(object_type, '?') || ' ' || coalesce(object, '?') FROM mapped WHERE entry_key <> 'remark'""",
     # rewriting
     "rewrite_ui": f"WITH {REWRITTEN} SELECT app_id, path, new_content AS content FROM rewritten WHERE type = 'streamlit'",
     "rewrite_py": f"WITH {REWRITTEN} SELECT app_id, path, new_content AS content FROM rewritten WHERE type IN ('python', 'api')",
@@ -569,15 +589,25 @@ ORACLES: dict[str, str] = {
     FROM requests r LEFT JOIN averages a ON r.forecast_year = a.forecast_year LEFT JOIN bases b ON r.request_id = b.request_id""",
     "categorize_revenue": f"""WITH {SALES} SELECT CASE WHEN revenue > 100000 THEN 'High' WHEN revenue > 50000 THEN 'Medium' ELSE 'Low' END AS category,
            count(*) AS lines, {REVENUE}, min(revenue) AS lowest, max(revenue) AS highest FROM sales GROUP BY 1""",
+    "categorize_revenue_sql": f"""WITH {SALES} SELECT CASE WHEN revenue > 100000 THEN 'High' WHEN revenue > 50000 THEN 'Medium' ELSE 'Low' END AS category,
+           count(*) AS lines, {REVENUE} FROM sales GROUP BY 1""",
+    "sales_forecast_sql": f"""WITH {GROWTH} SELECT round(CAST({LAST_YEAR} AS DOUBLE) * (1 + avg(growth)), 2) AS forecast FROM growth WHERE year >= 1998""",
+    "monthly_sales_sql": f"""WITH {SALES}, monthly AS (
+        SELECT year, month, region, sum(order_count) AS n, count(DISTINCT customer_id) AS c FROM sales GROUP BY ALL
+    ) SELECT year, region, CAST(sum(n) AS BIGINT) AS orders, max(c) AS most_customers FROM monthly GROUP BY year, region""",
     "split_to_table": """SELECT doc_id, CAST(generate_subscripts(string_split(text, ','), 1) AS INTEGER) AS "index",
            unnest(string_split(text, ',')) AS value FROM documents""",
     # semi-structured
     "variant_extract": "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
-    "flatten": """SELECT event_id, CAST(0 AS INTEGER) AS position, 'k' AS key, json_extract_string(props, '$.k') AS value
-    FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""",
-    "lateral_flatten": """SELECT event_type, 'k' AS key, count(*) AS n,
-           CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total
-    FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY event_type""",
+    "flatten": """SELECT event_id, CAST(0 AS INTEGER) AS position, j.key, j.value->>'$' AS value
+    FROM events, json_each(props) j""",
+    "flatten_object": f"""WITH {ORDER_OBJECTS} SELECT o_orderkey, j.key, j.value->>'$' AS value FROM objects, json_each(object) j""",
+    "flatten_outer": f"""WITH {ORDER_OBJECTS} SELECT o_orderkey, j.key, j.value->>'$' AS value
+    FROM objects LEFT JOIN json_each(object) j ON true""",
+    "flatten_array": """SELECT o_orderkey, CAST(unnest([0, 1, 2]) AS INTEGER) AS position,
+           unnest([CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority]) AS value FROM orders""",
+    "lateral_flatten": """SELECT event_type, j.key, count(*) AS n, CAST(sum(TRY_CAST(j.value->>'$' AS BIGINT)) AS BIGINT) AS total
+    FROM events, json_each(props) j GROUP BY ALL""",
     "array_flatten_agg": """SELECT position, count(*) AS n, round(avg(v), 6) AS mean, min(v) AS low, max(v) AS high FROM (
         SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS position, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings
     ) GROUP BY position""",

@@ -64,7 +64,8 @@ def test_status_defaults_and_preference(catalogue):
 
 def test_privileges_explode_and_map(catalogue):
     estate, _ = catalogue({("full", "manifest.yml"): FULL})
-    got = sorted(tuple(r) for r in manifest.privilege_map(estate.privileges).drop("app_id").collect())
+    mapped = manifest.privilege_map(estate.privileges).drop("app_id", "key_no", "entry_key")
+    got = sorted(tuple(r) for r in mapped.collect())
     assert got == [
         (1, 1, "USAGE", "SCHEMA", "s1", "USE SCHEMA"),
         (2, 1, "SELECT", "ALL TABLES IN SCHEMA", "s1", "SELECT"),
@@ -91,3 +92,42 @@ def test_artifacts_and_plan(catalogue):
         (7, 1, "grant"),
     ]
     assert [r.detail for r in plan[:3]] == ["my app_catalog", "my app_catalog.main", "USE SCHEMA on SCHEMA s1"]
+
+
+def test_odd_values_keep_the_rest_of_the_manifest(catalogue):
+    text = """manifest_version: 1
+version: {name: "2"}
+privileges:
+  - USAGE on SCHEMA: [s1]
+configuration:
+  limit: .nan
+  top: [.inf, 1]
+  2024-01-05: when
+  3: three
+"""
+    estate, found = catalogue({("odd", "manifest.yml"): text})
+    assert found["odd"].status == "ok" and found["odd"].version == "2"
+    assert estate.privileges.count() == 1
+    settings = dict(rows(manifest.manifest_configuration(estate.manifests), "key", "value"))
+    assert settings["limit"] == "nan" and settings["2024-01-05"] == "when" and settings["3"] == "three"
+
+
+def test_entries_with_several_keys_are_one_step(catalogue):
+    text = "privileges:\n  - privilege: A\n    comment: b\n  - USAGE on SCHEMA: [s1, s2]\n    SELECT on TABLE: [t]\n"
+    estate, _ = catalogue({("two", "manifest.yml"): text})
+    keyed = rows(estate.privileges, "entry_no", "key_no", "object_no")
+    assert len(set(keyed)) == len(keyed) == 5
+    plan = [(r.step, r.part, r.detail) for r in manifest.provisioning_plan(estate.apps, estate.privileges).orderBy("step", "part").collect()]
+    assert plan[2:] == [
+        (3, 1, "needs_review on ? A"),
+        (4, 1, "SELECT on TABLE t"),
+        (4, 2, "USE SCHEMA on SCHEMA s1"),
+        (4, 3, "USE SCHEMA on SCHEMA s2"),
+    ]
+    assert len(rows(manifest.manifest_permissions(estate.privileges))) == 1
+
+
+def test_the_cause_of_a_bad_manifest_is_kept(catalogue):
+    _, found = catalogue({("bad", "manifest.yml"): "a: [1\nb: 2"})
+    assert found["bad"].status == "invalid"
+    assert "Error: while parsing" in found["bad"].error and "(line 2" in found["bad"].error

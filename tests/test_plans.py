@@ -10,9 +10,12 @@ from wayfreight.plans.catalogue import QUERIES, sample_estate
 from wayfreight.operators import rewrite
 
 DATA = "/root/testdata/sf0.001"
-ACTING = {"estate_scan", "stage_listing", "copy_into", "converted_files"}  # run a job while being built
+ACTING = {  # run a job while being built
+    "estate_scan", "stage_listing", "copy_into", "converted_files", "warnings", "target_requirements", "ordered_requirements",
+    "sales_forecast_batch",
+}
 YAML_BASED = {
-    "analysis_report", "manifest_catalog", "manifest_privileges", "manifest_permissions", "manifest_artifacts",
+    "analysis_report", "manifest_catalog", "manifest_privileges", "manifest_permissions", "manifest_artifacts", "manifest_configuration",
     "privilege_map", "provisioning_plan", "recommendations", "warnings",
 }
 
@@ -51,9 +54,33 @@ def test_forecast_scans_the_fact_once(spark):
     assert plan(QUERIES["yoy_growth"](spark, DATA)).count("lineitem.parquet") == 1
 
 
-def test_text_is_classified_once_before_a_winner_is_picked(spark):
-    text = plan(rewrite.converted_files(sample_estate(spark, DATA).facts_with_content))
+def test_winners_are_picked_without_their_texts(spark):
+    estate = sample_estate(spark, DATA)
+    text = plan(rewrite.converted_files(estate.facts, estate.files))
     assert text.count(", @sproc)") == 1
+    for line in re.findall(r"(?:SortAggregate|Sort) ?\(?.*|ShuffledHashJoin.*", text):
+        assert "content" not in line
+    assert "ShuffledHashJoin" in text
+
+
+def test_texts_are_not_shuffled_before_they_are_classified(spark):
+    text = plan(sample_estate(spark, DATA).facts)
+    assert "Exchange" not in text
+
+
+@pytest.mark.parametrize("name", ["warnings", "target_requirements"])
+def test_saved_facts_spare_the_texts(spark, name):
+    df = QUERIES[name](spark, DATA)
+    df.collect()
+    for scan in re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*documents.parquet", plan(df).split("Initial Plan")[0]):
+        assert "text" not in scan
+
+
+def test_forecasts_in_bulk_have_no_single_task(spark):
+    df = QUERIES["sales_forecast_batch"](spark, DATA)
+    df.collect()
+    text = plan(df).split("Initial Plan")[0]
+    assert "SinglePartition" not in text and text.count("BroadcastHashJoin") >= 2
 
 
 def test_targets_scan_the_texts_once(spark):

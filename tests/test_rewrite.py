@@ -16,7 +16,7 @@ def test_rewrites_and_hits_equal_the_restatement(make_estate):
     rng = random.Random(11)
     corpus = {(f"app{n}", f"f{n}.{'py' if n % 4 else 'sql'}"): random_text(rng) for n in range(500)}
     estate = make_estate(corpus)
-    written = {r.app_id: r for r in rewrite.converted_files(estate.facts_with_content).collect()}
+    written = {r.app_id: r for r in rewrite.converted_files(estate.facts, estate.files).collect()}
     hits = {}
     for app, rule, n in rows(rewrite.rewrite_hits(estate.files)):
         hits.setdefault(app, {})[rule] = n
@@ -80,7 +80,7 @@ def test_targets_and_collisions(make_estate):
 
 def test_converted_sink_keeps_every_winner(make_estate, spark, tmp_path):
     estate = make_estate({(f"app{n % 7}", f"m{n}.py"): f"x = {n}" for n in range(60)})
-    rewrite.write_converted(rewrite.converted_files(estate.facts_with_content), str(tmp_path / "out"))
+    rewrite.write_converted(rewrite.converted_files(estate.facts, estate.files), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60
 
 

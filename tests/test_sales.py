@@ -125,3 +125,17 @@ def test_semi_join_does_not_multiply_or_match_null(spark, make_sales):
     fact = make_sales(line(), line(region=None), line(region="S"))
     wanted = spark.createDataFrame([("N",), ("N",), (None,), (" S",)], "value string")
     assert rows(sales.region_semi_join(fact, wanted), "region") == [("N",)]
+
+
+def test_unknown_dimensions_keep_their_lines(spark, tmp_path):
+    """Rows do not depend on the columns asked for."""
+    from wayfreight.sources.tables import sales_data, table
+
+    source = "/root/testdata/sf0.001"
+    for name in ("orders", "lineitem", "nation", "region"):
+        table(spark, source, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    table(spark, source, "customer").filter("c_custkey % 2 = 0").write.parquet(f"{tmp_path}/customer.parquet")
+    table(spark, source, "part").filter("p_partkey % 3 = 0").write.parquet(f"{tmp_path}/part.parquet")
+    counts = {sales_data(spark, str(tmp_path), c).count() for c in (["revenue"], ["region", "revenue"], ["product_name"], None)}
+    assert len(counts) == 1
+    assert sales_data(spark, str(tmp_path)).filter("region IS NULL AND product_name IS NULL").count() > 0

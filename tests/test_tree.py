@@ -97,3 +97,22 @@ def test_listing_through_a_uri_equals_the_local_walk(tmp_path):
         ("app one", "sub/.q.sql", False, 0),
         ("app one", "x y.py", False, 3),
     ]
+
+
+def test_linked_applications_and_folders_that_cannot_be_listed(spark, tmp_path):
+    root, elsewhere = tmp_path / "apps", tmp_path / "elsewhere"
+    (root / "plain" / "sub").mkdir(parents=True)
+    elsewhere.mkdir()
+    (root / "plain" / "a.py").write_text("x = 1")
+    (elsewhere / "b.py").write_text("y = 1")
+    (root / "linked").symlink_to(elsewhere)
+    (root / "plain" / "sub" / "circle").symlink_to(root / "plain")
+    listing = tree.list_tree(spark, str(root))
+    assert rows(tree.files_of(listing), "app_id", "path") == [("linked", "b.py"), ("plain", "a.py")]
+    batch = tree._list_folders(str(root))
+    import pyarrow as pa
+
+    gone = pa.RecordBatch.from_pydict({"app_id": ["plain", "plain"], "path": ["gone", ""]})
+    found = [r for b in batch(iter([gone])) for r in b.to_pylist()]
+    assert [(r["path"], r["error"]) for r in found if r["error"]] == [("gone", "FileNotFoundError")]
+    assert {r["path"] for r in found if not r["error"]} == {"a.py", "sub"}

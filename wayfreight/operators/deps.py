@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfreight import rules
 from wayfreight.functions.text import strip
+from wayfreight.session import shared_dir
 
 
 def requirement_lines(content: Column) -> Column:
@@ -84,3 +85,33 @@ def target_requirements(app_facts: DataFrame, dependencies: DataFrame) -> DataFr
     )
     carried = dependency_drop(dependencies).select("app_id", F.col("package").alias("requirement"))
     return added.unionByName(carried)
+
+
+def ordered_requirements(requirements: DataFrame) -> DataFrame:
+    """The requirement lines of each application with their place in its sorted list, from 1.
+
+    All rows are sorted once, by application and line, so an application with a third of all lines is
+    spread over as many tasks as it fills. Places then follow from row numbers inside the sorted
+    partitions and from how many rows of the application the partitions before hold: one narrow row
+    for each partition and application, which is combined before it is shuffled.
+    """
+    placed = requirements.orderBy("app_id", "requirement").select(
+        "app_id", "requirement", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")
+    )
+    placed = _kept(placed)
+    parts = placed.groupBy("app_id", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    # One row for each partition that an application reaches: many only for an application that fills many.
+    before = Window.partitionBy("app_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(
+        F.col("app_id").alias("start_app"), F.col("part").alias("start_part"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")
+    )
+    same = F.col("app_id").eqNullSafe(F.col("start_app")) & (F.col("part") == F.col("start_part"))
+    return placed.join(starts, same).select(
+        "app_id", (F.col("earlier") + F.col("at") - F.col("first") + 1).alias("line_no"), "requirement"
+    )
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    at = shared_dir(df.sparkSession, "requirements")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfreight import rules
@@ -18,16 +18,23 @@ def yaml_to_json():
     @F.pandas_udf("json string, error string")
     def parse(texts):
         import json
+        import math
 
         import pandas as pd
-
-        try:
-            import yaml
-        except ImportError:
-            return pd.DataFrame({"json": None, "error": ["YAML module missing"] * len(texts)}, dtype=object)
+        import yaml  # without it no manifest can be judged: the job stops
 
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
+        def plain(value):
+            """Only what JSON has: keys as text, and numbers that are not finite as text."""
+            if isinstance(value, dict):
+                return {str(k): plain(v) for k, v in value.items()}
+            if isinstance(value, (list, tuple, set)):
+                return [plain(v) for v in value]
+            if isinstance(value, float) and not math.isfinite(value):
+                return str(value)
+            return value if value is None or isinstance(value, (str, int, float, bool)) else str(value)
+
         def one(text):
             if text is None:
                 return None, "not UTF-8"
@@ -37,9 +44,12 @@ def yaml_to_json():
                     return None, "root is not a mapping"
                 if not isinstance(root.get("version", {}), dict):
                     return None, "version is not a mapping"
-                return json.dumps(root, default=str), None
+                return json.dumps(plain(root), allow_nan=False), None
             except Exception as problem:  # any parse problem becomes a row, as the contract asks
-                return None, type(problem).__name__
+                mark = getattr(problem, "problem_mark", None)
+                said = str(problem).split("\n", 1)[0]
+                place = f" (line {mark.line + 1}, column {mark.column + 1})" if mark else ""
+                return None, f"{type(problem).__name__}: {said}{place}"
 
         return pd.DataFrame([one(t) for t in texts], columns=["json", "error"])
 
@@ -74,6 +84,7 @@ def parse_manifests(files: DataFrame) -> DataFrame:
         .withColumn("parsed", yaml_to_json()("yaml"))
         .select("app_id", "file_name", "parsed.json", "parsed.error")
         .withColumn("raw", F.try_parse_json("json"))
+        .withColumn("error", F.when(F.col("json").isNotNull() & F.col("raw").isNull(), "not representable").otherwise(F.col("error")))
     )
     ok = F.col("error").isNull()
     privileges = F.get_json_object("json", "$.privileges")
@@ -110,7 +121,10 @@ def manifest_catalog(apps: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def manifest_privileges(manifests: DataFrame) -> DataFrame:
-    """One row per privilege entry, key and object: ``USAGE on SCHEMA: [a]`` -> USAGE, SCHEMA, a."""
+    """One row per privilege entry, key and object: ``USAGE on SCHEMA: [a]`` -> USAGE, SCHEMA, a.
+
+    An entry may have several keys; (entry_no, key_no, object_no) tells its rows apart.
+    """
     spark = manifests.sparkSession
 
     def scalar(value: str) -> str:
@@ -124,6 +138,7 @@ def manifest_privileges(manifests: DataFrame) -> DataFrame:
         f"""
         SELECT m.app_id,
                CAST(e.pos AS INT) + 1 AS entry_no,
+               CAST(coalesce(k.pos, 0) AS INT) + 1 AS key_no,
                coalesce(k.key, {scalar("e.value")}) AS entry,
                k.key AS entry_key,
                CAST(coalesce(o.pos, 0) AS INT) + 1 AS object_no,
@@ -139,6 +154,7 @@ def manifest_privileges(manifests: DataFrame) -> DataFrame:
     return entries.select(
         "app_id",
         "entry_no",
+        "key_no",
         "entry_key",
         F.upper(F.get(parts, 0)).alias("verb"),
         F.get(parts, 1).alias("object_type"),
@@ -155,6 +171,17 @@ def manifest_permissions(privileges: DataFrame) -> DataFrame:
     )
 
 
+def manifest_configuration(manifests: DataFrame) -> DataFrame:
+    """(key, value) of every configuration setting, values as text."""
+    return manifests.sparkSession.sql(
+        """
+        SELECT m.app_id, c.key, try_variant_get(c.value, '$', 'string') AS value
+        FROM {manifests} m, LATERAL variant_explode(m.configuration) c
+        """,
+        manifests=manifests.select("app_id", "configuration"),
+    )
+
+
 def manifest_artifacts(manifests: DataFrame) -> DataFrame:
     """(src, dest) of every artifact."""
     return manifests.sparkSession.sql(
@@ -183,6 +210,8 @@ def privilege_map(privileges: DataFrame) -> DataFrame:
     return privileges.join(lookup, "verb", "left").select(
         "app_id",
         "entry_no",
+        "key_no",
+        "entry_key",
         "object_no",
         "verb",
         "object_type",
@@ -192,7 +221,11 @@ def privilege_map(privileges: DataFrame) -> DataFrame:
 
 
 def provisioning_plan(apps: DataFrame, privileges: DataFrame) -> DataFrame:
-    """Ordered setup steps per application: catalog, schema, then every privilege. Never executed."""
+    """Ordered setup steps per application: catalog, schema, then one per privilege entry. Never executed.
+
+    The objects of an entry are the parts of its step. Where an entry has a key that is literally
+    ``privilege``, its other keys are remarks. The windows run over the entries of one manifest.
+    """
     catalog = F.concat(F.lower("app_id"), F.lit("_catalog"))
     base = apps.select(
         "app_id",
@@ -213,10 +246,16 @@ def provisioning_plan(apps: DataFrame, privileges: DataFrame) -> DataFrame:
             )
         ),
     )
-    grants = privilege_map(privileges).select(
+    entry = Window.partitionBy("app_id", "entry_no")
+    literal = F.col("entry_key").eqNullSafe(rules.PERMISSION_KEY)
+    planned = privileges.withColumn("has_literal", F.max(literal).over(entry)).filter(literal | ~F.col("has_literal"))
+    planned = planned.withColumn("part", F.row_number().over(entry.orderBy("key_no", "object_no")))
+    lookup = F.broadcast(privilege_targets(privileges.sparkSession))
+    planned = planned.join(lookup, "verb", "left").withColumn("target", F.coalesce("target", F.lit(rules.NEEDS_REVIEW)))
+    grants = planned.select(
         "app_id",
         (F.col("entry_no") + 2).alias("step"),
-        F.col("object_no").alias("part"),
+        "part",
         F.when(F.col("target") == rules.NEEDS_REVIEW, rules.NEEDS_REVIEW).otherwise("grant").alias("action"),
         F.concat_ws(" ", F.col("target"), F.lit("on"), F.coalesce("object_type", F.lit("?")), F.coalesce("object", F.lit("?"))).alias("detail"),
     )

@@ -155,19 +155,23 @@ def convert_each(facts_with_content: DataFrame) -> DataFrame:
     return rewrite_targets(with_target(facts_with_content, "content"))
 
 
-def converted_files(facts_with_content: DataFrame) -> DataFrame:
+def converted_files(facts: DataFrame, files: DataFrame) -> DataFrame:
     """The files that are really written: one winner per target, rewritten.
 
-    The winner is picked by aggregation on one scan of the corpus. ``max_by`` combines map-side, so
-    at most one text per target and map task crosses the network, and only winners are rewritten.
+    Winners are picked on narrow rows; their texts are then fetched by the unique (app_id, path), with
+    the winners as the side that is built. Texts are neither classified a second time nor sorted, and
+    those that lost or are not written are not rewritten.
     """
     winners = (
-        with_target(facts_with_content, "content")
+        with_target(facts)
         .groupBy("app_id", "target_path")
-        .agg(F.max_by(F.struct("path", "type", "content"), "path").alias("winner"))
-        .select("app_id", "target_path", "winner.*")
+        .agg(F.max(F.struct("path", "type")).alias("winner"))
+        .select(F.col("app_id").alias("won_app"), "target_path", F.col("winner.path").alias("won_path"), F.col("winner.type").alias("type"))
     )
-    return rewrite_targets(winners)
+    texts = files.select("app_id", "path", "content")
+    same = (F.col("app_id") == F.col("won_app")) & (F.col("path") == F.col("won_path"))
+    met = texts.join(winners.hint("shuffle_hash"), same)
+    return rewrite_targets(met.select("app_id", "path", "type", "target_path", "content"))
 
 
 def write_converted(converted: DataFrame, path: str) -> None:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfreight.functions.revenue import categorize_revenue
+from wayfreight.session import shared_dir
 
 
 def monthly_sales(sales: DataFrame) -> DataFrame:
@@ -184,13 +185,23 @@ def sales_forecast(sales: DataFrame, forecast_year: int, regions: str) -> DataFr
     )
 
 
+#: A table of at most so many yearly rows may go to every task.
+MOST_BROADCAST_ROWS = 100_000
+
+
 def sales_forecast_batch(sales: DataFrame, requests: DataFrame) -> DataFrame:
     """The forecast for many requests ``(request_id, forecast_year, regions)`` at once.
 
-    The fact is read once, into one row per (year, region). Requests meet those rows by equality on
-    year and region, and the growth averages by equality on forecast year.
+    The fact is read once, into one row per (year, region), which is stored. Requests meet those rows
+    by equality on year and region, and the growth averages by equality on forecast year. Few years
+    and regions are asked for by very many requests, so such a join must not be dealt out by them: the
+    yearly side goes to every task once its rows are counted and few. With more of them than
+    ``MOST_BROADCAST_ROWS`` the keys are many and the joins are left to adaptive execution.
     """
-    by_region = sales.filter(F.col("year").isNotNull()).groupBy("year", "region").agg(F.sum("revenue").alias("revenue"))
+    by_region = _kept(
+        sales.filter(F.col("year").isNotNull()).groupBy("year", "region").agg(F.sum("revenue").alias("revenue")), "yearly"
+    )
+    few = by_region.count() <= MOST_BROADCAST_ROWS
     averages = growth_by_forecast_year(
         by_region.groupBy("year").agg(F.sum("revenue").cast("double").alias("revenue")),
         requests.select("forecast_year").distinct(),
@@ -200,20 +211,16 @@ def sales_forecast_batch(sales: DataFrame, requests: DataFrame) -> DataFrame:
         (F.col("forecast_year") - 1).alias("base_year"),
         F.explode(F.array_distinct(F.split("regions", ","))).alias("base_region"),
     )
-    # Null-safe equality, though neither wanted key nor ``year`` is ever NULL where it matters: plain
-    # equality would push "region is not null" into this use of ``by_region`` only, and the two uses
-    # could then not share the one aggregation of the fact.
     bases = (
-        wanted.filter(F.col("base_year").isNotNull())
-        .join(
-            by_region,
-            F.col("base_year").eqNullSafe(F.col("year")) & F.col("base_region").eqNullSafe(F.col("region")),
+        wanted.join(
+            F.broadcast(by_region) if few else by_region,
+            (F.col("base_year") == F.col("year")) & (F.col("base_region") == F.col("region")),
         )
         .groupBy("request_id")
         .agg(F.sum("revenue").cast("double").alias("last_year_sales"))
     )
     return (
-        requests.join(averages, "forecast_year", "left")
+        requests.join(F.broadcast(averages) if few else averages, "forecast_year", "left")
         .join(bases, "request_id", "left")
         .select(
             "request_id",
@@ -226,28 +233,27 @@ def sales_forecast_batch(sales: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    at = shared_dir(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def growth_by_forecast_year(yearly: DataFrame, forecast_years: DataFrame) -> DataFrame:
-    """Average growth over all years from ``forecast_year - 3`` on, per forecast year.
+    """Average growth over all years from ``forecast_year - 3`` on, per forecast year that has any.
 
-    The range ``year >= forecast_year - 3`` has no upper end, so it is a running total from the latest
-    year down. Growth rows and forecast years are merged into one series and the total is read off
-    where a forecast year stands. The window runs over calendar years, one row each after the
-    aggregation, not over facts.
+    Each year's growth is sent to the forecast years between the earliest one asked for and three
+    years on, and averaged there; all of it is calendar years.
     """
-    series = (
-        yearly_pairs(yearly)
-        .select("year", "growth", F.lit(None).cast("int").alias("forecast_year"))
-        .unionByName(
-            forecast_years.select(
-                (F.col("forecast_year") - 3).alias("year"), F.lit(None).cast("double").alias("growth"), "forecast_year"
-            )
-        )
-    )
-    from_here_on = Window.orderBy(F.desc("year")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    first = forecast_years.agg(F.min("forecast_year").alias("y")).first()["y"]
+    growth = yearly_pairs(yearly).select("year", "growth")
+    asked = F.sequence(F.lit(first).cast("int"), (F.col("year") + 3).cast("int"))
     return (
-        series.withColumn("avg_growth", F.avg("growth").over(from_here_on))
-        .filter(F.col("forecast_year").isNotNull())
-        .select("forecast_year", "avg_growth")
+        growth.filter(F.col("year") + 3 >= F.lit(first))  # nothing is asked for: no row
+        .select(F.explode(asked).alias("forecast_year"), "growth")
+        .join(forecast_years.filter("forecast_year IS NOT NULL"), "forecast_year", "left_semi")
+        .groupBy("forecast_year")
+        .agg(F.avg("growth").alias("avg_growth"))
     )
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfreight import rules
+from wayfreight.functions import revenue
 from wayfreight.functions.text import contains_any
 from wayfreight.operators import appfacts, classify, deps, manifest, rewrite, sales, semi
 from wayfreight.plans import estate as plans
+from wayfreight.plans.migration import with_saved_facts
 from wayfreight.schemas import TABLES
 from wayfreight.session import shared_dir
 from wayfreight.sources import files, sample_corpus, tree
@@ -91,10 +93,14 @@ def analysis_report(spark, data_dir):
     return plans.report_as_text(plans.analysis_report(sample_estate(spark, data_dir)))
 
 
+def _converted(e: plans.Estate):
+    return rewrite.converted_files(e.facts, e.files)
+
+
 @query
 def converted_files(spark, data_dir):
     at = shared_dir(spark, "converted")
-    rewrite.write_converted(rewrite.converted_files(sample_estate(spark, data_dir).facts_with_content), at)
+    rewrite.write_converted(_converted(sample_estate(spark, data_dir)), at)
     return spark.read.parquet(at).select(
         "app_id", "target_path", "path", "type", F.md5(F.col("content").cast("binary")).alias("text_md5")
     )
@@ -102,28 +108,27 @@ def converted_files(spark, data_dir):
 
 @query
 def file_preview(spark, data_dir):
-    return rewrite.file_preview(rewrite.converted_files(sample_estate(spark, data_dir).facts_with_content))
+    return rewrite.file_preview(_converted(sample_estate(spark, data_dir)))
 
 
 @query
 def copy_into_events(spark, data_dir):
     target, checkpoint = shared_dir(spark, "events"), shared_dir(spark, "events-checkpoint")
     for _ in range(2):  # the second run finds nothing new
-        copy_into(spark, data_dir, target, checkpoint, TABLES["events"], name_pattern="events.parquet")
+        copy_into(spark, f"{data_dir}/events.parquet", target, checkpoint, TABLES["events"])
     return spark.read.schema(TABLES["events"]).parquet(target)
 
 
 @query
 def create_frame(spark, data_dir):
-    """Rows given in code as a frame, used to pick cells of the fact."""
-    cells = spark.createDataFrame(
-        [(1996, "ASIA"), (1998, "EUROPE"), (2000, "AFRICA"), (2001, "AMERICA")], "year int, region string"
-    )
-    fact = sales_data(spark, data_dir, ["year", "region", "revenue"], 1996, 2001)
+    """Rows given in code as a frame: a desk for some regions, looked up for the whole fact."""
+    desks = spark.createDataFrame([("ASIA", "east desk"), ("EUROPE", "west desk")], "region string, desk string")
+    fact = sales_data(spark, data_dir, ["year", "region", "revenue"])
     return (
         fact.groupBy("year", "region")
         .agg(F.sum("revenue").cast("decimal(28,2)").alias("revenue"))
-        .join(cells, ["year", "region"])
+        .join(F.broadcast(desks), "region", "left")  # two rows, whatever the fact
+        .select("year", "region", "desk", "revenue")
     )
 
 
@@ -224,8 +229,8 @@ def estate_rollup(spark, data_dir):
 
 @query
 def warnings(spark, data_dir):
-    e = sample_estate(spark, data_dir)
-    return appfacts.warnings(e.facts, e.app_facts, e.catalog)
+    e = with_saved_facts(sample_estate(spark, data_dir), "facts")
+    return e.warnings
 
 
 @query
@@ -244,10 +249,19 @@ def dependency_drop(spark, data_dir):
     return deps.dependency_drop(sample_estate(spark, data_dir).dependencies)
 
 
+def _requirements(spark, data_dir):
+    e = with_saved_facts(sample_estate(spark, data_dir), "facts")
+    return deps.target_requirements(e.app_facts, e.dependencies)
+
+
 @query
 def target_requirements(spark, data_dir):
-    e = sample_estate(spark, data_dir)
-    return deps.target_requirements(e.app_facts, e.dependencies)
+    return _requirements(spark, data_dir)
+
+
+@query
+def ordered_requirements(spark, data_dir):
+    return deps.ordered_requirements(_requirements(spark, data_dir))
 
 
 # --- manifests and provisioning --------------------------------------------------------------------
@@ -258,6 +272,11 @@ def manifest_privileges(spark, data_dir):
     return sample_estate(spark, data_dir).privileges
 
 
+@query
+def manifest_configuration(spark, data_dir):
+    return manifest.manifest_configuration(sample_estate(spark, data_dir).manifests)
+
+
 @query
 def manifest_permissions(spark, data_dir):
     return manifest.manifest_permissions(sample_estate(spark, data_dir).privileges)
@@ -481,9 +500,68 @@ def split_to_table(spark, data_dir):
     return sales.split_to_table(table(spark, data_dir, "documents"), "text", ",", keep=["doc_id"])
 
 
+@query
+def categorize_revenue_sql(spark, data_dir):
+    """The category as a function in SQL."""
+    revenue.register_sql_functions(spark)
+    lines = sales_data(spark, data_dir, ["revenue"])
+    return spark.sql(
+        """
+        SELECT categorize_revenue(revenue) AS category, count(*) AS lines, CAST(sum(revenue) AS DECIMAL(28,2)) AS revenue
+        FROM {lines} GROUP BY ALL
+        """,
+        lines=lines,
+    )
+
+
+@query
+def sales_forecast_sql(spark, data_dir):
+    """The forecast as a procedure over a view, with bound parameters."""
+    sales_data(spark, data_dir, ["year", "region", "revenue"], FORECAST_YEAR - 4).createOrReplaceTempView("sales_data")
+    found = revenue.call_sales_forecast(spark, FORECAST_YEAR, REGIONS)
+    return found.select(F.round("forecast", 2).alias("forecast"))
+
+
+@query
+def monthly_sales_sql(spark, data_dir):
+    """The rollup as a view that SQL reads."""
+    columns = ["year", "month", "region", "customer_id", "revenue", "order_count"]
+    sales.monthly_sales(sales_data(spark, data_dir, columns)).createOrReplaceTempView("monthly_sales")
+    return spark.sql("SELECT year, region, sum(total_orders) AS orders, max(unique_customers) AS most_customers FROM monthly_sales GROUP BY ALL")
+
+
 # --- semi-structured -------------------------------------------------------------------------------
 
 
+def _order_objects(spark, data_dir):
+    """One JSON object per order: scalars, an object, and for some orders nothing at all."""
+    orders = table(spark, data_dir, "orders")
+    inner = F.struct(F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"))
+    whole = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"), inner.alias("of")))
+    empty, missing = F.col("o_orderkey") % 11 == 0, F.col("o_orderkey") % 13 == 0
+    return orders.select("o_orderkey", F.when(empty, "{}").when(~missing, whole).alias("object"))
+
+
+@query
+def flatten_object(spark, data_dir):
+    return semi.flatten(_order_objects(spark, data_dir), "object", ["o_orderkey"]).drop("position")
+
+
+@query
+def flatten_outer(spark, data_dir):
+    return semi.flatten(_order_objects(spark, data_dir), "object", ["o_orderkey"], outer=True).drop("position")
+
+
+@query
+def flatten_array(spark, data_dir):
+    """Positions and values of an array in JSON text, nested arrays left as they are."""
+    arrays = table(spark, data_dir, "orders").select(
+        "o_orderkey",
+        F.to_json(F.array(F.col("o_custkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority"))).alias("list"),
+    )
+    return semi.flatten(arrays, "list", ["o_orderkey"]).drop("key")
+
+
 @query
 def variant_extract(spark, data_dir):
     events = table(spark, data_dir, "events")

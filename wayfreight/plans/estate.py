@@ -21,8 +21,10 @@ class Estate:
     use. All of it stays lazy, nothing here runs a job.
     """
 
-    def __init__(self, files: Source, manifest_files: Source, apps: Source):
+    def __init__(self, files: Source, manifest_files: Source, apps: Source, unlisted: DataFrame | None = None):
+        """``unlisted`` has warnings of folders that could not be read, if the files come from a tree."""
         self._sources = {"files": files, "manifest_files": manifest_files, "apps": apps}
+        self.unlisted = unlisted
 
     def _source(self, name: str) -> DataFrame:
         source = self._sources[name]
@@ -60,6 +62,9 @@ class Estate:
 
     @cached_property
     def dependencies(self) -> DataFrame:
+        """From the facts where they are saved and hold packages, so that no text is read again."""
+        if "packages" in self.facts.columns:
+            return self.facts.select("app_id", F.explode("packages").alias("package")).distinct()
         return deps.dependency_set(self.files)
 
     @cached_property
@@ -74,6 +79,11 @@ class Estate:
     def privileges(self) -> DataFrame:
         return manifest.manifest_privileges(self.manifests)
 
+    @cached_property
+    def warnings(self) -> DataFrame:
+        found = appfacts.warnings(self.facts, self.app_facts, self.catalog)
+        return found if self.unlisted is None else found.unionByName(self.unlisted)
+
     @cached_property
     def targets(self) -> DataFrame:
         return rewrite.target_paths(self.facts)

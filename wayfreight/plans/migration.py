@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfreight.operators import appfacts, classify, deps, manifest, rewrite
 from wayfreight.plans.estate import Estate, analysis_report
-from wayfreight.session import shared_dir
+from wayfreight.session import qualified, shared_dir
 from wayfreight.sources import tree
 from wayfreight.sources.files import decode_files
 
@@ -18,6 +18,8 @@ def estate_of_tree(spark: SparkSession, root: str) -> Estate:
     The many small files are opened once; the corpus is kept as a table in the shared folder and
     everything later reads that.
     """
+    if "://" not in root and not root.startswith("file:"):
+        root = qualified(spark, root)
     listing = tree.list_tree(spark, root)
     at = shared_dir(spark, "corpus")
     decode_files(tree.read_tree(spark, root, listing)).write.parquet(at)
@@ -26,20 +28,27 @@ def estate_of_tree(spark: SparkSession, root: str) -> Estate:
         files=files.filter(F.col("kind") != "manifest"),
         manifest_files=files.filter(F.col("kind") == "manifest"),
         apps=tree.apps_of(listing),
+        unlisted=tree.unlisted(listing),
     )
 
 
-def with_saved_facts(estate: Estate) -> Estate:
-    """The same estate with its derived tables read back from the shared folder.
+def with_saved_facts(estate: Estate, *names: str) -> Estate:
+    """The same estate with derived tables, all or the named, read back from the shared folder.
 
     Several results are made from them. Facts and manifests are narrow, the texts are not, so the
-    corpus is classified once instead of once per result, and a lost executor costs no re-scan.
+    corpus is read and classified once for all of them, and a lost executor costs no re-scan. Saved
+    facts also hold the packages of requirement files, from which the dependencies follow.
     """
     spark = estate.files.sparkSession
-    saved = Estate(estate.files, estate.manifest_files, estate.apps)
-    for name in ("facts", "manifests", "dependencies"):
+    saved = Estate(estate.files, estate.manifest_files, estate.apps, estate.unlisted)
+    for name in names or ("facts", "manifests", "dependencies"):
         at = shared_dir(spark, name)
-        getattr(estate, name).write.parquet(at)
+        if name == "facts":
+            lists = (F.col("kind") == "requirements") & F.col("readable")
+            packages = F.when(lists, deps.packages(F.col("content"))).alias("packages")
+            estate.facts_with_content.select("*", packages).drop("content").write.parquet(at)
+        else:
+            getattr(saved, name).write.parquet(at)
         saved.__dict__[name] = spark.read.parquet(at)
     return saved
 
@@ -48,7 +57,7 @@ def results(estate: Estate, convert: bool = True) -> dict[str, DataFrame]:
     """Every result table by name; analysis only when ``convert`` is off."""
     analysed = {
         "report": analysis_report(estate),
-        "warnings": appfacts.warnings(estate.facts, estate.app_facts, estate.catalog),
+        "warnings": estate.warnings,
         "recommendations": appfacts.recommendations(estate.app_facts, estate.catalog),
         "components": classify.components(estate.facts),
         "dependencies": estate.dependencies,
@@ -58,7 +67,7 @@ def results(estate: Estate, convert: bool = True) -> dict[str, DataFrame]:
     if not convert:
         return analysed
     return analysed | {
-        "converted": rewrite.converted_files(estate.facts_with_content),
+        "converted": rewrite.converted_files(estate.facts, estate.files),
         "targets": estate.targets,
         "coverage": rewrite.conversion_coverage(estate.targets),
         "rewrite_hits": rewrite.rewrite_hits(estate.files),

@@ -80,20 +80,17 @@ REWRITE_PARTS = ("snowflake", "snowpark", "session.")
 HELPER_CALL = "sql.connect("
 HELPER_NAME = "get_db_connection"
 
-CONNECTION_HELPER = """import os
-from databricks import sql as warehouse_sql
+CONNECTION_HELPER = '''def get_db_connection(prefix="DATABRICKS_"):
+    """One connection to the SQL warehouse that the environment names."""
+    from os import environ
 
+    import databricks.sql
 
-def get_db_connection():
-    env = os.environ
-    return warehouse_sql.connect(
-        server_hostname=env["DATABRICKS_SERVER_HOSTNAME"],
-        http_path=env["DATABRICKS_HTTP_PATH"],
-        access_token=env["DATABRICKS_TOKEN"],
-    )
+    keys = {"server_hostname": "SERVER_HOSTNAME", "http_path": "HTTP_PATH", "access_token": "TOKEN"}
+    return databricks.sql.connect(**{name: environ[prefix + key] for name, key in keys.items()})
 
 
-"""
+'''
 
 SQL_STAMP_TAIL = """-- Carried over as it was; nothing below this header has been translated.
 -- Check warehouse-specific syntax by hand before running it.
@@ -127,21 +124,21 @@ PERMISSION = "CAN_VIEW"
 
 # --- advice: (code, guard column, text), in the order it is given -----------------------------------
 ADVICE = (
-    ("ui_runtime", "has_streamlit", "Run the UI on the Streamlit runtime of the target platform"),
-    ("ui_connector", "has_streamlit", "Open connections with databricks.sql.connect"),
-    ("ui_table_calls", "has_streamlit", "Read tables through spark.table()"),
-    ("api_runtime", "has_api", "Serve the API as a Flask or FastAPI app"),
-    ("api_auth", "has_api", "Configure authentication in app.yaml"),
-    ("procedures", "has_stored_procedures", "Turn stored procedures into Python functions or notebooks"),
-    ("udfs", "has_udfs", "Recreate UDFs as SQL or Python functions"),
-    ("usage_convert", "has_api_usage", "Convert platform DataFrame calls to PySpark"),
-    ("usage_key_calls", "has_api_usage", "Start with session.table() and session.sql()"),
-    ("swap_connector", "needs_connector", "Swap snowflake-connector-python for databricks-sql-connector"),
-    ("swap_snowpark", "needs_snowpark", "Swap snowflake-snowpark-python for pyspark"),
-    ("phased", "is_high", "Plan the move in phases"),
-    ("phase_data", "is_high", "Phase 1: data layer and SQL"),
-    ("phase_logic", "is_high", "Phase 2: Python and DataFrame logic"),
-    ("phase_ui", "is_high", "Phase 3: user interface"),
-    ("grants_review", "has_privileges", "Map the manifest privileges to catalog grants"),
-    ("grants_mapping", "has_privileges", "USAGE becomes USE SCHEMA; SELECT and EXECUTE stay"),
+    ("ui_runtime", "has_streamlit", "The app shows pages: host it where Streamlit apps run on the target"),
+    ("ui_connector", "has_streamlit", "Its connections must be opened through the databricks SQL driver"),
+    ("ui_table_calls", "has_streamlit", "Whatever it reads by table name goes through the Spark session"),
+    ("api_runtime", "has_api", "The app answers requests: it needs a process that serves HTTP"),
+    ("api_auth", "has_api", "Say in app.yaml who may call it"),
+    ("procedures", "has_stored_procedures", "Stored procedures have no counterpart: make each a function or a notebook"),
+    ("udfs", "has_udfs", "User-defined functions have to be declared again, in SQL or Python"),
+    ("usage_convert", "has_api_usage", "Calls of the platform's DataFrame library become PySpark"),
+    ("usage_key_calls", "has_api_usage", "Most of them are table and sql calls on the session; begin there"),
+    ("swap_connector", "needs_connector", "Requirements: databricks-sql-connector in place of snowflake-connector-python"),
+    ("swap_snowpark", "needs_snowpark", "Requirements: pyspark in place of snowflake-snowpark-python"),
+    ("phased", "is_high", "The score is high: move in steps, each of which can be checked"),
+    ("phase_data", "is_high", "Step 1: tables, views and other SQL"),
+    ("phase_logic", "is_high", "Step 2: Python that works on data"),
+    ("phase_ui", "is_high", "Step 3: what users see"),
+    ("grants_review", "has_privileges", "The manifest asks for privileges: each needs a grant in the catalog"),
+    ("grants_mapping", "has_privileges", "A schema's USAGE is called USE SCHEMA there; SELECT and EXECUTE keep their names"),
 )

@@ -35,6 +35,7 @@ LISTING = T.StructType(
         T.StructField("is_dir", T.BooleanType()),
         T.StructField("size", T.LongType()),
         T.StructField("mtime", T.DoubleType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 

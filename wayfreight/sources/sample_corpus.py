@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfreight.functions.text import swap
 from wayfreight.sources.files import decode_files
-from wayfreight.sources.tables import spread, table
+from wayfreight.sources.tables import table
 
 # Snippet texts by position; ``|`` stands for a line end.
 SNIPPETS = (
@@ -54,7 +54,7 @@ def _app_columns(doc_id: Column) -> dict[str, Column]:
 
 def raw_files(spark: SparkSession, data_dir: str) -> DataFrame:
     """``app_id, path, content binary`` for every document of the sample."""
-    docs = spread(table(spark, data_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    docs = table(spark, data_dir, "documents").select("doc_id", "text", "lang")
     d = docs.select("*", *[c.alias(n) for n, c in _app_columns(F.col("doc_id")).items()])
     k, i, doc_id = F.col("k"), F.col("i"), F.col("doc_id")
 
@@ -100,7 +100,9 @@ def _manifest_text(version_lines: Column) -> Column:
         F.lit("\n      - ref_schema\n  - EXECUTE on ALL FUNCTIONS IN SCHEMA:\n      - app_schema\n"),
         F.when(g % 2 == 0, F.lit("  - privilege: CREATE DATABASE\n")).otherwise(F.lit("")),
         F.when(g % 3 == 0, F.lit("  - APPLICATION ROLE on SCHEMA: [app_schema]\n")).otherwise(F.lit("")),
+        F.when(g % 7 == 1, F.lit("  - privilege: MANAGE EVENTS\n    remark: odd\n")).otherwise(F.lit("")),
         F.lit("configuration:\n  log_level: INFO\n  enable_telemetry: true\n"),
+        F.when(g % 4 == 1, F.lit("  limit: .nan\n  2024-01-05: .inf\n")).otherwise(F.lit("")),
     )
 
 

@@ -15,17 +15,6 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{data_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out over the cores when the input comes in fewer splits than there are cores.
-
-    For CPU-heavy scans of files that cannot be split further (one huge row group). Input with
-    enough splits, that is any large corpus, is returned as it is and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df if splits >= cores else df.repartition(cores, key)
-
-
 def net_revenue() -> F.Column:
     """Line revenue. The inputs become decimals first: engines round a double-to-decimal cast differently."""
     price = F.col("l_extendedprice").cast("decimal(12,2)")
@@ -42,6 +31,9 @@ def sales_data(
 ) -> DataFrame:
     """One row per order line in the sales fact schema.
 
+    Every line of a known order is a row, whichever columns are asked for: a customer, nation, region
+    or part that is not known leaves its column empty.
+
     Only the dimensions that the asked columns need are joined, and a year range becomes a range on
     ``o_orderdate`` so that it reaches the Parquet scan (``year(ts) = 2000`` would not).
     """
@@ -57,17 +49,17 @@ def sales_data(
         customer = table(spark, data_dir, "customer")
         nation = table(spark, data_dir, "nation")
         region = table(spark, data_dir, "region")
-        homes = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(
-            region, nation.n_regionkey == region.r_regionkey
+        homes = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left").join(
+            region, nation.n_regionkey == region.r_regionkey, "left"
         )
-        orders = orders.join(homes, orders.o_custkey == homes.c_custkey)
+        orders = orders.join(homes, orders.o_custkey == homes.c_custkey, "left")
     lines = table(spark, data_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
     # Both sides are facts. The hint keeps the planner from broadcasting one of them because its
     # compressed, pruned size looks small.
     fact = lines.hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "product_name" in wanted:
         part = table(spark, data_dir, "part")
-        fact = fact.join(part, fact.l_partkey == part.p_partkey)
+        fact = fact.join(part, fact.l_partkey == part.p_partkey, "left")
 
     conformed = {
         "order_id": F.col("o_orderkey").cast("string"),

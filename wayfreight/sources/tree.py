@@ -21,6 +21,8 @@ from wayfreight.sources.files import select_sources
 
 READ_TASK_BYTES = 128 << 20
 READ_BATCH_BYTES = 16 << 20
+READ_TASK_FILES = 10_000
+LISTING_TASK_FOLDERS = 1_000
 LISTING_TASKS_PER_CORE = 4
 
 
@@ -43,14 +45,15 @@ def _list_folders(root: str):
         from pyarrow import fs
 
         schema = pa.schema(
-            [("app_id", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("mtime", pa.float64())]
+            [("app_id", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("mtime", pa.float64()), ("error", pa.string())]
         )
 
         def local(folder):
             with os.scandir(folder) as found:
                 for e in found:
                     if e.is_dir():
-                        if not e.is_symlink():
+                        # A linked application is one; links further down could lead in a circle.
+                        if folder == root or not e.is_symlink():
                             yield e.name, True, None, None
                         continue
                     try:
@@ -73,7 +76,14 @@ def _list_folders(root: str):
         def rows(batch):
             for app_id, path in zip(batch["app_id"].to_pylist(), batch["path"].to_pylist()):
                 folder = "/".join(p for p in (base, app_id, path) if p)
-                for name, is_dir, size, mtime in children(folder):
+                try:
+                    found = list(children(folder))
+                except OSError as problem:
+                    if not app_id:
+                        raise  # the root itself
+                    yield {"app_id": app_id, "path": path, "is_dir": None, "size": None, "mtime": None, "error": type(problem).__name__}
+                    continue
+                for name, is_dir, size, mtime in found:
                     if not app_id:
                         # Children of the root are the applications; loose files there belong to none.
                         if is_dir:
@@ -110,7 +120,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     folders = spark.range(1).select(F.lit("").alias("app_id"), F.lit("").alias("path"))
     count, depth = 1, 0
     while count:
-        tasks = min(count, LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+        tasks = min(count, max(LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-count // LISTING_TASK_FOLDERS)))
         at = f"{work}/depth={depth}"
         folders.repartition(tasks).mapInArrow(_list_folders(root), LISTING).write.parquet(at)
         folders = spark.read.schema(LISTING).parquet(at).filter("is_dir").select("app_id", "path")
@@ -124,6 +134,11 @@ def apps_of(listing: DataFrame) -> DataFrame:
     return listing.filter((F.col("path") == "") & F.col("is_dir")).select("app_id")
 
 
+def unlisted(listing: DataFrame) -> DataFrame:
+    """Folders that could not be listed, as warnings: what they hold is not part of the estate."""
+    return listing.filter("error IS NOT NULL").select("app_id", F.lit("folder_unreadable").alias("code"), "path", F.col("error").alias("detail"))
+
+
 def files_of(listing: DataFrame) -> DataFrame:
     return listing.filter(~F.col("is_dir"))
 
@@ -177,13 +192,13 @@ def _read_files(root: str, batch_bytes: int = READ_BATCH_BYTES):
 def read_tree(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
     """``app_id, path, content binary`` of the files worth reading.
 
-    Rows are dealt out evenly over enough tasks for their total size, whatever application they
-    belong to. Write the result to a table once and run everything else from that.
+    Rows are dealt out evenly over enough tasks for their number and total size, whatever application
+    they belong to. Write the result to a table once and run everything else from that.
     """
     listing = list_tree(spark, root) if listing is None else listing
     chosen = estate_scan(listing)
-    total = chosen.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    tasks = max(spark.sparkContext.defaultParallelism, -(-total // READ_TASK_BYTES))
+    total, many = chosen.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // READ_TASK_BYTES), -(-many // READ_TASK_FILES))
     return chosen.select("app_id", "path").repartition(tasks).mapInArrow(_read_files(_plain_root(root)), RAW_FILES)
 
 
