@@ -193,6 +193,22 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
 _STEPS = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def pack_integers(values: np.ndarray) -> bytes:
+    """Integers as byte planes, compressed."""
+    import zstandard
+
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack_integers(raw: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def sets_of(data: np.ndarray, ends: np.ndarray, size: int, word_byte: np.ndarray = ~SPACE) -> Iterator[np.ndarray]:
     """For each text its distinct shingles of ``size`` words, as sorted 64-bit hashes."""
     starts, stops, offsets = words_of(data, ends, word_byte)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfreight.llm.common import narrow, perhaps_among, sets_of, sliced, stored, text_bytes, without
+from wayfreight.llm.common import narrow, pack_integers, perhaps_among, sets_of, sliced, stored, text_bytes, unpack_integers, without
 
 MINIMA = 6  # minimum hashes of a set
 VOTES = 2  # of them that a class must share with its pivot
@@ -86,7 +86,7 @@ def _describe_batches(size: int):
         if used:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()),
-                 pa.nulls(len(used), pa.list_(pa.int64())), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())],
+                 pa.nulls(len(used), pa.list_(pa.int64())), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([pack_integers(parts[k]) for k in used], pa.binary())],
                 schema=schema,
             )
 
@@ -98,19 +98,16 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, raw in zip(batch.column("part").to_pylist(), batch.column("cells")):
             total.setdefault(part, np.zeros(CELLS // 16, np.int64))
-            total[part] += np.frombuffer(raw.as_buffer(), np.int32)
+            total[part] += unpack_integers(raw.as_py(), np.int32)
     for part, cells in total.items():
         often = np.minimum(cells, (1 << 24) - 1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([often.tobytes()], pa.binary())], names=["part", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack_integers(often)], pa.binary())], names=["part", "cells"])
 
 
-def _frequencies(described: DataFrame) -> np.ndarray:
-    """The cells of all tasks added up, one part in one task. Their number is fixed, so they may come to the driver."""
+def _frequencies(described: DataFrame) -> dict[int, bytes]:
+    """The cells of all tasks added up, packed, by part. Their number is fixed, so they may come to the driver."""
     parts = described.filter("part IS NOT NULL").select("part", "cells")
-    cells = np.zeros(CELLS, np.int32)
-    for part, raw in parts.repartition("part").mapInArrow(_add_cells, "part int, cells binary").collect():
-        cells[part * (CELLS // 16) : (part + 1) * (CELLS // 16)] = np.frombuffer(raw, np.int32)
-    return cells
+    return {part: bytes(raw) for part, raw in parts.repartition("part").mapInArrow(_add_cells, "part int, cells binary").collect()}
 
 
 # --- pivots and differences ------------------------------------------------------------------------
@@ -274,10 +271,13 @@ def _derive_batches(percent: int):
 # --- the index -------------------------------------------------------------------------------------
 
 
-def _prefix_batches(size: int, percent: int, cells: np.ndarray):
+def _prefix_batches(size: int, percent: int, frequencies: dict[int, bytes]):
     """The first shingles, from rare to frequent, of each set that the task has not met before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int32)
+        for part, raw in frequencies.items():
+            cells[part * (CELLS // 16) : (part + 1) * (CELLS // 16)] = unpack_integers(raw, np.int32)
         seen: set[int] = set()
         for batch in sliced(batches, "text", 4 << 20):
             keys, cls, sizes = [], [], []
@@ -332,16 +332,12 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pair_batches(percent: int):
-    """Pairs across pivots that share a key, as far as sizes, positions and parities allow a link.
-
-    Two sets differ in at least as many shingles as their parities differ in bits.
-    """
+    """Pairs across pivots that share a key, as far as sizes and positions allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key", "i", "j"]):
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             rep, cluster, chunk, n, pos = (group.column(c).to_numpy() for c in ("rep", "cluster", "chunk", "n", "pos"))
-            parity = np.frombuffer(b"".join(group.column("parity").to_pylist()), np.uint64).reshape(len(rep), -1)
             found = []
             for a in range(len(rep) - 1):
                 b = slice(a + 1, None)
@@ -350,17 +346,28 @@ def _pair_batches(percent: int):
                 fits = (cluster[b] != cluster[a]) & (rep[b] != rep[a]) & (most >= least)
                 if i != j:
                     fits &= chunk[b] != chunk[a]
-                others = np.flatnonzero(fits)
-                if len(others):
-                    apart = np.bitwise_count(parity[a] ^ parity[a + 1 + others]).sum(axis=1, dtype=np.int64)
-                    others = others[apart <= n[a] + n[b][others] - 2 * least[others]]
-                    found += [(int(min(rep[a], y)), int(max(rep[a], y))) for y in rep[b][others]]
+                found += [(int(min(rep[a], y)), int(max(rep[a], y))) for y in rep[b][fits]]
             if found:
                 yield _edges(sorted(set(found)))
 
     return run
 
 
+def _near_parities(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(x, p) of the pairs whose parities allow a link: sets differ in at least as many shingles as those in bits."""
+    for side in ("a", "b"):
+        own = named.select(F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}"))
+        pairs = pairs.join(own, F.col(side) == F.col(f"rep_{side}"))
+    apart = F.lit(0)
+    for k in range(PARITIES // 64):
+        words = [F.conv(F.hex(F.substring(f"parity_{s}", 8 * k + 1, 8)), 16, -10).cast("bigint") for s in "ab"]
+        apart = apart + F.bit_count(words[0].bitwiseXOR(words[1]))
+    sizes = F.col("n_a") + F.col("n_b")
+    least = F.ceil(percent * sizes / (100 + percent))
+    # Division of doubles may round up what is whole; a difference of one shingle more is let through.
+    return pairs.filter(apart <= sizes - 2 * least + 2).select(F.col("b").alias("x"), F.col("a").alias("p"))
+
+
 # --- components ------------------------------------------------------------------------------------
 
 
@@ -410,7 +417,7 @@ def jaccard_components(
     described = stored(rows.mapInArrow(_describe_batches(size), "id bigint, n bigint, cls bigint, minima array<bigint>, parity binary, part int, cells binary"), "jaccard-sets")
     members = described.filter("part IS NULL").select("id", "n", "cls", "minima", "parity")
     classes = stored(
-        members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("minima").alias("minima"), F.first("parity").alias("parity")),
+        members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("parity").alias("parity")),
         "jaccard-classes",
     )
     named = classes.filter("rep IS NOT NULL")
@@ -439,12 +446,10 @@ def jaccard_components(
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
     lists = lists.filter("low <> high").select(F.col("key").alias("lkey"), F.ceil(F.col("many") / CHUNK).cast("int").alias("chunks"))
     lists = stored(lists, "jaccard-lists")
-    parities = named.select(F.col("rep").alias("prep"), "parity")
-    mixed = entries.join(lists, F.col("key") == F.col("lkey")).join(parities, F.col("rep") == F.col("prep"))
-    mixed = mixed.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    mixed = entries.join(lists, F.col("key") == F.col("lkey")).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
     mixed = _chunk_pairs(mixed, "chunk", "chunks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = mixed.select("key", "i", "j", "rep", "cluster", "chunk", "n", "pos", "parity").mapInArrow(_pair_batches(percent), "a bigint, b bigint")
-    pairs = stored(pairs.distinct().select(F.col("b").alias("x"), F.col("a").alias("p")), "jaccard-candidates")
+    pairs = mixed.select("key", "i", "j", "rep", "cluster", "chunk", "n", "pos").mapInArrow(_pair_batches(percent), "a bigint, b bigint")
+    pairs = stored(_near_parities(pairs.distinct(), named, percent), "jaccard-candidates")
     across = compare(texts, pairs, size, percent)
     edges.append(across.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
 

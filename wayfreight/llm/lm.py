@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfreight.llm.common import in_fold, mix, narrow, sliced, stored, text_bytes, word_hashes, words_of
+from wayfreight.llm.common import pack_integers as _pack
+from wayfreight.llm.common import unpack_integers as _unpack
 
 BLOCK_BYTES = 4 << 20  # of text in a block, or one longer text
 RANGE_ENTRIES = 1 << 20  # n-gram entries that a range gets, about
@@ -80,22 +82,6 @@ class Automaton:
 # --- packing ---------------------------------------------------------------------------------------
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Integers as byte planes, compressed."""
-    import zstandard
-
-    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def _unpack(raw: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
-
-
 def _pack_sorted(keys: np.ndarray) -> bytes:
     return _pack(np.diff(keys, prepend=np.uint64(0)))
 
