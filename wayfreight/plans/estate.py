@@ -21,10 +21,13 @@ class Estate:
     use. All of it stays lazy, nothing here runs a job.
     """
 
-    def __init__(self, files: Source, manifest_files: Source, apps: Source, unlisted: DataFrame | None = None):
-        """``unlisted`` has warnings of folders that could not be read, if the files come from a tree."""
+    def __init__(self, files: Source, manifest_files: Source, apps: Source, unlisted: DataFrame | None = None, strict: bool = False):
+        """``unlisted`` has warnings of folders that could not be read, if the files come from a tree.
+        ``strict`` asks for a word boundary before UI markers.
+        """
         self._sources = {"files": files, "manifest_files": manifest_files, "apps": apps}
         self.unlisted = unlisted
+        self.strict = strict
 
     def _source(self, name: str) -> DataFrame:
         source = self._sources[name]
@@ -44,7 +47,7 @@ class Estate:
 
     @cached_property
     def facts_with_content(self) -> DataFrame:
-        return classify.file_facts(self.files, keep_content=True)
+        return classify.file_facts(self.files, strict=self.strict, keep_content=True)
 
     @cached_property
     def facts(self) -> DataFrame:

@@ -12,7 +12,7 @@ from wayfreight.sources import tree
 from wayfreight.sources.files import decode_files
 
 
-def estate_of_tree(spark: SparkSession, root: str) -> Estate:
+def estate_of_tree(spark: SparkSession, root: str, strict: bool = False) -> Estate:
     """An estate read from ``root/<application>/...``.
 
     The many small files are opened once; the corpus is kept as a table in the shared folder and
@@ -29,6 +29,7 @@ def estate_of_tree(spark: SparkSession, root: str) -> Estate:
         manifest_files=files.filter(F.col("kind") == "manifest"),
         apps=tree.apps_of(listing),
         unlisted=tree.unlisted(listing),
+        strict=strict,
     )
 
 
@@ -40,7 +41,7 @@ def with_saved_facts(estate: Estate, *names: str) -> Estate:
     facts also hold the packages of requirement files, from which the dependencies follow.
     """
     spark = estate.files.sparkSession
-    saved = Estate(estate.files, estate.manifest_files, estate.apps, estate.unlisted)
+    saved = Estate(estate.files, estate.manifest_files, estate.apps, estate.unlisted, estate.strict)
     for name in names or ("facts", "manifests", "dependencies"):
         at = shared_dir(spark, name)
         if name == "facts":
