@@ -130,12 +130,12 @@ def _gather(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndar
 
 def fit(rows: DataFrame, id_col: str = "id", text_col: str = "text", lang_col: str = "lang") -> tuple[dict, list[str]]:
     """Model and language names from labelled rows; only excerpts of a bounded sample reach the driver."""
-    sample, counts = sample_by_class(rows, lang_col, F.col(id_col), DOCUMENTS_PER_LANGUAGE)
     room = F.greatest(F.length(text_col) - WINDOW, F.lit(0))
     excerpts = [F.substring(text_col, (1 + F.floor(room * k / max(1, EXCERPTS - 1))).cast("int"), F.lit(WINDOW)) for k in range(EXCERPTS)]
-    taken = sample.select(lang_col, F.array_distinct(F.array(*excerpts)).alias("excerpts")).collect()
+    short = rows.select(id_col, lang_col, F.array_distinct(F.array(*excerpts)).alias("excerpts"))
+    sample, counts = sample_by_class(short, lang_col, F.col(id_col), DOCUMENTS_PER_LANGUAGE)
     names = sorted(counts)
-    pieces = sorted((names.index(r[0]), e) for r in taken for e in r[1] if e.strip())
+    pieces = sorted((names.index(r[lang_col]), e) for r in sample.collect() for e in r["excerpts"] if e.strip())
     if not pieces:
         return {}, names
     raw = [e.encode()[:WINDOW] for _, e in pieces]
