@@ -34,7 +34,7 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark (weighted similarity of 0.8 or more)."""
-    return decontaminate.drop_contaminated(docs, source(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, source(spark, sf_dir, "benchmark"), every_length=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

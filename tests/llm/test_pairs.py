@@ -170,6 +170,60 @@ def test_matches_equal_brute_force(spark):
         assert r.similarity == pytest.approx(expected[r.doc_id, r.item_id])
 
 
+def brute_windows(docs, items):
+    """Best weighted similarity of all windows of an item's length; if none will do, of windows of all lengths."""
+    shingles = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+    known = {i: Counter(shingles(norm(t))) for i, t in items}
+    having = Counter(s for c in known.values() for s in c)
+    weight = lambda s: np.log1p(len(known) / having.get(s, 1))
+    total = {i: sum(weight(s) * n for s, n in c.items()) for i, c in known.items()}
+    best = brute_matches(docs, items)
+    for d, text in docs:
+        made = shingles(norm(text))
+        for i in known:
+            if (d, i) in best:
+                continue
+            for a in range(len(made)):
+                both = all_of = 0.0
+                seen = Counter()
+                for s in made[a:]:
+                    seen[s] += 1
+                    all_of += weight(s)
+                    both += weight(s) * (seen[s] <= known[i][s])
+                    if both / (all_of + total[i] - both) >= 0.8 - 1e-9:
+                        best[d, i] = max(best.get((d, i), 0), both / (all_of + total[i] - both))
+    return best
+
+
+def test_windows_of_other_lengths_are_found(spark):
+    """Texts shorter than an item, and passages with words left out or put in."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    shared = words(12)
+    items = [(k, words(n)) for k, n in enumerate((40, 59, 20, 100))] + [(k, shared + words(20)) for k in range(4, 8)]
+    items += [(8, ["again", "and", "over", "and", "out"] * 9)]
+    texts = [items[0][1][:n] for n in (39, 35, 33, 32, 31, 20, 4)] + [items[0][1][k:] for k in (1, 7, 8, 12)]
+    for k, item in items:
+        for n in (1, 3, 7):
+            at = rng.randrange(1, len(item) - n)
+            for part in (item[:at] + item[at + n :], item[:at] + words(n) + item[at:], item[n:], item[:-n]):
+                texts += [part, words(rng.randrange(30)) + part + words(rng.randrange(30))]
+    texts.append(words(9000) + items[1][1][:27] + items[1][1][29:] + words(9000))
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    items = [(k, " ".join(t)) for k, t in items]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(0, 0), (1, 0), (2, 0)} <= {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(frame, bench).collect()}
+    found = decontaminate.find_contamination(frame, bench, every_length=True).collect()
+    short = docs[:-1]
+    expected = brute_windows(short, items)
+    assert {(0, 0), (1, 0), (2, 0)} <= set(expected) and len(expected) > len(brute_matches(short, items)) + 20
+    assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in found if r.doc_id < len(short)} == expected
+    for r in found:
+        assert 0 <= r.first_word and r.first_word + r.n_words <= len(texts[r.doc_id])
+    assert [r.item_id for r in found if r.doc_id == len(short)] == [1]
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(2)
     bench = decontaminate.Benchmark(list(range(30)), [" ".join(f"w{x}" for x in rng.integers(0, 999, 30)) for _ in range(30)])

@@ -74,7 +74,8 @@ FROM d
 
 @query
 def op8_decontaminate(spark, sf_dir):
-    return decontaminate.find_contamination(source(spark, sf_dir, "documents"), source(spark, sf_dir, "benchmark"))
+    documents, benchmark = source(spark, sf_dir, "documents"), source(spark, sf_dir, "benchmark")
+    return decontaminate.find_contamination(documents, benchmark, every_length=True)
 
 
 @query

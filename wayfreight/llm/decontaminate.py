@@ -77,6 +77,8 @@ class Benchmark:
         self.total = np.array([(self.weight[v] * c).sum() for v, c in self.items])
         pairs = sorted((int(v), k) for k, (vs, _) in enumerate(self.items) for v in vs)
         self.holders = np.array([k for _, k in pairs])
+        times = {(int(v), k): int(c) for k, (vs, cs) in enumerate(self.items) for v, c in zip(vs, cs)}
+        self.holder_times = np.array([times[pair] for pair in pairs])
         self.holder_at = np.searchsorted(np.array([v for v, _ in pairs]), np.arange(len(self.vocabulary) + 1))
         self.prints = np.stack([
             _pack(((self.weight[v] * c)[None, :].astype(np.float32) @ _signs(self.vocabulary[v])))[0] for v, c in self.items
@@ -161,6 +163,53 @@ def _windows(bench: Benchmark, texts: _Texts, t: int, a: int, b: int) -> Iterato
             yield words, a + first, _pack(sums[first + span] - sums[first])
 
 
+def _enough(bench: Benchmark, known: np.ndarray) -> np.ndarray:
+    """Items of whose weight a text holds enough, wherever it stands; no other item can be similar to a window of it."""
+    held, times = np.unique(known[known >= 0], return_counts=True)
+    at = [slice(bench.holder_at[v], bench.holder_at[v + 1]) for v in held]
+    item = np.concatenate([bench.holders[a] for a in at])
+    shared = np.concatenate([bench.weight[v] * np.minimum(bench.holder_times[a], n) for v, n, a in zip(held, times, at)])
+    items, place = np.unique(item, return_inverse=True)
+    return items[np.bincount(place, shared) >= (LEAST_SIMILARITY - 1e-9) * bench.total[items]]
+
+
+def _best_window(bench: Benchmark, item: int, known: np.ndarray) -> tuple[float, int, int] | None:
+    """(similarity, first, end) of the window of any length that is most similar to an item, if similar enough.
+
+    Windows of the item's own length are tried first, others only if none of those will do. Of the others
+    only those count that begin and end with a shingle of the item: without other ends they are more similar.
+    """
+    places, counts = bench.items[item]
+    span, total = int(counts.sum()), float(bench.total[item])
+    least = LEAST_SIMILARITY - 1e-9
+    weight = np.where(known < 0, bench.other_weight, bench.weight[np.maximum(known, 0)])
+    local = np.minimum(np.searchsorted(places, known), len(places) - 1)
+    its = places[local] == known
+    sums = np.concatenate(([0.0], np.cumsum(weight)))
+    ours = np.concatenate(([0.0], np.cumsum(np.where(its, weight, 0.0))))
+    best = None
+    for f in np.flatnonzero(ours[span:] - ours[:-span] >= least * total - 1e-6).tolist():
+        found = _similarity(bench, item, known[f : f + span])
+        if found >= least and (best is None or found > best[0]):
+            best = found, f, f + span
+    if best:
+        return best
+    hits = np.flatnonzero(its)
+    # No similar window outweighs the item by more than 1 / LEAST_SIMILARITY.
+    ends = np.searchsorted(sums, sums[hits] + total / least + 1e-6, side="right") - 1
+    may = ours[ends] - ours[hits] >= least * total - 1e-6
+    for k in np.flatnonzero(may).tolist():
+        first, both, left = int(hits[k]), 0.0, counts.copy()
+        for h in hits[k : np.searchsorted(hits, ends[k])].tolist():
+            if left[local[h]] > 0:
+                left[local[h]] -= 1
+                both += weight[h]
+                found = float(both / (sums[h + 1] - sums[first] + total - both))
+                if found >= least and (best is None or found > best[0]):
+                    best = found, first, h + 1
+    return best
+
+
 def _similarity(bench: Benchmark, item: int, window: np.ndarray) -> float:
     """Weighted Jaccard of an item and a window, given as places in the vocabulary or -1."""
     places, counts = bench.items[item]
@@ -171,7 +220,7 @@ def _similarity(bench: Benchmark, item: int, window: np.ndarray) -> float:
     return float(both / (total + bench.total[item] - both))
 
 
-def find_matches(bench: Benchmark, data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+def find_matches(bench: Benchmark, data: np.ndarray, ends: np.ndarray, every_length: bool = False) -> list[tuple[int, int, float, int, int]]:
     """(text, item, similarity, first word, words) of the best window for each text and item."""
     if not len(bench.vocabulary):
         return []
@@ -200,13 +249,21 @@ def find_matches(bench: Benchmark, data: np.ndarray, ends: np.ndarray) -> list[t
                 waiting, many = [], 0
     if waiting:
         search(waiting)
+    for t in np.unique(np.searchsorted(texts.at, texts.hits, side="right") - 1).tolist():
+        known = texts.known[texts.at[t] : texts.at[t + 1]]
+        for item in _enough(bench, known).tolist():
+            if (t, item) in best or not (every_length or texts.words[t] < bench.words[item]):
+                continue
+            if found := _best_window(bench, item, known):
+                similarity, first, end = found
+                best[t, item] = (min(similarity, 1.0), first, min(end - first + SHINGLE - 1, int(texts.words[t])))
     return [(t, item, s, f, w) for (t, item), (s, f, w) in sorted(best.items())]
 
 
-def _match_batches(bench: Benchmark):
+def _match_batches(bench: Benchmark, every_length: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 4 << 20):
-            found = find_matches(bench, *text_bytes(batch.column("text")))
+            found = find_matches(bench, *text_bytes(batch.column("text")), every_length)
             ids = batch.column("id")
             yield pa.RecordBatch.from_arrays(
                 [
@@ -234,8 +291,9 @@ def load_benchmark(benchmark: DataFrame, id_col: str = "item_id", text_col: str
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    every_length: bool = False,
+) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of each document for each item it holds.
 
     Words are runs of letters and digits, A-Z lower-cased; shingles are five words long. Windows of
@@ -245,6 +303,11 @@ def find_contamination(
     computed exactly, and from 0.8 on it is a match. At a similarity of 0.8 fingerprints are expected
     about 38 bits apart, give or take 6, so RADIUS is four deviations away.
 
+    A text shorter than an item has no such window; there, windows of all lengths are compared with the
+    item exactly, without fingerprints, if the text holds 0.8 or more of its weight (no other can match).
+    ``every_length`` asks for the same in any text where no window of the item's length matches: a
+    passage may have lost or gained words. ``n_words`` is the window's own length.
+
     Defined cases: null and empty texts match nothing; items without text or id are not looked for; an
     item of fewer than five words matches only a text that consists of exactly its words; repeated
     items and rows each give their own row; an empty table gives an empty result; other columns are
@@ -252,11 +315,13 @@ def find_contamination(
     """
     bench = load_benchmark(benchmark, item_col, item_text_col)
     schema = "doc_id bigint, item_id bigint, similarity double, first_word bigint, n_words bigint"
-    return narrow(docs, id_col, text_col).mapInArrow(_match_batches(bench), schema)
+    return narrow(docs, id_col, text_col).mapInArrow(_match_batches(bench, every_length), schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_length: bool = False
+) -> DataFrame:
     """The documents without a benchmark passage, all columns as they are."""
-    found = find_contamination(docs, benchmark, id_col, text_col)
+    found = find_contamination(docs, benchmark, id_col, text_col, every_length=every_length)
     gone = stored(found.select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
     return without(docs, gone, id_col)
