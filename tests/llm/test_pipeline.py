@@ -10,7 +10,7 @@ from test_pairs import brute_components, norm
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from wayfreight.llm import bpe, catalogue
+from wayfreight.llm import bpe, catalogue, quality
 
 DATA = "/root/testdata/sf0.001"
 
@@ -59,3 +59,30 @@ def test_stages_take_odd_rows(spark, tricky, nothing):
             assert out.columns == tricky.columns
         assert out.count() <= tricky.count()
         assert stage(spark, nothing, DATA).count() == 0
+
+
+def test_stages_decide_row_by_row(spark):
+    """Rows without an id, ids that repeat with other texts, and equal rows."""
+    schema = "doc_id long, text string, lang string"
+    table = lambda rows: spark.createDataFrame([(i, t, "en") for i, t in rows], schema).repartition(3)
+    left = lambda name, rows: sorted(pairs_of(stages[name](spark, table(rows), DATA)), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+
+    docs = pairs_of(spark.read.parquet(f"{DATA}/documents.parquet"))
+    scores = quality.score_quality(table(docs), spark.read.parquet(f"{DATA}/labels.parquet")).collect()
+    poor = {r.doc_id for r in scores if not r.predicted}
+    bad, good = (next(t for i, t in docs if (i in poor) == which) for which in (True, False))
+    held = next(r.doc_id for r in scores if r.held_out and r.predicted)
+    odd = docs + [(None, bad), (None, good), (held, bad)]
+    assert left("quality", odd) == sorted([(i, t) for i, t in docs if i not in poor] + [(None, good)], key=str)
+
+    rows = [(1, "a b"), (2, "A b"), (2, "A b"), (2, "c"), (None, "a B"), (None, "d"), (None, "D"), (3, "c")]
+    assert [(i, t.lower()) for i, t in left("exact_dedup", rows)] == [(2, "a b"), (3, "c"), (None, "d")]
+
+    words = [f"w{k}" for k in range(60)]
+    near, other = " ".join(words), " ".join(f"v{k}" for k in range(60))
+    rows = [(5, near), (5, near), (4, near + " x"), (4, other), (None, near + " y"), (None, other + " z"), (6, other + " q"), (None, "alone"), (None, "alone")]
+    assert left("near_dedup", rows) == sorted([(4, near + " x"), (4, other), (None, "alone")], key=str)
+
+    passage = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    assert left("decontaminate", [(1, passage), (1, near), (None, passage), (None, near), (2, other)]) == sorted([(1, near), (None, near), (2, other)], key=str)

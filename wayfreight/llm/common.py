@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,26 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
 
 
+def by_row(
+    docs: DataFrame, id_col: str, drop: Callable[[DataFrame, str], DataFrame], nulls_last: bool = False
+) -> DataFrame:
+    """What ``drop(rows, id_col)`` keeps of docs, with each row decided by itself, whatever its id.
+
+    Operators name rows by id. Where every row has an id of its own, nothing is added to that but one
+    pass over the ids. Otherwise the rows are stored with a number of their own in the order of the
+    ids, rows without an id first (or last), and ``drop`` goes by that; this shuffles the texts once.
+    """
+    ids = docs.select(docs[id_col].cast("bigint").alias("id")).groupBy("id").count()
+    if not ids.filter("id IS NULL OR count > 1").count():
+        return drop(docs, id_col)
+    # Numbered before the sort as well: equal ids, and equal rows, spread over tasks and never tie.
+    kept = stored(docs.withColumn("__place", F.monotonically_increasing_id()), "rows-placed")
+    order = F.col(id_col).cast("bigint")
+    placed = kept.sort(order.asc_nulls_last() if nulls_last else order.asc_nulls_first(), "__place")
+    numbered = stored(placed.withColumn("__row", F.monotonically_increasing_id()), "rows-numbered")
+    return drop(numbered, "__row").select(*docs.columns)
+
+
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text under fixed names, so that no other column can clash."""
     return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))

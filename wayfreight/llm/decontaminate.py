@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfreight.llm.common import mix, narrow, shingle_hashes, sliced, stored, text_bytes, without, word_hashes, words_of
+from wayfreight.llm.common import by_row, mix, narrow, shingle_hashes, sliced, stored, text_bytes, without, word_hashes, words_of
 
 SHINGLE = 5  # words
 LEAST_SIMILARITY = 0.8
@@ -319,9 +319,15 @@ def find_contamination(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_length: bool = False
-) -> DataFrame:
-    """The documents without a benchmark passage, all columns as they are."""
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    every_length: bool = False, each_row: bool = False,
+) -> DataFrame:
+    """The documents without a benchmark passage, all columns as they are.
+
+    With ``each_row`` rows whose id is null or repeats go or stay by their own texts.
+    """
+    if each_row:
+        return by_row(docs, id_col, lambda rows, row: drop_contaminated(rows, benchmark, row, text_col, every_length))
     found = find_contamination(docs, benchmark, id_col, text_col, every_length=every_length)
     gone = stored(found.select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
     return without(docs, gone, id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfreight.llm.common import UPPER, stored, without
+from wayfreight.llm.common import UPPER, by_row, stored, without
 
 #: The filter has 16 bits a row, but no more than this; the broadcast holds at most a 64th of it in rows of 16 bytes.
 MOST_FILTER_BITS = 1 << 27
@@ -81,8 +81,13 @@ def exact_dedup(
     return alone.unionByName(grouped).withColumnRenamed("sha", "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, all columns as they are. Only the ids of copies meet the texts again."""
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", each_row: bool = False) -> DataFrame:
+    """The documents that stay, all columns as they are. Only the ids of copies meet the texts again.
+
+    With ``each_row`` just one row of a group stays, also where ids are null or repeat.
+    """
+    if each_row:
+        return by_row(docs, id_col, lambda rows, row: drop_exact_copies(rows, row, text_col))
     verdicts = exact_dedup(docs, id_col, text_col)
     dropped = stored(verdicts.filter("NOT kept").select(F.col("doc_id").alias(id_col)), "exact-dedup-dropped")
     return without(docs, dropped, id_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfreight.llm.common import narrow, pack_integers, perhaps_among, sets_of, sliced, stored, text_bytes, unpack_integers, without
+from wayfreight.llm.common import by_row, narrow, pack_integers, perhaps_among, sets_of, sliced, stored, text_bytes, unpack_integers, without
 
 MINIMA = 6  # minimum hashes of a set
 VOTES = 2  # of them that a class must share with its pivot
@@ -460,9 +460,15 @@ def jaccard_components(
 
 
 def keep_one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, each_row: bool = False
 ) -> DataFrame:
-    """Of each component the document with the smallest id stays, all columns as they are."""
+    """Of each component the document with the smallest id stays, all columns as they are.
+
+    With ``each_row`` just one row of a component stays, also where ids are null (these count as
+    largest) or repeat.
+    """
+    if each_row:
+        return by_row(docs, id_col, lambda rows, row: keep_one_of_each(rows, row, text_col, size, percent), nulls_last=True)
     found = jaccard_components(docs, id_col, text_col, size, percent)
     more = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), "jaccard-dropped")
     return without(docs, more, id_col)

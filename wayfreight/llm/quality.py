@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfreight.llm.common import in_fold, narrow, sliced, stored, text_bytes, without, word_hashes, words_of
+from wayfreight.llm.common import by_row, in_fold, narrow, sliced, stored, text_bytes, without, word_hashes, words_of
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "longest_word", "letters", "capitals", "digits", "blanks",
@@ -219,8 +219,28 @@ def score_quality(
     )
 
 
-def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the classifier accepts, all columns as they are. Only rejected ids meet the texts again."""
-    scores = score_quality(docs, labels, id_col, text_col)
+def drop_poor(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", each_row: bool = False
+) -> DataFrame:
+    """The documents that the classifier accepts, all columns as they are. Only rejected ids meet the texts again.
+
+    With ``each_row`` rows whose id is null or repeats go or stay by their own texts; what is learned is the same.
+    """
+
+    def by_number(rows: DataFrame, row: str) -> DataFrame:
+        if row == id_col:
+            return drop_poor(rows, labels, id_col, text_col)
+        known = labels.select(labels[id_col].cast("bigint").alias("known_id"), labels["quality"])
+        known = known.filter(~in_fold("known_id", 5, 0))
+        of_rows = rows.select(rows[row], rows[id_col].cast("bigint").alias("id")).join(known, F.col("id") == F.col("known_id"))
+        # The fold is left out above, by the ids; by row numbers nothing is held out.
+        return _drop_scored(rows, score_quality(rows, of_rows, row, text_col, modulus=1, remainder=1), row)
+
+    if each_row:
+        return by_row(docs, id_col, by_number)
+    return _drop_scored(docs, score_quality(docs, labels, id_col, text_col), id_col)
+
+
+def _drop_scored(docs: DataFrame, scores: DataFrame, id_col: str) -> DataFrame:
     poor = stored(scores.filter("predicted = 0").select(F.col("doc_id").alias(id_col)), "quality-rejected")
     return without(docs, poor, id_col)
