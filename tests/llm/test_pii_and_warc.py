@@ -132,3 +132,16 @@ def test_small_archives_have_no_dictionary():
 
 def test_no_pages(spark):
     assert warc.write_and_read(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_account_numbers_end_before_other_words():
+    found = lambda text: [text[s:e] for s, kind, e, _ in pii.find_spans(text) if kind == "iban"]
+    number = "DE89 3704 0044 0532 0130 00"
+    for after in ("", " BIC COBADEFFXXX", " I said", " 2024", " AND 12 MORE", ", B", " GB82 WEST 1234 5698 7654 32"):
+        for form in (number, number.replace(" ", "")):
+            assert found(f"pay {form}{after}")[0] == form
+    assert found(f"AB12 {number} X") == [number]
+    assert found(f"{number} {number} GB82WEST12345698765432 OK") == [number, number, "GB82WEST12345698765432"]
+    assert found("DE88 3704 0044 0532 0130 00 BIC") == []
+    unlisted = next(f"ZZ{k:02} 1234 5678 9012" for k in range(2, 99) if pii.mod97(f"ZZ{k:02}123456789012"))
+    assert found(unlisted + " X") == [unlisted]

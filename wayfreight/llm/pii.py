@@ -36,6 +36,19 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: How many characters an account number has in its country (registry of ISO 13616).
+_IBAN_LENGTH = {
+    code: int(n)
+    for n, codes in (
+        pair.split(":")
+        for pair in (
+            "15:NO 16:BE 18:DK,FO,FI,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:HR,LV,LI,CH 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+            "23:AE,IL,IQ,OM,SO,TL,GI 24:AD,CZ,MD,PK,RO,SA,SK,ES,SE,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+            "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for code in codes.split(",")
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -107,9 +120,26 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield m.span()
+    """From each place where one may begin: as long as its country has it, or the whole match, if it passes modulo 97.
+
+    The pattern takes words in capitals and digits that follow, so the end of any word inside the match
+    may be the number's; for countries that are not listed the longest that passes is taken.
+    """
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, end = m.span()
+        at = start + 1  # a number may begin inside a match that is none
+        whole = [e for e in range(start + 15, end + 1) if e == end or text[e] == " "]
+        sizes = {e: e - start - text.count(" ", start, e) for e in whole}
+        fixed = _IBAN_LENGTH.get(text[start : start + 2])
+        ends = [e for e in reversed(whole) if sizes[e] >= 15]
+        if fixed:
+            ends = [e for e in ends if sizes[e] == fixed] + [end]
+        for e in ends:
+            if mod97(text[start:e].replace(" ", "")):
+                yield start, e
+                at = e
+                break
 
 
 def _ssns(text: str) -> Iterator[tuple[int, int]]:
@@ -176,7 +206,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Each kind takes the leftmost non-overlapping matches of its pattern and drops those whose check
     fails (octets up to 255, Luhn, 9 to 15 digits), without trying again inside. The searches are
     written so that long runs of digits or address characters cost no more than their length. Added
-    kinds: account numbers confirmed modulo 97, and social security numbers, which only words nearby
+    kinds: account numbers of their country's length confirmed modulo 97, which other words may follow, and social security numbers, which only words nearby
     lift above the threshold. Offsets count code points.
 
     Defined cases: a null text is empty and has no spans (the digest is that of the empty string); a
