@@ -224,6 +224,37 @@ def test_windows_of_other_lengths_are_found(spark):
     assert [r.item_id for r in found if r.doc_id == len(short)] == [1]
 
 
+@pytest.mark.parametrize("radius", [decontaminate.RADIUS, 15])
+def test_templated_items_are_found(spark, monkeypatch, radius):
+    """Items of a long shared part and few words of their own, which weigh most; also when fingerprints find little."""
+    monkeypatch.setattr(decontaminate, "RADIUS", radius)
+    rng = random.Random(5)
+    shared = [f"t{k}" for k in range(180)]
+    items = [shared + [f"own{k}x{j}" for j in range(6)] for k in range(40)]
+    docs = []
+    for k in range(120):
+        text = list(items[k % 40])
+        for j in range(rng.randrange(6)):
+            text[-1 - j] = f"z{rng.randrange(10**9)}"
+        docs.append((k, " ".join(["before", *text, "after"])))
+    items = [(k, " ".join(t)) for k, t in enumerate(items)]
+    expected = brute_matches(docs, items)
+    found = decontaminate.find_contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in found.collect()} == expected
+    assert len(expected) > 40 and any(s < 0.85 for s in expected.values())
+
+
+def test_fingerprints_of_templated_items_are_near():
+    shared = [f"t{k}" for k in range(180)]
+    items = [" ".join(shared + [f"own{k}x{j}" for j in range(3)]) for k in range(300)]
+    bench = decontaminate.Benchmark(list(range(300)), items)
+    assert min(decontaminate._similarity(bench, k, bench.items[0][0]) for k in range(300)) > 0.78
+    apart = [sum(int(x).bit_count() for x in bench.prints[0] ^ bench.prints[k]) for k in range(1, 300)]
+    assert max(apart) <= decontaminate.RADIUS
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(2)
     bench = decontaminate.Benchmark(list(range(30)), [" ".join(f"w{x}" for x in rng.integers(0, 999, 30)) for _ in range(30)])

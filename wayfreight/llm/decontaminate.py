@@ -51,7 +51,8 @@ class Benchmark:
     """The items as weighted shingles and fingerprints, with tables of their fingerprint blocks.
 
     A shingle weighs the more, the fewer items have it: log(1 + items / items with it). Nothing here
-    depends on the documents.
+    depends on the documents. Fingerprints take square roots of weights: the angle between them then follows
+    the weighted Jaccard similarity, also where a few shingles outweigh all others.
     """
 
     def __init__(self, ids: list[int], texts: list[str]):
@@ -81,7 +82,7 @@ class Benchmark:
         self.holder_times = np.array([times[pair] for pair in pairs])
         self.holder_at = np.searchsorted(np.array([v for v, _ in pairs]), np.arange(len(self.vocabulary) + 1))
         self.prints = np.stack([
-            _pack(((self.weight[v] * c)[None, :].astype(np.float32) @ _signs(self.vocabulary[v])))[0] for v, c in self.items
+            _pack(((np.sqrt(self.weight[v]) * c)[None, :].astype(np.float32) @ _signs(self.vocabulary[v])))[0] for v, c in self.items
         ])
 
     def near(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -151,7 +152,7 @@ def _windows(bench: Benchmark, texts: _Texts, t: int, a: int, b: int) -> Iterato
     holders = np.concatenate([bench.holders[bench.holder_at[v] : bench.holder_at[v + 1]] for v in held])
     weight = np.where(known < 0, bench.other_weight, bench.weight[np.maximum(known, 0)])
     sums = np.zeros((b - a + 1, BITS))
-    np.cumsum(_signs(texts.shingles[a:b]) * weight[:, None], axis=0, out=sums[1:])
+    np.cumsum(_signs(texts.shingles[a:b]) * np.sqrt(weight)[:, None], axis=0, out=sums[1:])
     among = np.concatenate(([0], np.cumsum(known >= 0)))
     for words in np.unique(bench.words[holders]).tolist():
         span = max(1, words - SHINGLE + 1)
@@ -173,10 +174,10 @@ def _enough(bench: Benchmark, known: np.ndarray) -> np.ndarray:
     return items[np.bincount(place, shared) >= (LEAST_SIMILARITY - 1e-9) * bench.total[items]]
 
 
-def _best_window(bench: Benchmark, item: int, known: np.ndarray) -> tuple[float, int, int] | None:
-    """(similarity, first, end) of the window of any length that is most similar to an item, if similar enough.
+def _best_window(bench: Benchmark, item: int, known: np.ndarray, every_length: bool) -> tuple[float, int, int] | None:
+    """(similarity, first, end) of the window that is most similar to an item, if similar enough.
 
-    Windows of the item's own length are tried first, others only if none of those will do. Of the others
+    Windows of the item's own length are tried first, others only if asked and none of those will do. Of the others
     only those count that begin and end with a shingle of the item: without other ends they are more similar.
     """
     places, counts = bench.items[item]
@@ -192,7 +193,7 @@ def _best_window(bench: Benchmark, item: int, known: np.ndarray) -> tuple[float,
         found = _similarity(bench, item, known[f : f + span])
         if found >= least and (best is None or found > best[0]):
             best = found, f, f + span
-    if best:
+    if best or not every_length:
         return best
     hits = np.flatnonzero(its)
     # No similar window outweighs the item by more than 1 / LEAST_SIMILARITY.
@@ -252,9 +253,9 @@ def find_matches(bench: Benchmark, data: np.ndarray, ends: np.ndarray, every_len
     for t in np.unique(np.searchsorted(texts.at, texts.hits, side="right") - 1).tolist():
         known = texts.known[texts.at[t] : texts.at[t + 1]]
         for item in _enough(bench, known).tolist():
-            if (t, item) in best or not (every_length or texts.words[t] < bench.words[item]):
+            if (t, item) in best:
                 continue
-            if found := _best_window(bench, item, known):
+            if found := _best_window(bench, item, known, every_length or bool(texts.words[t] < bench.words[item])):
                 similarity, first, end = found
                 best[t, item] = (min(similarity, 1.0), first, min(end - first + SHINGLE - 1, int(texts.words[t])))
     return [(t, item, s, f, w) for (t, item), (s, f, w) in sorted(best.items())]
@@ -300,11 +301,12 @@ def find_contamination(
     every item's length at every word of the whole text, if they hold any shingle of the benchmark, get
     a weighted SimHash. Hamming blocks find every item within RADIUS bits of it. The weighted Jaccard
     similarity of those (sum of smaller over sum of larger weights, repeated shingles counted) is then
-    computed exactly, and from 0.8 on it is a match. At a similarity of 0.8 fingerprints are expected
-    about 38 bits apart, give or take 6, so RADIUS is four deviations away.
+    computed exactly, and from 0.8 on it is a match. At a similarity of 0.8 fingerprints of shingles that
+    do not repeat are expected at most 39 bits apart, give or take 6, so RADIUS is four deviations away.
+    Where they find no match for an item of whose weight the text holds 0.8 or more (no other can match),
+    its windows are compared exactly without fingerprints, so that no match hangs on RADIUS.
 
-    A text shorter than an item has no such window; there, windows of all lengths are compared with the
-    item exactly, without fingerprints, if the text holds 0.8 or more of its weight (no other can match).
+    A text shorter than an item has no window of its length; there, windows of all lengths are compared.
     ``every_length`` asks for the same in any text where no window of the item's length matches: a
     passage may have lost or gained words. ``n_words`` is the window's own length.
 
