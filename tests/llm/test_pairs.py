@@ -85,6 +85,19 @@ def test_families_of_near_copies(spark, monkeypatch, chunk):
         assert rows(jaccard.jaccard_components(docs, size=3, percent=percent)) == brute_components(pairs, 3, percent)
 
 
+def test_an_id_of_several_texts(spark):
+    """The smallest id of every family is the same one; each of its texts links with its own family."""
+    rng = random.Random(8)
+    pairs = [(None, "w1 w2 w3 w4 w5 w6"), (None, None), (0, "w1 w2 w3 w4 w5 w6")]
+    for family in range(12):
+        base = [f"f{family}w{k}" for k in range(100)]
+        pairs += [(0 if k == 0 else 100 * family + k // 2 + 1, " ".join(mutated(rng, base, 0.01 * (k % 3)))) for k in range(9)]
+    rng.shuffle(pairs)
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    for size, percent in ((3, 90), (5, 80)):
+        assert rows(jaccard.jaccard_components(docs, size=size, percent=percent)) == brute_components(pairs, size, percent)
+
+
 def test_one_of_each_stays(tricky, nothing):
     left = jaccard.keep_one_of_each(tricky)
     assert left.columns == tricky.columns

@@ -51,12 +51,16 @@ def by_row(
     ids = docs.select(docs[id_col].cast("bigint").alias("id")).groupBy("id").count()
     if not ids.filter("id IS NULL OR count > 1").count():
         return drop(docs, id_col)
+    return drop(numbered(docs, id_col, nulls_last), "__row").select(*docs.columns)
+
+
+def numbered(docs: DataFrame, id_col: str, nulls_last: bool) -> DataFrame:
+    """The rows, stored, with a number of their own in ``__row``, in the order of the ids."""
     # Numbered before the sort as well: equal ids, and equal rows, spread over tasks and never tie.
     kept = stored(docs.withColumn("__place", F.monotonically_increasing_id()), "rows-placed")
     order = F.col(id_col).cast("bigint")
     placed = kept.sort(order.asc_nulls_last() if nulls_last else order.asc_nulls_first(), "__place")
-    numbered = stored(placed.withColumn("__row", F.monotonically_increasing_id()), "rows-numbered")
-    return drop(numbered, "__row").select(*docs.columns)
+    return stored(placed.withColumn("__row", F.monotonically_increasing_id()), "rows-numbered")
 
 
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfreight.llm.common import by_row, narrow, pack_integers, perhaps_among, sets_of, sliced, stored, text_bytes, unpack_integers, without
+from wayfreight.llm.common import by_row, narrow, numbered, pack_integers, perhaps_among, sets_of, sliced, stored, text_bytes, unpack_integers, without
 
 MINIMA = 6  # minimum hashes of a set
 VOTES = 2  # of them that a class must share with its pivot
@@ -403,7 +403,7 @@ def jaccard_components(
 
     Defined cases: null texts and texts without words have no shingles and link with nothing. A row
     without an id belongs to the component of the documents with its set, if there are any, and does
-    not extend it otherwise. Rows that share an id count as one document. An empty table gives an empty
+    not extend it otherwise. Rows that share an id are each judged by their own text. An empty table gives an empty
     result; other columns are not looked at.
     """
     rows = narrow(docs, id_col, text_col)
@@ -414,6 +414,8 @@ def jaccard_components(
         "jaccard-classes",
     )
     named = classes.filter("rep IS NOT NULL")
+    if named.groupBy("rep").count().filter("count > 1").count():
+        return _of_rows(rows, size, percent)
     texts = rows.filter("id IS NOT NULL")
 
     pivots = stored(_pivots(named), "jaccard-pivots")
@@ -459,6 +461,20 @@ def jaccard_components(
     )
 
 
+def _of_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The same where one id would stand for several sets: found by numbers in the order of the ids, then named by ids.
+
+    Stores the texts twice more and shuffles them once.
+    """
+    own = numbered(rows, "id", nulls_last=True).withColumn("__row", F.expr("IF(id IS NULL, NULL, __row)"))
+    found = stored(jaccard_components(own, "__row", "text", size, percent), "jaccard-of-rows")
+    names = own.filter("id IS NOT NULL").select("__row", "id")
+    for column in ("doc_id", "component_id"):
+        name = names.select(F.col("__row").alias("__of"), F.col("id").alias("__name")).hint("merge")
+        found = found.join(name, F.col(column) == F.col("__of"), "left").withColumn(column, F.col("__name")).drop("__of", "__name")
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def keep_one_of_each(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, each_row: bool = False
 ) -> DataFrame:
