@@ -98,6 +98,14 @@ def test_an_id_of_several_texts(spark):
         assert rows(jaccard.jaccard_components(docs, size=size, percent=percent)) == brute_components(pairs, size, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_lists_are_cut_at_the_size_that_can_link(percent):
+    n = np.sort(np.random.default_rng(3).integers(1, 60, 200))
+    for a, end in enumerate(jaccard.reach(n, percent).tolist()):
+        can = [min(n[a], m) >= jaccard.overlap_needed(n[a], m, percent) for m in n[a:]]
+        assert can == [b < end for b in range(a, len(n))]
+
+
 def test_one_of_each_stays(tricky, nothing):
     left = jaccard.keep_one_of_each(tricky)
     assert left.columns == tricky.columns

@@ -10,8 +10,8 @@ are already known to be highly similar instead of being found anew:
    the index need not be walked.
 4. Everything else meets in a prefix index: shingles are ordered from rare to frequent, and sets that
    are similar enough share one of the first. Lists whose entries all belong to one pivot are skipped
-   as blocks, and size, position in the order and the parities of two sets skip pairs before any set
-   is read.
+   whole, the rest of a list from the first set that is too large is skipped as a block, and position
+   in the order and the parities of two sets skip pairs before any set is read.
 
 Pivots are chosen by chance and only save work; steps 3 and 4 together cover every pair of classes.
 """
@@ -331,10 +331,16 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (key[-1], cls[-1])
 
 
+def reach(n: np.ndarray, percent: int) -> np.ndarray:
+    """For each of the sizes, sorted, where those end that a set of this size can link with."""
+    return np.searchsorted(n, n * 100 // percent, side="right")
+
+
 def _pair_batches(percent: int):
     """Pairs across pivots that share a key, as far as sizes, positions and parities allow a link.
 
-    Two sets differ in at least as many shingles as their parities differ in bits.
+    A list is sorted by size and cut, by a search, after the last set that is not too large; only the block
+    up to there is looked at. Two sets differ in at least as many shingles as their parities differ in bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +348,12 @@ def _pair_batches(percent: int):
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             rep, cluster, chunk, n, pos = (group.column(c).to_numpy() for c in ("rep", "cluster", "chunk", "n", "pos"))
             parity = np.frombuffer(b"".join(group.column("parity").to_pylist()), np.uint64).reshape(len(rep), -1)
+            order = np.lexsort((pos, n))
+            rep, cluster, chunk, n, pos, parity = (c[order] for c in (rep, cluster, chunk, n, pos, parity))
+            ends = reach(n, percent)
             found = []
-            for a in range(len(rep) - 1):
-                b = slice(a + 1, None)
+            for a in np.flatnonzero(ends > np.arange(len(rep)) + 1).tolist():
+                b = slice(a + 1, int(ends[a]))
                 least = overlap_needed(n[a], n[b], percent)
                 most = np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1)
                 fits = (cluster[b] != cluster[a]) & (rep[b] != rep[a]) & (most >= least)
