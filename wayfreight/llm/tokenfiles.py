@@ -23,8 +23,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 256  # documents of which a page may hold the ids
 PAGE_BYTES = 256 << 10
 #: Chunks that a worker remembers; above that it forgets them all.
-MOST_CHUNKS = 1 << 20
+MOST_CHUNKS = 1 << 19
 CHUNK_CHARS = 64  # longer chunks are not remembered
+LEARN_TOGETHER = 24  # chunks in one text for the library; short texts are quicker for it than long ones
 ENCODINGS = ("dictionary", "delta")
 NUMBERS = ("doc_id", "part", "start_in_part", "n_tokens")
 
@@ -41,8 +42,8 @@ OTHER_BLANK = r" (?!\S)"
 class ChunkEncoder:
     """Encodes whole texts with the tokenizers library, chunk by chunk; chunks that come again are looked up.
 
-    Natural text repeats its words, so most chunks are known after some documents. The others of a batch go to the
-    library as one text, with a line feed before each, whose tokens fall apart at the chunks' bytes.
+    Natural text repeats its words, so most chunks are known after some documents. The others go to the library
+    some at a time as one text, with a line feed before each, whose tokens fall apart at the chunks' bytes.
     """
 
     def __init__(self, vocabulary: str):
@@ -72,12 +73,20 @@ class ChunkEncoder:
         return [np.array(e.ids, "<u4") for e in found]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of chunks with their blank, from one text of all of them."""
+        """The ids of chunks with their blank, from texts of some of them at a time."""
+        # White space at the end of a chunk would run into the line feed after it: such chunks go alone.
+        alone = [c for c in chunks if c[-1].isspace() or c[-1] < " "]
+        if alone:
+            apart = set(alone)
+            chunks = [c for c in chunks if c not in apart]
         # "\n" and the blank of the next chunk are tokens of their own, whatever stands around them.
-        (ids,) = self._whole(["".join(f"\n {c}" for c in chunks)])
+        texts = ["\n " + "\n ".join(chunks[k : k + LEARN_TOGETHER]) for k in range(0, len(chunks), LEARN_TOGETHER)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *self._whole(texts)])
         ends = np.cumsum([len(c.encode()) + 2 for c in chunks])
         at = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-        return {c: ids[a + 1 : b].tobytes() for c, a, b in zip(chunks, [0, *at[:-1].tolist()], at.tolist())}
+        raw = ids.tobytes()
+        found = {c: raw[4 * a + 4 : 4 * b] for c, a, b in zip(chunks, [0, *at[:-1].tolist()], at.tolist())}
+        return found | {c: own.tobytes() for c, own in zip(alone, self._whole([f" {c}" for c in alone]))}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, little-endian unsigned 32-bit."""
@@ -85,25 +94,16 @@ class ChunkEncoder:
             self.known = {}
         chunked = [self._chunks(t) for t in texts]
         heads = self._whole([c[0] for c in chunked])
-        found = [list(map(self.known.get, c[1:])) for c in chunked]
-        # White space at the end of a chunk would run into the line feed after it.
-        missing, alone = set(), set()
-        for chunks, ids in zip(chunked, found):
-            if None in ids:
-                new = {c for c, i in zip(chunks[1:], ids) if i is None}
-                ending = {c for c in new if c[-1].isspace() or c[-1] < " "}
-                missing |= new - ending
-                alone |= ending
-        fresh = self._learn(list(missing)) if missing else {}
-        if alone:
-            listed = list(alone)
-            fresh |= {c: ids.tobytes() for c, ids in zip(listed, self._whole([f" {c}" for c in listed]))}
-        out = []
-        for head, chunks, ids in zip(heads, chunked, found):
-            if None in ids:
-                ids = [fresh[c] if i is None else i for c, i in zip(chunks[1:], ids)]
-            out.append(np.frombuffer(head.tobytes() + b"".join(ids), "<u4"))
-        self.known.update((c, i) for c, i in fresh.items() if len(c) <= CHUNK_CHARS)
+        for c in chunked:
+            del c[0]
+        missing = set().union(*chunked).difference(self.known)
+        if missing:
+            self.known |= self._learn(list(missing))
+        ids_of = self.known.__getitem__
+        out = [np.frombuffer(head.tobytes() + b"".join(map(ids_of, c)), "<u4") for head, c in zip(heads, chunked)]
+        for c in missing:
+            if len(c) > CHUNK_CHARS:
+                del self.known[c]
         return out
 
 
