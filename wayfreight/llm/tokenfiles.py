@@ -22,8 +22,9 @@ from wayfreight.session import shared_dir
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 256  # documents of which a page may hold the ids
 PAGE_BYTES = 256 << 10
-#: Chunks that a worker remembers; above that it forgets them all.
-MOST_CHUNKS = 1 << 19
+#: A worker remembers at most twice so many chunks: once it has met so many since the last time, it forgets
+#: those that were not among them.
+MOST_CHUNKS = 1 << 18
 CHUNK_CHARS = 64  # longer chunks are not remembered
 LEARN_TOGETHER = 24  # chunks in one text for the library; short texts are quicker for it than long ones
 ENCODINGS = ("dictionary", "delta")
@@ -63,6 +64,7 @@ class ChunkEncoder:
         self.cut = re.compile(CUT).split
         self.odd = re.compile(OTHER_BLANK).search
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def _chunks(self, text: str) -> list[str]:
         """The text at its cuts; all chunks but the first have lost their blank."""
@@ -91,12 +93,16 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, little-endian unsigned 32-bit."""
         if len(self.known) > MOST_CHUNKS:
-            self.known = {}
+            self.earlier, self.known = self.known, {}
         chunked = [self._chunks(t) for t in texts]
         heads = self._whole([c[0] for c in chunked])
         for c in chunked:
             del c[0]
         missing = set().union(*chunked).difference(self.known)
+        if self.earlier and missing:
+            again = missing.intersection(self.earlier)
+            self.known |= {c: self.earlier[c] for c in again}
+            missing -= again
         if missing:
             self.known |= self._learn(list(missing))
         ids_of = self.known.__getitem__
