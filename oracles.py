@@ -6,6 +6,8 @@ spelled out again in plain SQL.
 
 from __future__ import annotations
 
+import re
+
 # --- the derived estate ----------------------------------------------------------------------------
 
 DOCS = """
@@ -377,6 +379,50 @@ ORDER_OBJECTS = """objects AS (
         'status': o_orderstatus, 'year': year(o_orderdate), 'of': {'customer': o_custkey, 'priority': o_orderpriority}}) AS VARCHAR) END AS object
     FROM orders
 )"""
+_PLACE = "('0x' || substr(md5(app_id || '/' || path), 1, 4))::INTEGER % 29"
+_LATER_LINES = "chr(10) || 'import streamlit as st' || chr(10) || 'result = session.sql(q)' || chr(10)"
+
+
+def _later(name: str, columns: str, text: str) -> str:
+    """The later scan of a table with app_id, path and a text."""
+    moves = [("path", "n NOT IN (3, 4, 5, 7)"), ("'moved/' || path", "n = 5"), ("'copies/' || path", "n = 6"),
+             ("'left/' || path", "n = 7"), ("'right/' || path", "n = 7")]
+    parts = [f"SELECT app_id, {path} AS path, {columns}, {text} FROM placed_{name} WHERE {where}" for path, where in moves]
+    parts.append(f"SELECT app_id, path, {columns}, {text} || {_LATER_LINES} FROM placed_{name} WHERE n = 4")
+    return f"""placed_{name} AS (SELECT *, {_PLACE} AS n FROM {name}), later_{name} AS ({" UNION ALL ".join(parts)})"""
+
+
+#: Every file of both scans with its bytes spelled as text; the byte that is no text is written out.
+_BODY = """replace(snippet, '|', chr(10)) || CASE WHEN kind = 'requirements'
+        THEN lang || '-tools>=1.0' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ') || chr(10) ELSE text END"""
+CHANGES = FILES + f""", raw AS (
+    SELECT app_id, CASE WHEN kind = 'requirements' THEN 'd' || i || '/requirements.txt'
+                WHEN kind = 'sql' THEN 'sql/d' || i || '/s' || (doc_id % 3) || '.sql'
+                WHEN d.k = 2 AND doc_id % 2 = 0 THEN 'pages/p' || i || '.py'
+                ELSE 'd' || i || '/m' || (doc_id % 3) || '.py' END AS path, false AS none,
+           CASE WHEN doc_id % 7 = 3 THEN replace({_BODY}, chr(10), chr(13) || chr(10)) ELSE {_BODY} END
+           || CASE WHEN doc_id % 17 = 5 THEN '<ff>' ELSE '' END AS bytes
+    FROM d JOIN snippets s ON d.k = s.k
+    UNION ALL SELECT app_id, 'd' || i || '/__init__.py', false, '' FROM d WHERE d.k = 0
+    UNION ALL SELECT app_id, 'd' || i || '/notes.md', false, text FROM d WHERE d.k = 5
+), {_later("raw", "none", "bytes")}, compared AS (
+    SELECT app_id, path, coalesce(b.bytes, a.bytes) AS bytes,
+           CASE WHEN a.bytes IS NULL THEN 'added' WHEN b.bytes IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM raw a FULL JOIN later_raw b USING (app_id, path) WHERE a.bytes IS DISTINCT FROM b.bytes
+), once AS (
+    SELECT bytes FROM compared WHERE change <> 'changed' GROUP BY bytes
+    HAVING count(*) FILTER (WHERE change = 'removed') = 1 AND count(*) FILTER (WHERE change = 'added') = 1
+)"""
+UPKEEP = FILES + ", " + _later("files", "kind, readable", "content") + FACTS[len(FILES):].replace("FROM files", "FROM later_files")
+_EARLIER = re.sub(r"\b(flagged|facts)\b", r"earlier_\1", FACTS[len(FILES) + 2:])
+_COUNTED = (
+    "1", *[f"({test})::INTEGER" for test in (
+        "kind = 'python'", "kind = 'sql'", "is_component", "NOT readable", "is_ui", "is_api", "is_procedure", "is_udf",
+        "kind = 'requirements' AND readable", "kind = 'requirements'")], *[f"u{n}" for n in range(7)],
+)
+_FACT_COLUMNS = """app_id, python_files, sql_files, components, ui_pages, unreadable_files, unreadable_requirements, has_streamlit, has_api,
+           has_stored_procedures, has_udfs, api_usage_total, features, score, migration_complexity, app_type"""
+
 REVENUE = "CAST(sum(revenue) AS DECIMAL(28,2)) AS revenue"
 ORDERS = "CAST(sum(order_count) AS BIGINT) AS"
 
@@ -399,6 +445,37 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT app_id, octet_length(encode(body)) FROM manifest_texts
     )
     SELECT app_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS total_bytes FROM sized GROUP BY app_id""",
+    "tree_source": f"""WITH {FILES}
+    SELECT app_id, path, kind, readable, md5(content) AS text_md5 FROM files
+    WHERE kind IN ('python', 'sql') AND NOT starts_with(path, 'pages/')""",
+    "tree_source_listing": f"""WITH {CHANGES}{MANIFEST_TEXTS_TAIL}, sized AS (
+        SELECT app_id, CASE WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.sql') THEN 'sql'
+                   WHEN ends_with(path, '/requirements.txt') THEN 'requirements' ELSE 'other' END AS kind,
+               octet_length(encode(bytes)) - CASE WHEN ends_with(bytes, '<ff>') THEN 3 ELSE 0 END AS size
+        FROM raw
+        UNION ALL SELECT app_id, 'manifest', octet_length(encode(body)) FROM manifest_texts
+    )
+    SELECT app_id, kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS total_bytes FROM sized GROUP BY app_id, kind""",
+    "estate_changes": f"""WITH {CHANGES}
+    SELECT app_id, path, change, NULL::VARCHAR AS from_app_id, NULL::VARCHAR AS from_path FROM compared
+    WHERE change = 'changed' OR bytes NOT IN (SELECT bytes FROM once)
+    UNION ALL
+    SELECT b.app_id, b.path, 'moved', a.app_id, a.path FROM compared a JOIN compared b USING (bytes)
+    WHERE a.change = 'removed' AND b.change = 'added' AND bytes IN (SELECT bytes FROM once)""",
+    "changed_folders": f"""WITH {CHANGES}, parts AS (
+        SELECT app_id, path, string_split(path, '/') AS p FROM compared
+    ), above AS (
+        SELECT app_id, array_to_string(p[1:n], '/') AS folder, n = len(p) - 1 AS own
+        FROM (SELECT *, unnest(range(0, len(p))) AS n FROM parts)
+    )
+    SELECT app_id, folder, bool_or(own) AS own_changed FROM above GROUP BY app_id, folder""",
+    "upkeep_facts": f"WITH {UPKEEP}{APPS_TAIL} SELECT {_FACT_COLUMNS} FROM app_facts",
+    "upkeep_changed": f"""WITH {UPKEEP}{APPS_TAIL}, {_EARLIER}, signed AS (
+        SELECT 1 AS s, * FROM facts UNION ALL BY NAME SELECT -1 AS s, * FROM earlier_facts
+    ), touched AS (
+        SELECT app_id FROM signed GROUP BY app_id HAVING {" OR ".join(f"sum(s * ({c})) <> 0" for c in _COUNTED)}
+    )
+    SELECT {_FACT_COLUMNS} FROM app_facts WHERE app_id IN (SELECT app_id FROM touched)""",
     "read_errors": f"WITH {FILES} SELECT app_id, path, kind FROM files WHERE NOT readable",
     "manifest_catalog": f"WITH {MANIFESTS} SELECT * FROM catalog",
     "requirements_parse": f"WITH {REQUIREMENTS} SELECT app_id, path, line_no, package FROM parsed",
@@ -538,6 +615,13 @@ ORACLES: dict[str, str] = {
     "rewrite_hits": f"""WITH {FACTS} SELECT app_id, rule, CAST(sum(n) AS BIGINT) AS hits FROM ({_HITS_SQL})
     GROUP BY app_id, rule HAVING sum(n) > 0""",
     # sales
+    **{
+        name: f"""WITH {SALES} SELECT {"".join(f"{c}, " for c in by)}CAST(sum(revenue) AS DECIMAL(28,2)) AS total_revenue,
+           {ORDERS} total_orders, count(DISTINCT customer_id) AS unique_customers FROM sales {"GROUP BY ALL" if by else ""}"""
+        for name, by in (
+            ("cube_monthly", ("year", "month", "region")), ("cube_by_year", ("year",)), ("cube_by_region", ("region",)), ("cube_total", ())
+        )
+    },
     "monthly_sales": f"""WITH {SALES} SELECT year, month, region, CAST(sum(revenue) AS DECIMAL(28,2)) AS total_revenue,
            {ORDERS} total_orders, count(DISTINCT customer_id) AS unique_customers
     FROM sales GROUP BY year, month, region""",

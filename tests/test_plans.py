@@ -12,7 +12,8 @@ from wayfreight.operators import rewrite
 DATA = "/root/testdata/sf0.001"
 ACTING = {  # run a job while being built
     "estate_scan", "stage_listing", "copy_into", "converted_files", "warnings", "target_requirements", "ordered_requirements",
-    "sales_forecast_batch",
+    "sales_forecast_batch", "tree_source", "tree_source_listing", "estate_changes", "changed_folders", "upkeep_facts", "upkeep_changed",
+    "cube_monthly", "cube_by_year", "cube_by_region", "cube_total",
 }
 YAML_BASED = {
     "analysis_report", "manifest_catalog", "manifest_privileges", "manifest_permissions", "manifest_artifacts", "manifest_configuration",

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from wayfreight import rules
 from wayfreight.functions import revenue
 from wayfreight.functions.text import contains_any
-from wayfreight.operators import appfacts, classify, deps, manifest, rewrite, sales, semi
+from wayfreight.operators import appfacts, changes, classify, cube, deps, manifest, rewrite, sales, semi, upkeep
 from wayfreight.plans import estate as plans
 from wayfreight.plans.migration import with_saved_facts
 from wayfreight.schemas import TABLES
 from wayfreight.session import shared_dir
-from wayfreight.sources import files, sample_corpus, tree
+from wayfreight.sources import files, sample_corpus, source_tree, tree
 from wayfreight.sources.tables import sales_data, table
 from wayfreight.streaming.load import copy_into
 
@@ -63,6 +63,45 @@ def stage_listing(spark, data_dir):
     return tree.stage_listing(tree.list_tree(spark, _materialised(spark, data_dir)))
 
 
+@query
+def tree_source(spark, data_dir):
+    """The estate through the data source: Python and SQL files outside the pages, chosen before any is opened."""
+    chosen = F.col("kind").isin("python", "sql") & ~F.col("path").startswith("pages/")
+    found = source_tree.source_tree(spark, _materialised(spark, data_dir), chosen)
+    return files.decode_files(found).select(
+        "app_id", "path", "kind", "readable", F.md5(F.col("content").cast("binary")).alias("text_md5")
+    )
+
+
+@query
+def tree_source_listing(spark, data_dir):
+    """Files and bytes by application and kind from a saved listing: no walk and no file is opened."""
+    root, at = _materialised(spark, data_dir), shared_dir(spark, "listing")
+    tree.save_listing(tree.list_tree(spark, root), at)
+    found = source_tree.source_tree(spark, root, content=False, all="true", listing=at)
+    return found.groupBy("app_id", "kind").agg(F.count("*").alias("files"), F.sum("size").alias("total_bytes"))
+
+
+def _scans(spark, data_dir):
+    """The sample estate as it was scanned, and as it is scanned later."""
+    raw = sample_corpus.raw_files(spark, data_dir)
+    return raw, sample_corpus.later_files(raw)
+
+
+def _snapshots(spark, data_dir):
+    return [changes.take_snapshot(changes.scanned(raw), shared_dir(spark, "snapshot")) for raw in _scans(spark, data_dir)]
+
+
+@query
+def estate_changes(spark, data_dir):
+    return changes.estate_changes(spark, *_snapshots(spark, data_dir))
+
+
+@query
+def changed_folders(spark, data_dir):
+    return changes.changed_folders(spark, *_snapshots(spark, data_dir))
+
+
 @query
 def read_errors(spark, data_dir):
     return files.read_errors(sample_corpus.src_files(spark, data_dir))
@@ -227,6 +266,43 @@ def estate_rollup(spark, data_dir):
     return appfacts.estate_rollup(sample_estate(spark, data_dir).app_facts)
 
 
+def _kept_up(spark, data_dir):
+    """Facts of the earlier scan, stored, and brought to the later one by the files that differ."""
+    old, new = _snapshots(spark, data_dir)
+    found = changes.estate_changes(spark, old, new)
+    before, after = _scans(spark, data_dir)
+    come = found.filter("change <> 'removed'").select("app_id", "path")
+    gone = found.filter("change IN ('removed', 'changed')").select("app_id", "path").unionByName(
+        found.filter("change = 'moved'").select(F.col("from_app_id").alias("app_id"), F.col("from_path").alias("path"))
+    )
+    at = shared_dir(spark, "upkeep")
+    upkeep.start_upkeep(classify.file_facts(files.decode_files(before)), at)
+    come, gone = (
+        classify.file_facts(files.decode_files(side.join(which, ["app_id", "path"], "left_semi")))
+        for side, which in ((after, come), (before, gone))
+    )
+    upkeep.keep_up(at, 1, come, gone)
+    return at
+
+
+FACT_COLUMNS = (
+    "app_id", "python_files", "sql_files", "components", "ui_pages", "unreadable_files", "unreadable_requirements", "has_streamlit", "has_api",
+    "has_stored_procedures", "has_udfs", "api_usage_total", "features", "score", "migration_complexity", "app_type",
+)
+
+
+@query
+def upkeep_facts(spark, data_dir):
+    """All application facts after the changes, equal to those of a full run over the later files."""
+    return upkeep.facts_of_totals(upkeep.totals(spark, _kept_up(spark, data_dir))).select(*FACT_COLUMNS)
+
+
+@query
+def upkeep_changed(spark, data_dir):
+    """The facts of just the applications that the changes touched."""
+    return upkeep.changed_facts(spark, _kept_up(spark, data_dir), 1).select(*FACT_COLUMNS)
+
+
 @query
 def warnings(spark, data_dir):
     e = with_saved_facts(sample_estate(spark, data_dir), "facts")
@@ -358,6 +434,36 @@ def monthly_sales(spark, data_dir):
     return sales.monthly_sales(fact)
 
 
+def _cube(spark, data_dir):
+    """The cube of the fact, stored as two loads that were counted apart, each with customers of the other."""
+    at = shared_dir(spark, "cube")
+    fact = sales_data(spark, data_dir, ["year", "month", "region", "customer_id", "revenue", "order_count", "order_id"])
+    for load in (0, 1):
+        part = fact.filter(F.pmod(F.col("order_id").cast("bigint"), F.lit(2)) == load)
+        cube.append_to_cube(cube.sales_cube(part), at, f"part-{load}")
+    return cube.stored_cube(spark, at)
+
+
+@query
+def cube_monthly(spark, data_dir):
+    return cube.roll_up(_cube(spark, data_dir), ["year", "month", "region"])
+
+
+@query
+def cube_by_year(spark, data_dir):
+    return cube.roll_up(_cube(spark, data_dir), ["year"])
+
+
+@query
+def cube_by_region(spark, data_dir):
+    return cube.roll_up(_cube(spark, data_dir), ["region"])
+
+
+@query
+def cube_total(spark, data_dir):
+    return cube.roll_up(_cube(spark, data_dir))
+
+
 def _dashboard(spark, data_dir, *columns):
     fact = sales_data(spark, data_dir, ["year", "region", *columns], DASHBOARD_YEAR, DASHBOARD_YEAR)
     return sales.sales_filter(fact, DASHBOARD_YEAR, REGIONS.split(","))

@@ -88,6 +88,30 @@ def raw_files(spark: SparkSession, data_dir: str) -> DataFrame:
     return d.select("app_id", F.inline(found))
 
 
+#: What the later scan of the sample estate appends to changed files.
+LATER_LINES = "\nimport streamlit as st\nresult = session.sql(q)\n"
+
+
+def later_files(raw: DataFrame) -> DataFrame:
+    """The same estate some time later: by a digest of a file's place some are gone, changed, moved, copied, or split in two."""
+    place = F.md5(F.concat("app_id", F.lit("/"), "path").cast("binary"))
+    n = F.conv(F.substring(place, 1, 4), 16, 10).cast("int") % 29
+
+    def at(folder: str) -> Column:
+        return F.struct(F.concat(F.lit(folder), "path").alias("path"), F.col("content").alias("content"))
+
+    longer = F.concat("content", F.lit(LATER_LINES).cast("binary"))
+    found = (
+        F.when(n == 3, F.array().cast("array<struct<path: string, content: binary>>"))
+        .when(n == 4, F.array(F.struct("path", longer.alias("content"))))
+        .when(n == 5, F.array(at("moved/")))
+        .when(n == 6, F.array(at(""), at("copies/")))
+        .when(n == 7, F.array(at("left/"), at("right/")))
+        .otherwise(F.array(at("")))
+    )
+    return raw.select("app_id", F.inline(found))
+
+
 def _manifest_text(version_lines: Column) -> Column:
     g = F.col("g")
     return F.concat(

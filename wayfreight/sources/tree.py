@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from wayfreight.schemas import LISTING, RAW_FILES
 from wayfreight.session import shared_dir
 from wayfreight.sources.files import select_sources
+from wayfreight.sources.source_tree import plain_root as _plain_root
 
 READ_TASK_BYTES = 128 << 20
 READ_BATCH_BYTES = 16 << 20
@@ -26,15 +27,6 @@ LISTING_TASK_FOLDERS = 1_000
 LISTING_TASKS_PER_CORE = 4
 
 
-def _plain_root(root: str) -> str:
-    """The root as pyarrow takes it: ``file:`` URIs as plain paths, Hadoop's ``s3a`` as ``s3``."""
-    if root.startswith("file:"):
-        return "/" + root[len("file:"):].lstrip("/")
-    if root.startswith("s3a://"):
-        root = "s3://" + root[len("s3a://"):]
-    return root.rstrip("/")
-
-
 def _list_folders(root: str):
     """Batch function: (app_id, path) of folders -> one row per child. Links to folders are not followed."""
 
@@ -129,6 +121,11 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(LISTING).parquet(*[f"{work}/depth={d}" for d in range(depth)])
 
 
+def save_listing(listing: DataFrame, at: str, rows_per_task: int = READ_TASK_FILES) -> None:
+    """Write a listing for the ``listing`` option of the ``source_tree`` source; a file of it is a task's share."""
+    listing.write.option("maxRecordsPerFile", rows_per_task).parquet(at)
+
+
 def apps_of(listing: DataFrame) -> DataFrame:
     """All application folders, empty ones included."""
     return listing.filter((F.col("path") == "") & F.col("is_dir")).select("app_id")
