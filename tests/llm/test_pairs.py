@@ -64,10 +64,11 @@ def mutated(rng, words, share):
     return [w if rng.random() > share else f"m{rng.randrange(10**9)}" for w in words]
 
 
-@pytest.mark.parametrize("chunk", [1024, 7])
-def test_families_of_near_copies(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "short"), [(1024, 32), (7, 5)])
+def test_families_of_near_copies(spark, monkeypatch, chunk, short):
     """Copies of copies around the threshold, chains among them; also with hot groups cut into small chunks."""
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short)
     rng = random.Random(4)
     texts = []
     for family in range(4):
@@ -101,9 +102,51 @@ def test_an_id_of_several_texts(spark):
 @pytest.mark.parametrize("percent", [80, 90, 100])
 def test_lists_are_cut_at_the_size_that_can_link(percent):
     n = np.sort(np.random.default_rng(3).integers(1, 60, 200))
-    for a, end in enumerate(jaccard.reach(n, percent).tolist()):
-        can = [min(n[a], m) >= jaccard.overlap_needed(n[a], m, percent) for m in n[a:]]
-        assert can == [b < end for b in range(a, len(n))]
+    for a, (start, end) in enumerate(zip(*(x.tolist() for x in jaccard.reach(n, n, percent)))):
+        can = [min(n[a], m) >= jaccard.overlap_needed(n[a], m, percent) for m in n]
+        assert can == [start <= b < end for b in range(len(n))]
+
+
+@pytest.mark.parametrize("kind", ["one text", "chain"])
+def test_pairs_grow_with_a_family_and_not_with_its_square(spark, monkeypatch, kind):
+    """All near copies of one text, or each a copy of an earlier one: as many pairs a copy when there are four times as many."""
+    pairs = {}
+    real = jaccard.stored
+    monkeypatch.setattr(jaccard, "VOTES", 7)  # no pivots: everything is left to the lists
+    monkeypatch.setattr(jaccard, "CHUNK", 64)
+    for n in (150, 600):
+        made = []
+
+        def counted(df, purpose, made=made):
+            out = real(df, purpose)
+            if purpose == "jaccard-candidates":
+                made.append(out.count())
+            return out
+
+        monkeypatch.setattr(jaccard, "stored", counted)
+        rng = random.Random(n)
+        texts = [[f"w{rng.randrange(5000)}" for _ in range(200)]]
+        while len(texts) < n:
+            texts.append(mutated(rng, texts[0] if kind == "one text" else rng.choice(texts[-20:]), 0.012))
+        docs = list(enumerate(" ".join(t) for t in texts))
+        found = rows(jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)))
+        assert found == brute_components(docs, 5, 80)
+        pairs[n] = sum(made)
+    assert pairs[600] <= 6 * pairs[150] and pairs[600] <= 20 * 600, pairs
+
+
+def test_dealt_rows_meet_every_minor_row(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 10)
+    many, few = range(95), {3, 17, 40}
+    frame = spark.createDataFrame([(1, x, x in few, 10, 1) for x in many], "g int, x long, minor boolean, chunks int, minor_chunks int")
+    met, parts = set(), defaultdict(lambda: ([], []))
+    dealt = jaccard._dealt(frame, "x").collect()
+    for r in dealt:
+        parts[r.i, r.j][r.side].append(r.x)
+    for all_rows, minor in parts.values():
+        met |= {(a, b) for a in all_rows for b in minor}
+    assert met == {(a, b) for a in many for b in few}
+    assert len(dealt) == 95 + 3 * 10  # hardly copied
 
 
 def test_one_of_each_stays(tricky, nothing):

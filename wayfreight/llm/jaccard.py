@@ -9,11 +9,14 @@ are already known to be highly similar instead of being found anew:
 3. Similarities among the sets around one pivot follow from those differences alone, so their lists in
    the index need not be walked.
 4. Everything else meets in a prefix index: shingles are ordered from rare to frequent, and sets that
-   are similar enough share one of the first. Lists whose entries all belong to one pivot are skipped
-   whole, the rest of a list from the first set that is too large is skipped as a block, and position
-   in the order and the parities of two sets skip pairs before any set is read.
-
-Pivots are chosen by chance and only save work; steps 3 and 4 together cover every pair of classes.
+   are similar enough share one of the first. Lists whose entries all belong to one component by now are skipped
+   whole, sets that are too small or too large are skipped as blocks, and position in the order and the parities of
+   two sets skip pairs before any set is read.
+5. Long lists are those of families of near copies. They are gone through in rounds: each set first meets the
+   one that its parities show to be closest, then some more, then all that are left; after each round the components
+   that have grown together have nothing to ask each other any more.
+
+Pivots and the order of the rounds only save work; steps 3 to 5 together cover every pair of classes that are not joined already.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ CLUSTER_PERCENT = 50  # a set less similar to its pivot than this is not derived
 CELLS = 1 << 22
 PARITIES = 1024  # bits of a set: each counts, modulo 2, the shingles that fall to it
 CHUNK = 1024  # rows of one hot group that a task works on at a time, against as many others
+SHORT_LIST = 32  # entries of a list that are all compared in the first round
+#: Partners that a set of a longer list is compared with, the closest first, round by round; in the last round all others.
+ROUNDS = (1, 8, None)
 
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
 
@@ -178,11 +184,27 @@ def compare(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
 # --- groups of sorted rows -------------------------------------------------------------------------
 
 
-def _chunk_pairs(df: DataFrame, chunk: str, chunks: str) -> DataFrame:
-    """Each row once for every pair (i, j) of chunks of its group that holds its own chunk, i <= j."""
-    return df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(chunks) - 1))).select(
-        "*", F.least(chunk, "other").alias("i"), F.greatest(chunk, "other").alias("j")
-    ).drop("other")
+def _dealt(df: DataFrame, name: str) -> DataFrame:
+    """The rows of each group, dealt out so that each meets each ``minor`` row of its group in one part (i, j).
+
+    Group columns aside, df says how many ``chunks`` the group's rows fill and how many its minor rows (``minor_chunks``).
+    Each row goes with side 0 to the parts of its chunk, one for each chunk of minor rows; minor rows also go with side 1 to all
+    chunks. A group with few minor rows is hardly copied, whatever its size.
+    """
+    own = F.pmod(F.xxhash64(name), F.col("chunks")).cast("int")
+    as_minor = F.pmod(F.xxhash64(name, F.lit(1)), F.col("minor_chunks")).cast("int")
+
+    def part(i, j, side: int):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+
+    met = F.transform(F.sequence(F.lit(0), F.col("minor_chunks") - 1), lambda j: part(own, j, 0))
+    asks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: part(i, as_minor, 1))
+    places = F.when(F.col("minor"), F.concat(met, asks)).otherwise(met)
+    return df.withColumn("place", F.explode(places)).select("*", "place.i", "place.j", "place.side").drop("place")
+
+
+def _chunks(n) -> "F.Column":
+    return F.ceil(n / CHUNK).cast("int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -240,20 +262,16 @@ def _derive_batches(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["p", "i", "j"]):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            ids, chunk, n, missing, n_p, linked = (
-                group.column(c).to_numpy() for c in ("x", "chunk", "n_x", "missing", "n_p", "linked")
-            )
-            loose = np.flatnonzero(~linked)  # those that link with the pivot are joined already
-            if not len(loose):
+            ids, side, n, missing, n_p = (group.column(c).to_numpy() for c in ("x", "side", "n_x", "missing", "n_p"))
+            loose = np.flatnonzero(side == 1)  # those that link with the pivot are joined already
+            if not len(loose) or len(loose) == len(ids):
                 continue
             shared = _shared_differences([r.as_py() for r in group.column("difference")], loose)
             overlap = n_p[0] - missing[loose][:, None] - missing[None, :] + shared
             met = (100 + percent) * overlap >= percent * (n[loose][:, None] + n[None, :])
-            if i != j:
-                met &= chunk[loose][:, None] != chunk[None, :]
+            met &= (side == 0) & (ids[loose][:, None] != ids[None, :])
             found = []
-            label = np.arange(len(ids))
+            _, label = np.unique(ids, return_inverse=True)  # a loose set is there on both sides
             for a, row in zip(loose.tolist(), met):
                 near = np.flatnonzero(row)
                 others, at = np.unique(label[near], return_index=True)
@@ -331,41 +349,48 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (key[-1], cls[-1])
 
 
-def reach(n: np.ndarray, percent: int) -> np.ndarray:
-    """For each of the sizes, sorted, where those end that a set of this size can link with."""
-    return np.searchsorted(n, n * 100 // percent, side="right")
+def reach(n: np.ndarray, asked: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted sizes, where those begin and end that a set of each asked size can link with."""
+    return np.searchsorted(n, -(-asked * percent // 100)), np.searchsorted(n, asked * 100 // percent, side="right")
 
 
-def _pair_batches(percent: int):
-    """Pairs across pivots that share a key, as far as sizes, positions and parities allow a link.
+def _pair_batches(percent: int, most: int | None):
+    """Pairs of sets from different pivots and components that share a key, as far as sizes, positions and parities allow a link.
 
-    A list is sorted by size and cut, by a search, after the last set that is not too large; only the block
-    up to there is looked at. Two sets differ in at least as many shingles as their parities differ in bits.
+    The sets of a part are sorted by size, and each one that asks meets only the block that is neither too small nor
+    too large. Two sets differ in at least as many shingles as their parities differ in bits. In a list that is not
+    short, a set is paired with the ``most`` closest only, by their parities.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key", "i", "j"]):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            rep, cluster, chunk, n, pos = (group.column(c).to_numpy() for c in ("rep", "cluster", "chunk", "n", "pos"))
+            rep, cluster, home, side, n, pos = (group.column(c).to_numpy() for c in ("rep", "cluster", "home", "side", "n", "pos"))
+            few = None if group.column("many")[0].as_py() <= SHORT_LIST else most
             parity = np.frombuffer(b"".join(group.column("parity").to_pylist()), np.uint64).reshape(len(rep), -1)
-            order = np.lexsort((pos, n))
-            rep, cluster, chunk, n, pos, parity = (c[order] for c in (rep, cluster, chunk, n, pos, parity))
-            ends = reach(n, percent)
-            found = []
-            for a in np.flatnonzero(ends > np.arange(len(rep)) + 1).tolist():
-                b = slice(a + 1, int(ends[a]))
-                least = overlap_needed(n[a], n[b], percent)
-                most = np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1)
-                fits = (cluster[b] != cluster[a]) & (rep[b] != rep[a]) & (most >= least)
-                if i != j:
-                    fits &= chunk[b] != chunk[a]
-                others = np.flatnonzero(fits)
-                if len(others):
-                    apart = np.bitwise_count(parity[a] ^ parity[a + 1 + others]).sum(axis=1, dtype=np.int64)
-                    others = others[apart <= n[a] + n[b][others] - 2 * least[others]]
-                    found += [(int(min(rep[a], y)), int(max(rep[a], y))) for y in rep[b][others]]
+            met = np.flatnonzero(side == 0)
+            met = met[np.lexsort((pos[met], n[met]))]
+            asks = np.flatnonzero(side == 1)
+            if not len(met) or not len(asks):
+                continue
+            m_rep, m_cluster, m_home, m_n, m_pos, m_parity = (c[met] for c in (rep, cluster, home, n, pos, parity))
+            starts, ends = reach(m_n, n[asks], percent)
+            found = set()
+            for a, start, end in zip(asks.tolist(), starts.tolist(), ends.tolist()):
+                b = slice(start, end)
+                others = np.flatnonzero((m_cluster[b] != cluster[a]) & (m_home[b] != home[a])) + start
+                least = overlap_needed(n[a], m_n[others], percent)
+                reached = np.minimum(pos[a], m_pos[others]) + 1 + np.minimum(n[a] - pos[a] - 1, m_n[others] - m_pos[others] - 1)
+                others, least = others[reached >= least], least[reached >= least]
+                if not len(others):
+                    continue
+                apart = np.bitwise_count(parity[a] ^ m_parity[others]).sum(axis=1, dtype=np.int64)
+                near = apart <= n[a] + m_n[others] - 2 * least
+                others, apart = others[near], apart[near]
+                if few is not None and len(others) > few:
+                    others = others[np.lexsort((m_rep[others], apart))[:few]]
+                found.update((int(min(rep[a], y)), int(max(rep[a], y))) for y in m_rep[others])
             if found:
-                yield _edges(sorted(set(found)))
+                yield _edges(sorted(found))
 
     return run
 
@@ -400,6 +425,57 @@ def components(edges: DataFrame) -> DataFrame:
         )
 
 
+def merged_homes(homes: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, home) after some more links: homes that they join are named by the smallest of them.
+
+    Only the homes at the ends of links that join different ones are gone through.
+    """
+    ends = []
+    for end in ("a", "b"):
+        ends.append(homes.select(F.col("rep").alias(f"{end}_rep"), F.col("home").alias(f"{end}_home")).hint("merge"))
+    apart = links.join(ends[0], F.col("a") == F.col("a_rep")).join(ends[1], F.col("b") == F.col("b_rep")).filter("a_home <> b_home")
+    apart = stored(apart.select(F.col("a_home").alias("a"), F.col("b_home").alias("b")), "jaccard-joins")
+    if apart.isEmpty():
+        return homes
+    found = components(apart)
+    joined = homes.join(found.hint("merge"), F.col("home") == F.col("node"), "left")
+    return stored(joined.select("rep", F.coalesce("component", "home").alias("home")), "jaccard-homes")
+
+
+def _proposals(entries: DataFrame, homes: DataFrame, parities: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """(x, p): pairs of a round, each once. Short lists propose all their pairs at once.
+
+    Until the last round a long list is only looked at within its chunks. Then every set still outside the list's
+    largest component meets all of the list; those inside it have nothing to ask each other.
+    """
+    placed = entries.join(homes.withColumnRenamed("rep", "hrep").hint("merge"), F.col("rep") == F.col("hrep")).drop("hrep")
+    shares = placed.groupBy("key", "home").agg(F.count(F.lit(1)).alias("n_home"))
+    lists = shares.groupBy("key").agg(
+        F.sum("n_home").alias("many"), F.count(F.lit(1)).alias("homes"), F.max(F.struct("n_home", "home")).alias("largest")
+    )
+    lists = lists.filter("homes > 1")
+    outside = F.col("many") - F.col("largest.n_home")
+    lists = stored(
+        lists.select(
+            F.col("key").alias("lkey"), "many", F.col("largest.home").alias("main"), _chunks(F.col("many")).alias("chunks"), _chunks(outside).alias("minor_chunks")
+        ),
+        "jaccard-lists",
+    )
+    mixed = placed.join(lists, F.col("key") == F.col("lkey")).join(parities, F.col("rep") == F.col("prep"))
+    mixed = mixed.withColumn("minor", F.col("home") != F.col("main"))
+    if most is not None:
+        # One part for each chunk: everything in it is met, what is outside the largest component asks.
+        own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+        sides = F.when(F.col("minor"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        mixed = mixed.withColumns({"i": own, "j": F.lit(0)}).withColumn("side", F.explode(sides))
+    else:
+        mixed = _dealt(mixed, "rep")
+    mixed = mixed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    columns = mixed.select("key", "i", "j", "side", "many", "rep", "cluster", "home", "n", "pos", "parity")
+    pairs = columns.mapInArrow(_pair_batches(percent, most), "a bigint, b bigint")
+    return pairs.distinct().select(F.col("b").alias("x"), F.col("a").alias("p"))
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -432,12 +508,15 @@ def jaccard_components(
     clustered = derived.filter("difference <> X''")
     edges = [derived.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))]
 
-    # Only pivots around which something is loose have anything to derive.
-    around = clustered.groupBy("p").agg((F.max("chunk") + 1).alias("chunks"), F.count_if(~F.col("linked")).alias("loose"), F.count(F.lit(1)).alias("many"))
-    around = stored(around.filter("loose > 0 AND many > 1").select(F.col("p").alias("ap"), "chunks"), "jaccard-around")
-    dealt = _chunk_pairs(clustered.join(around, F.col("p") == F.col("ap")), "chunk", "chunks")
-    dealt = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
-    edges.append(dealt.select("p", "i", "j", "x", "chunk", "n_x", "missing", "n_p", "linked", "difference").mapInArrow(_derive_batches(percent), "a bigint, b bigint"))
+    # Only pivots around which something is loose have anything to derive, and only what is loose asks.
+    around = clustered.groupBy("p").agg(F.count_if(~F.col("linked")).alias("loose"), F.count(F.lit(1)).alias("many"))
+    around = around.filter("loose > 0 AND many > 1").select(F.col("p").alias("ap"), _chunks(F.col("many")).alias("chunks"), _chunks(F.col("loose")).alias("minor_chunks"))
+    around = stored(around, "jaccard-around")
+    dealt = clustered.join(around, F.col("p") == F.col("ap")).withColumn("minor", ~F.col("linked")).drop("chunk")
+    dealt = _dealt(dealt, "x").repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
+    edges.append(dealt.select("p", "i", "j", "side", "x", "n_x", "missing", "n_p", "difference").mapInArrow(_derive_batches(percent), "a bigint, b bigint"))
+    known = stored(edges[0].unionByName(edges[1]), "jaccard-links")
+    homes = merged_homes(stored(named.select("rep", F.col("rep").alias("home")), "jaccard-homes"), known)
 
     cells = _frequencies(described)
     index = rows.mapInArrow(_prefix_batches(size, percent, cells), "key bigint, cls bigint, n bigint, pos bigint")
@@ -447,22 +526,23 @@ def jaccard_components(
         F.col("cls").alias("ccls"), "rep", F.coalesce("p", "rep").alias("cluster")
     )
     entries = stored(shared.join(cluster, F.col("cls") == F.col("ccls")).select("key", "rep", "cluster", "n", "pos"), "jaccard-entries")
-    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
-    lists = lists.filter("low <> high").select(F.col("key").alias("lkey"), F.ceil(F.col("many") / CHUNK).cast("int").alias("chunks"))
-    lists = stored(lists, "jaccard-lists")
     parities = named.select(F.col("rep").alias("prep"), "parity")
-    mixed = entries.join(lists, F.col("key") == F.col("lkey")).join(parities, F.col("rep") == F.col("prep"))
-    mixed = mixed.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
-    mixed = _chunk_pairs(mixed, "chunk", "chunks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = mixed.select("key", "i", "j", "rep", "cluster", "chunk", "n", "pos", "parity").mapInArrow(_pair_batches(percent), "a bigint, b bigint")
-    pairs = stored(pairs.distinct().select(F.col("b").alias("x"), F.col("a").alias("p")), "jaccard-candidates")
-    across = compare(texts, pairs, size, percent)
-    edges.append(across.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
-
-    linked = stored(edges[0].unionByName(edges[1]).unionByName(edges[2]), "jaccard-links")
-    found = components(linked)
+    compared = None
+    for most in ROUNDS:
+        pairs = _proposals(entries, homes, parities, percent, most)
+        if compared is None:  # short lists are done with after this round
+            long = entries.groupBy("key").count().filter(F.col("count") > SHORT_LIST).select(F.col("key").alias("lkey"))
+            entries = stored(entries.join(long, F.col("key") == F.col("lkey"), "left_semi"), "jaccard-entries")
+        else:
+            done = compared.select(F.col("x").alias("dx"), F.col("p").alias("dp"))
+            pairs = pairs.join(done, (F.col("x") == F.col("dx")) & (F.col("p") == F.col("dp")), "left_anti")
+        pairs = stored(pairs, "jaccard-candidates")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        across = compare(texts, pairs, size, percent)
+        homes = merged_homes(homes, stored(across.filter("linked").select(F.col("x").alias("a"), F.col("p").alias("b")), "jaccard-links"))
+    home_of = homes.withColumnRenamed("rep", "hrep")
     homes = stored(
-        classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("cls").alias("hcls"), F.coalesce("component", "rep").alias("home")),
+        classes.join(home_of, F.col("rep") == F.col("hrep"), "left").select(F.col("cls").alias("hcls"), "home"),
         "jaccard-homes",
     )
     return members.join(homes.hint("merge"), F.col("cls") == F.col("hcls"), "left").select(
