@@ -357,6 +357,7 @@ def reach(n: np.ndarray, asked: np.ndarray, percent: int) -> tuple[np.ndarray, n
 def _pair_batches(percent: int, most: int | None):
     """Pairs of sets from different pivots and components that share a key, as far as sizes, positions and parities allow a link.
 
+    Rows of side 0 are met, those of side 1 ask, those of side 2 do both.
     The sets of a part are sorted by size, and each one that asks meets only the block that is neither too small nor
     too large. Two sets differ in at least as many shingles as their parities differ in bits. In a list that is not
     short, a set is paired with the ``most`` closest only, by their parities.
@@ -367,17 +368,22 @@ def _pair_batches(percent: int, most: int | None):
             rep, cluster, home, side, n, pos = (group.column(c).to_numpy() for c in ("rep", "cluster", "home", "side", "n", "pos"))
             few = None if group.column("many")[0].as_py() <= SHORT_LIST else most
             parity = np.frombuffer(b"".join(group.column("parity").to_pylist()), np.uint64).reshape(len(rep), -1)
-            met = np.flatnonzero(side == 0)
+            met = np.flatnonzero(side != 1)
             met = met[np.lexsort((pos[met], n[met]))]
-            asks = np.flatnonzero(side == 1)
+            asks = np.flatnonzero(side != 0)
             if not len(met) or not len(asks):
                 continue
-            m_rep, m_cluster, m_home, m_n, m_pos, m_parity = (c[met] for c in (rep, cluster, home, n, pos, parity))
+            place = np.full(len(rep), -1)  # of those that ask and are met, among the sets that are met
+            place[met] = np.arange(len(met))
+            m_rep, m_cluster, m_home, m_side, m_n, m_pos, m_parity = (c[met] for c in (rep, cluster, home, side, n, pos, parity))
             starts, ends = reach(m_n, n[asks], percent)
             found = set()
             for a, start, end in zip(asks.tolist(), starts.tolist(), ends.tolist()):
                 b = slice(start, end)
-                others = np.flatnonzero((m_cluster[b] != cluster[a]) & (m_home[b] != home[a])) + start
+                fits = (m_cluster[b] != cluster[a]) & (m_home[b] != home[a])
+                if few is None and side[a] == 2:  # those before it that ask have asked it
+                    fits &= (m_side[b] == 0) | (np.arange(start, end) > place[a])
+                others = np.flatnonzero(fits) + start
                 least = overlap_needed(n[a], m_n[others], percent)
                 reached = np.minimum(pos[a], m_pos[others]) + 1 + np.minimum(n[a] - pos[a] - 1, m_n[others] - m_pos[others] - 1)
                 others, least = others[reached >= least], least[reached >= least]
@@ -442,13 +448,12 @@ def merged_homes(homes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(joined.select("rep", F.coalesce("component", "home").alias("home")), "jaccard-homes")
 
 
-def _proposals(entries: DataFrame, homes: DataFrame, parities: DataFrame, percent: int, most: int | None) -> DataFrame:
+def _proposals(placed: DataFrame, parities: DataFrame, percent: int, most: int | None) -> DataFrame:
     """(x, p): pairs of a round, each once. Short lists propose all their pairs at once.
 
     Until the last round a long list is only looked at within its chunks. Then every set still outside the list's
     largest component meets all of the list; those inside it have nothing to ask each other.
     """
-    placed = entries.join(homes.withColumnRenamed("rep", "hrep").hint("merge"), F.col("rep") == F.col("hrep")).drop("hrep")
     shares = placed.groupBy("key", "home").agg(F.count(F.lit(1)).alias("n_home"))
     lists = shares.groupBy("key").agg(
         F.sum("n_home").alias("many"), F.count(F.lit(1)).alias("homes"), F.max(F.struct("n_home", "home")).alias("largest")
@@ -464,10 +469,9 @@ def _proposals(entries: DataFrame, homes: DataFrame, parities: DataFrame, percen
     mixed = placed.join(lists, F.col("key") == F.col("lkey")).join(parities, F.col("rep") == F.col("prep"))
     mixed = mixed.withColumn("minor", F.col("home") != F.col("main"))
     if most is not None:
-        # One part for each chunk: everything in it is met, what is outside the largest component asks.
+        # One part for each chunk: everything in it is met, and what is outside the largest component asks as well.
         own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-        sides = F.when(F.col("minor"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        mixed = mixed.withColumns({"i": own, "j": F.lit(0)}).withColumn("side", F.explode(sides))
+        mixed = mixed.withColumns({"i": own, "j": F.lit(0), "side": F.when(F.col("minor"), 2).otherwise(0)})
     else:
         mixed = _dealt(mixed, "rep")
     mixed = mixed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -522,18 +526,21 @@ def jaccard_components(
     index = rows.mapInArrow(_prefix_batches(size, percent, cells), "key bigint, cls bigint, n bigint, pos bigint")
     shared = index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_shared_keys, "key bigint, cls bigint, n bigint, pos bigint")
     shared = stored(shared, "jaccard-index")
-    cluster = named.join(clustered.select("x", "p"), F.col("rep") == F.col("x"), "left").select(
-        F.col("cls").alias("ccls"), "rep", F.coalesce("p", "rep").alias("cluster")
+    cluster = named.join(clustered.select("x", "p"), F.col("rep") == F.col("x"), "left")
+    cluster = cluster.join(homes.withColumnRenamed("rep", "hrep"), F.col("rep") == F.col("hrep")).select(
+        F.col("cls").alias("ccls"), "rep", F.coalesce("p", "rep").alias("cluster"), "home"
     )
-    entries = stored(shared.join(cluster, F.col("cls") == F.col("ccls")).select("key", "rep", "cluster", "n", "pos"), "jaccard-entries")
+    entries = stored(shared.join(cluster, F.col("cls") == F.col("ccls")).select("key", "rep", "cluster", "home", "n", "pos"), "jaccard-entries")
     parities = named.select(F.col("rep").alias("prep"), "parity")
     compared = None
     for most in ROUNDS:
-        pairs = _proposals(entries, homes, parities, percent, most)
         if compared is None:  # short lists are done with after this round
+            pairs = _proposals(entries, parities, percent, most)
             long = entries.groupBy("key").count().filter(F.col("count") > SHORT_LIST).select(F.col("key").alias("lkey"))
-            entries = stored(entries.join(long, F.col("key") == F.col("lkey"), "left_semi"), "jaccard-entries")
+            entries = stored(entries.join(long, F.col("key") == F.col("lkey"), "left_semi").drop("home"), "jaccard-entries")
         else:
+            now = homes.withColumnRenamed("rep", "hrep").hint("merge")
+            pairs = _proposals(entries.join(now, F.col("rep") == F.col("hrep")).drop("hrep"), parities, percent, most)
             done = compared.select(F.col("x").alias("dx"), F.col("p").alias("dp"))
             pairs = pairs.join(done, (F.col("x") == F.col("dx")) & (F.col("p") == F.col("dp")), "left_anti")
         pairs = stored(pairs, "jaccard-candidates")
