@@ -27,7 +27,7 @@ def test_queries_equal_sql(spark):
 
 def test_all_are_registered():
     names = contract.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES][0] == "quality"
 
 
