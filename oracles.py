@@ -223,6 +223,99 @@ _LONG_USAGE = " UNION ALL ".join(
     f"SELECT app_id, '{label}' AS feature, u{n} AS uses FROM app_facts WHERE u{n} > 0" for n, (label, _) in enumerate(_FEATURES)
 )
 
+VERSIONS_TAIL = r""", pins AS (
+    SELECT app_id, doc_id % 12 AS t, doc_id % 9 AS p, doc_id % 4 AS a, doc_id % 11 AS b FROM d
+), pin_lines AS (
+    SELECT app_id, unnest(CASE t
+        WHEN 0 THEN ['Lib_' || p || '>=' || a || '.' || b]
+        WHEN 1 THEN ['lib.' || p || ' < ' || a || '.' || b || '.0']
+        WHEN 2 THEN ['lib-' || p || '[fast]~=' || a || '.' || b || '.1  # note']
+        WHEN 3 THEN ['lib-' || p || '==' || a || '.' || b]
+        WHEN 4 THEN ['lib-' || p || '!=' || a || '.*,<=3.' || b]
+        WHEN 5 THEN ['lib-' || p || '>' || a || '.' || b || 'rc1,!=' || a || '.10']
+        WHEN 6 THEN ['lib-' || p || '==' || a || '.*']
+        WHEN 7 THEN ['lib-' || p || '>=' || b || '.0; python_version<''3.9''']
+        WHEN 8 THEN ['lib-' || p || ' (>=' || a || '.1.0, <' || b || ')']
+        WHEN 9 THEN ['lib-' || p || '==latest', 'lib-' || p || '~=' || b]
+        WHEN 10 THEN ['lib-' || p || '==0.' || b || '.0']
+        ELSE ['lib-' || p] END) AS line
+    FROM pins
+), bare AS (
+    SELECT app_id, regexp_replace(line, '(^|\s)#.*$', '') AS line FROM lines
+    UNION ALL SELECT app_id, regexp_replace(line, '(^|\s)#.*$', '') FROM pin_lines
+), halves AS (
+    SELECT app_id, trim(split_part(line, ';', 1)) AS named,
+           CASE WHEN contains(line, ';') THEN trim(substr(line, strpos(line, ';') + 1)) ELSE '' END AS marker
+    FROM bare
+), named AS (
+    SELECT app_id, marker, regexp_extract(named, '^[A-Za-z0-9]([A-Za-z0-9._-]*[A-Za-z0-9])?') AS name,
+           trim(regexp_replace(named, '^[A-Za-z0-9]([A-Za-z0-9._-]*[A-Za-z0-9])?\s*(\[[^\]]*\])?', '')) AS rest
+    FROM halves WHERE regexp_matches(named, '^[A-Za-z0-9]') AND NOT regexp_matches(named, '[@/\\]')
+), listed AS (
+    SELECT app_id, marker, regexp_replace(lower(name), '[-_.]+', '-', 'g') AS package,
+           list_filter(list_transform(string_split(regexp_replace(rest, '^\((.*)\)$', '\1'), ','), lambda x: trim(x)), lambda x: x <> '') AS specifiers
+    FROM named
+), single AS (
+    SELECT app_id, package, marker, unnest(CASE WHEN len(specifiers) = 0 THEN [NULL] ELSE specifiers END) AS specifier FROM listed
+), signed AS (
+    SELECT *, coalesce(regexp_extract(specifier, '^(===|==|~=|!=|<=|>=|<|>)'), '') AS sign,
+           lower(trim(regexp_replace(specifier, '^(===|==|~=|!=|<=|>=|<|>)\s*v?', ''))) AS given FROM single
+), versioned AS (
+    SELECT *, coalesce(ends_with(given, '.*') AND sign IN ('==', '!='), false) AS whole,
+           CASE WHEN ends_with(given, '.*') AND sign IN ('==', '!=') THEN given[:-3] ELSE given END AS version FROM signed
+), parts AS (
+    SELECT *, regexp_extract(version, '^([0-9]+!)?([0-9]+(\.[0-9]+)*)([-_.]?(alpha|beta|preview|dev|post|rev|pre|rc|a|b|c|r)[-_.]?([0-9]*))?$',
+               ['epoch', 'release', 'x', 'suffix', 'word', 'number']) AS m
+    FROM versioned
+), keyed_versions AS (
+    SELECT *, m.release <> '' AS is_version,
+           [CASE WHEN m.epoch = '' THEN 0 ELSE TRY_CAST(m.epoch[:-2] AS BIGINT) END]
+             || list_transform(string_split(regexp_replace(m.release, '(\.0+)+$', ''), '.'), lambda x: TRY_CAST(x AS BIGINT)) AS stem,
+           CASE WHEN m.word = '' THEN -1 WHEN m.word = 'dev' THEN -5 WHEN m.word IN ('a', 'alpha') THEN -4 WHEN m.word IN ('b', 'beta') THEN -3
+                WHEN m.word IN ('post', 'rev', 'r') THEN -1 ELSE -2 END AS phase,
+           CASE WHEN m.word IN ('post', 'rev', 'r') THEN 1 ELSE 0 END + coalesce(TRY_CAST(m.number AS BIGINT), 0) AS nth,
+           string_split(m.release, '.') AS numbers
+    FROM parts
+), stems AS (
+    SELECT *, CASE WHEN whole THEN numbers WHEN sign = '~=' THEN numbers[:-2] END AS shared FROM keyed_versions
+), bumped AS (
+    SELECT *, m.epoch || array_to_string(shared[:-2] || [CAST(TRY_CAST(shared[-1] AS BIGINT) + 1 AS VARCHAR)], '.') AS upto,
+           array_to_string(shared[:-2] || [CAST(TRY_CAST(shared[-1] AS BIGINT) + 1 AS VARCHAR)], '.') AS upto_release FROM stems
+), bounded AS (
+    SELECT app_id, package, marker, specifier, sign = '!=' AS excludes,
+           coalesce(is_version AND sign <> '' AND (NOT whole OR m.suffix = '') AND (sign <> '~=' OR len(shared) > 0), false) AS fine,
+           CASE WHEN whole THEN {'k': stem || [-5, 0], 'f': 0, 't': '>=' || version || '.dev0'}
+                WHEN sign IN ('<', '<=') THEN NULL
+                WHEN sign = '>' THEN {'k': stem || [phase, CASE WHEN phase = -1 AND nth = 0 THEN 9223372036854775807 ELSE nth END], 'f': 1, 't': '>' || version}
+                ELSE {'k': stem || [phase, nth], 'f': 0, 't': '>=' || version} END AS lo,
+           CASE WHEN whole OR sign = '~=' THEN {'k': [stem[1]] || list_transform(string_split(regexp_replace(upto_release, '(\.0+)+$', ''), '.'), lambda x: TRY_CAST(x AS BIGINT)) || [-5, 0], 'f': -1, 't': '<' || upto || '.dev0'}
+                WHEN sign IN ('>', '>=') THEN NULL
+                WHEN sign = '<' THEN {'k': stem || CASE WHEN phase = -1 THEN [-5, 0] ELSE [phase, nth] END, 'f': -1, 't': '<' || version}
+                ELSE {'k': stem || [phase, nth], 'f': 0, 't': '<=' || version} END AS hi
+    FROM bumped
+), tightest AS (
+    SELECT app_id, package, marker, max(lo) FILTER (fine AND NOT excludes AND lo IS NOT NULL) AS lo, min(hi) FILTER (fine AND NOT excludes AND hi IS NOT NULL) AS hi,
+           count(specifier) AS specifiers, count(*) FILTER (specifier IS NOT NULL AND NOT fine) AS unreadable
+    FROM bounded GROUP BY ALL
+), holes AS (
+    SELECT DISTINCT app_id, package, marker, specifier, lo, hi FROM bounded WHERE fine AND excludes
+), met AS (
+    SELECT t.app_id, t.package, t.marker, count(*) AS exclusions,
+           bool_or(t.lo IS NOT NULL AND t.hi IS NOT NULL AND (h.lo.k, h.lo.f) <= (t.lo.k, t.lo.f) AND (t.hi.k, t.hi.f) <= (h.hi.k, h.hi.f)) AS covered
+    FROM tightest t JOIN holes h USING (app_id, package, marker)
+    WHERE (t.lo IS NULL OR (t.lo.k, t.lo.f) <= (h.hi.k, h.hi.f)) AND (t.hi IS NULL OR (h.lo.k, h.lo.f) <= (t.hi.k, t.hi.f)) GROUP BY ALL
+), told AS (
+    SELECT t.*, coalesce(exclusions, 0) AS exclusions,
+           CASE WHEN coalesce(covered, false) OR (t.lo IS NOT NULL AND t.hi IS NOT NULL AND (t.lo.k, t.lo.f) > (t.hi.k, t.hi.f)) THEN 'conflict'
+                WHEN t.lo.k = t.hi.k AND t.lo.f = 0 AND t.hi.f = 0 THEN 'pinned'
+                WHEN t.lo IS NULL AND t.hi IS NULL THEN 'any' ELSE 'range' END AS status
+    FROM tightest t LEFT JOIN met USING (app_id, package, marker)
+)
+SELECT app_id, package, marker, lo.t AS lower, hi.t AS upper, specifiers, unreadable, exclusions, status,
+       CASE status WHEN 'conflict' THEN NULL
+            ELSE package || CASE status WHEN 'pinned' THEN '==' || lo.t[3:] ELSE concat_ws(',', lo.t, hi.t) END || CASE WHEN marker <> '' THEN '; ' || marker ELSE '' END END AS requirement
+FROM told"""
+
 ADVICE_TAIL = REQUIREMENTS_TAIL + MANIFESTS_TAIL + """, guarded AS (
     SELECT f.*, c.status, c.has_privileges, f.api_usage_total > 0 AS has_api_usage,
            f.app_id IN (SELECT app_id FROM dependencies WHERE package = 'snowflake-connector-python') AS needs_connector,
@@ -557,6 +650,7 @@ ORACLES: dict[str, str] = {
     FROM app_facts GROUP BY migration_complexity, app_type""",
     "warnings": f"WITH {APPS}{MANIFESTS_TAIL}{WARNINGS_TAIL} SELECT * FROM warned",
     "recommendations": f"WITH {APPS}{ADVICE_TAIL} SELECT app_id, seq, code, text FROM advice",
+    "version_ranges": f"WITH {REQUIREMENTS}{VERSIONS_TAIL}",
     "dependency_set": f"WITH {REQUIREMENTS} SELECT app_id, package FROM dependencies",
     "dependency_drop": f"""WITH {REQUIREMENTS} SELECT app_id, package FROM dependencies
     WHERE NOT contains(package, 'snowflake-connector') AND NOT contains(package, 'snowflake-snowpark')

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfreight import rules
 from wayfreight.functions import revenue
 from wayfreight.functions.text import contains_any
-from wayfreight.operators import appfacts, changes, classify, cube, deps, manifest, rewrite, sales, semi, upkeep
+from wayfreight.operators import appfacts, changes, classify, cube, deps, manifest, rewrite, sales, semi, upkeep, versions
 from wayfreight.plans import estate as plans
 from wayfreight.plans.migration import with_saved_facts
 from wayfreight.schemas import TABLES
@@ -112,6 +112,11 @@ def manifest_catalog(spark, data_dir):
     return sample_estate(spark, data_dir).catalog
 
 
+@query
+def version_ranges(spark, data_dir):
+    return versions.version_ranges(sample_corpus.pinned_files(spark, data_dir))
+
+
 @query
 def requirements_parse(spark, data_dir):
     return deps.requirements_parse(sample_corpus.src_files(spark, data_dir))

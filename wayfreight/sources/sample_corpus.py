@@ -160,6 +160,29 @@ def raw_manifests(spark: SparkSession, data_dir: str) -> DataFrame:
     return apps.select("app_id", F.inline(found))
 
 
+#: Requirement lines by document number; {p} is its remainder by 9, {a} by 4 and {b} by 11.
+PINS = (
+    "Lib_{p}>={a}.{b}", "lib.{p} < {a}.{b}.0", "lib-{p}[fast]~={a}.{b}.1  # note", "lib-{p}=={a}.{b}", "lib-{p}!={a}.*,<=3.{b}",
+    "lib-{p}>{a}.{b}rc1,!={a}.10", "lib-{p}=={a}.*", "lib-{p}>={b}.0; python_version<'3.9'", "lib-{p} (>={a}.1.0, <{b})", "lib-{p}==latest\nlib-{p}~={b}",
+    "lib-{p}==0.{b}.0", "lib-{p}",
+)
+
+
+def pinned_files(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The decoded files, and for each document a requirements file with versions."""
+    docs = table(spark, data_dir, "documents").select("doc_id")
+    doc_id = F.col("doc_id")
+    line = F.element_at(F.array(*[F.lit(p) for p in PINS]), (doc_id % len(PINS) + 1).cast("int"))
+    for name, modulus in (("{p}", 9), ("{a}", 4), ("{b}", 11)):
+        line = F.replace(line, F.lit(name), (doc_id % modulus).cast("string"))
+    more = docs.select(
+        _app_columns(doc_id)["app_id"].alias("app_id"),
+        F.concat(F.lit("pins/"), doc_id, F.lit("/requirements.txt")).alias("path"),
+        line.cast("binary").alias("content"),
+    )
+    return decode_files(raw_files(spark, data_dir).unionByName(more))
+
+
 def apps(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every application folder, with or without usable files."""
     return (
