@@ -599,6 +599,9 @@ ORACLES: dict[str, str] = {
     SELECT r.app_id, r.target_path, array_to_string(string_split(new_content, chr(10))[1:10], chr(10)) AS preview
     FROM rewritten r JOIN winners w ON r.app_id = w.app_id AND r.path = w.path""",
     "copy_into": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+    "load_ledger": """SELECT event_type, CAST(count(*) FILTER (event_id % 23 <> 4) AS BIGINT) AS loaded,
+           CAST(count(*) FILTER (event_id % 23 = 4) AS BIGINT) AS corrupt, true AS each_file_once FROM events GROUP BY event_type""",
+    "loaded_rows": "SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 23 <> 4",
     "create_frame": f"""WITH {SALES} SELECT year, region, CASE region WHEN 'ASIA' THEN 'east desk' WHEN 'EUROPE' THEN 'west desk' END AS desk,
            {REVENUE} FROM sales GROUP BY year, region""",
     # per-file facts
@@ -770,6 +773,8 @@ ORACLES: dict[str, str] = {
     "categorize_revenue_sql": f"""WITH {SALES} SELECT CASE WHEN revenue > 100000 THEN 'High' WHEN revenue > 50000 THEN 'Medium' ELSE 'Low' END AS category,
            count(*) AS lines, {REVENUE} FROM sales GROUP BY 1""",
     "sales_forecast_sql": f"""WITH {GROWTH} SELECT round(CAST({LAST_YEAR} AS DOUBLE) * (1 + avg(growth)), 2) AS forecast FROM growth WHERE year >= 1998""",
+    "split_to_table_sql": f"""WITH {SALES} SELECT 'sales' AS what, CAST(NULL AS BIGINT) AS id, CAST({LAST_YEAR} AS DECIMAL(28,2)) AS amount
+    UNION ALL SELECT 'parts', doc_id, CAST(len(string_split(text, '. ')) AS DECIMAL(28,2)) FROM documents WHERE text IS NOT NULL""",
     "monthly_sales_sql": f"""WITH {SALES}, monthly AS (
         SELECT year, month, region, sum(order_count) AS n, count(DISTINCT customer_id) AS c FROM sales GROUP BY ALL
     ) SELECT year, region, CAST(sum(n) AS BIGINT) AS orders, max(c) AS most_customers FROM monthly GROUP BY year, region""",

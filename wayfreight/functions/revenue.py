@@ -17,7 +17,11 @@ def categorize_revenue(revenue: Column) -> Column:
 
 
 def register_sql_functions(spark: SparkSession) -> None:
-    """Make ``categorize_revenue(x)`` callable in SQL: a SQL function, which Catalyst inlines."""
+    """Make ``categorize_revenue(x)`` and ``split_to_table(text, separator)`` callable in SQL: Catalyst inlines both.
+
+    ``split_to_table`` is a table function (index from 1, value), for a subquery or a lateral join. The separator is
+    literal and nothing is trimmed; a null text gives no row, an empty separator the whole text.
+    """
     spark.sql(
         f"""
         CREATE OR REPLACE TEMPORARY FUNCTION categorize_revenue(revenue DOUBLE) RETURNS STRING
@@ -26,6 +30,15 @@ def register_sql_functions(spark: SparkSession) -> None:
                     ELSE 'Low' END
         """
     )
+    spark.sql(
+        r"""
+        CREATE OR REPLACE TEMPORARY FUNCTION split_to_table(text STRING, separator STRING)
+        RETURNS TABLE (index INT, value STRING)
+        RETURN SELECT pos + 1, col
+               FROM posexplode(CASE WHEN separator = '' THEN array(text) WHEN text IS NOT NULL
+                                    THEN split(text, concat('\\Q', replace(separator, '\\E', '\\E\\\\E\\Q'), '\\E')) END)
+        """
+    )
 
 
 # Each year and the year before meet in the second aggregation, see operators.sales.yearly_pairs.

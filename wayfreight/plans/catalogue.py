@@ -17,6 +17,7 @@ from wayfreight.schemas import TABLES
 from wayfreight.session import shared_dir
 from wayfreight.sources import files, sample_corpus, source_tree, tree
 from wayfreight.sources.tables import sales_data, table
+from wayfreight.streaming import ledger
 from wayfreight.streaming.load import copy_into
 
 FORECAST_YEAR = 2001
@@ -163,6 +164,36 @@ def copy_into_events(spark, data_dir):
     return spark.read.schema(TABLES["events"]).parquet(target)
 
 
+EVENT_LINES = "event_id bigint, user_id bigint, event_type string, value double"
+
+
+def _ledgered(spark, data_dir):
+    """Events as JSON lines in one folder for each type, some lines broken off, loaded twice."""
+    lines, target, checkpoint = (shared_dir(spark, name) for name in ("event-lines", "events-loaded", "events-ledger-checkpoint"))
+    whole = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    broken = F.col("event_id") % 23 == 4
+    events = table(spark, data_dir, "events").select(F.col("event_type").alias("type"), F.when(broken, F.concat(F.lit("{"), whole)).otherwise(whole).alias("line"))
+    events.write.partitionBy("type").text(lines)
+    for _ in range(2):  # the second run finds nothing new
+        ledger.copy_with_ledger(spark, lines, target, checkpoint, EVENT_LINES, recursiveFileLookup="true", files_per_batch=100)
+    return target
+
+
+@query
+def load_ledger(spark, data_dir):
+    """What the ledger says of each folder of files."""
+    kind = F.regexp_extract("file", "/type=([^/]*)/", 1).alias("event_type")
+    entered = ledger.ledger(spark, _ledgered(spark, data_dir))
+    return entered.groupBy(kind).agg(
+        F.sum("loaded").alias("loaded"), F.sum("corrupt").alias("corrupt"), (F.count("*") == F.count_distinct("file")).alias("each_file_once")
+    )
+
+
+@query
+def loaded_rows(spark, data_dir):
+    return ledger.loaded_rows(spark, _ledgered(spark, data_dir), EVENT_LINES)
+
+
 @query
 def create_frame(spark, data_dir):
     """Rows given in code as a frame: a desk for some regions, looked up for the whole fact."""
@@ -625,6 +656,24 @@ def categorize_revenue_sql(spark, data_dir):
     )
 
 
+@query
+def split_to_table_sql(spark, data_dir):
+    """Last year's sales of a list of regions, and the sentences of every document, by a table function in SQL."""
+    revenue.register_sql_functions(spark)
+    fact = sales_data(spark, data_dir, ["year", "region", "revenue"])
+    return spark.sql(
+        """
+        SELECT 'sales' AS what, CAST(NULL AS BIGINT) AS id, CAST(sum(revenue) AS DECIMAL(28,2)) AS amount FROM {fact}
+        WHERE year = :year - 1 AND region IN (SELECT value FROM split_to_table(:regions, ','))
+        UNION ALL
+        SELECT 'parts', doc_id, CAST(count(*) AS DECIMAL(28,2)) FROM {documents} d, LATERAL split_to_table(d.text, '. ') GROUP BY doc_id
+        """,
+        args={"year": FORECAST_YEAR, "regions": REGIONS},
+        fact=fact,
+        documents=table(spark, data_dir, "documents"),
+    )
+
+
 @query
 def sales_forecast_sql(spark, data_dir):
     """The forecast as a procedure over a view, with bound parameters."""
