@@ -5,6 +5,7 @@ import hashlib
 import io
 import re
 
+import pytest
 import zstandard
 from conftest import rows
 from odd_rows import documents, nothing, tricky  # noqa: F401
@@ -124,12 +125,27 @@ def test_dictionary_travels_in_the_leading_frame():
     assert len(packed) - 8 - int.from_bytes(packed[4:8], "little") < without
 
 
-def test_small_archives_have_no_dictionary():
-    records = [warc.make_record(1, None, b"x", None)]
-    assert list(warc.read_archive(io.BytesIO(warc.pack_archive(records)))) == records
+def test_small_archives_have_a_dictionary_too():
+    for payloads in ([b""], [b"x"], [b"<p>" + bytes([65 + k]) * k for k in range(20)], [b"long " * 200_000]):
+        records = [warc.make_record(k, None, p, None) for k, p in enumerate(payloads)]
+        packed = warc.pack_archive(records)
+        assert int.from_bytes(packed[:4], "little") == warc.DICTIONARY_FRAME
+        assert list(warc.read_archive(io.BytesIO(packed))) == records
+        with pytest.raises(zstandard.ZstdError):  # no record can do without the dictionary
+            list(warc.read_archive(io.BytesIO(packed[8 + int.from_bytes(packed[4:8], "little") :])))
+    assert warc.pack_archive([]) == b""
     assert list(warc.read_archive(io.BytesIO(b""))) == []
 
 
+def test_archives_are_read_by_several_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(k, None, f"<p>{k}</p>") for k in range(60)], "page_id long, url string, html string").repartition(6)
+    archives = warc.write_archives(pages, f"file://{tmp_path}")
+    many = archives.count()
+    found = warc.read_archives(archives, f"file://{tmp_path}")
+    assert many > 1 and found.rdd.getNumPartitions() == min(many, 8)
+    assert found.count() == 60
+
+
 def test_no_pages(spark):
     assert warc.write_and_read(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

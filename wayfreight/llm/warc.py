@@ -19,6 +19,7 @@ DICTIONARY_FRAME = 0x184D2A5D
 ARCHIVE_BYTES = 24 << 20  # of records before compression, held in memory until the archive is written
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 3 << 20  # of the archive's own records that its dictionary is trained on
+READ_BYTES = 128 << 20  # of records that a task reads back, if there are more than all cores are busy with
 LEVEL = 3
 RECORD_NAME = "urn:page:"
 
@@ -46,29 +47,32 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
-def make_dictionary(records: list[bytes]) -> bytes | None:
-    """A Zstandard dictionary from records of one archive, spread over all of them; None for too little text."""
+def make_dictionary(records: list[bytes]) -> bytes:
+    """A Zstandard dictionary from records of one archive, spread over all of them.
+
+    Too few or too short records to train on give a dictionary of their plain bytes, which Zstandard
+    takes as content that was seen before.
+    """
     import zstandard
 
     total = sum(map(len, records))
     step = max(1, total // SAMPLE_BYTES)
     samples = [piece for r in records[::step] for piece in (r[k : k + 65536] for k in range(0, len(r), 65536))]
-    if len(samples) < 16 or sum(map(len, samples)) < 32768:
-        return None
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return None
+        # Records begin with their version, never with the mark of a trained dictionary.
+        share = max(1, DICTIONARY_BYTES // len(samples))
+        return b"".join(piece[:share] for piece in samples)[:DICTIONARY_BYTES]
 
 
 def pack_archive(records: list[bytes]) -> bytes:
-    """The dictionary in a skippable frame, if there is one, then a frame for each record."""
+    """The dictionary in a skippable frame, then a frame for each record; nothing for no records."""
     import zstandard
 
+    if not records:
+        return b""
     raw = make_dictionary(records)
-    if raw is None:
-        packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
-        return b"".join(packer.compress(r) for r in records)
     trained = zstandard.ZstdCompressionDict(raw)
     trained.precompute_compress(level=LEVEL)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True)
@@ -268,11 +272,17 @@ def _read_batches(folder: str, with_payload: bool):
 
 
 def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """The records of the listed archives, one row each, streamed; lengths and digests are verified."""
+    """The records of the listed archives, one row each, streamed; lengths and digests are verified.
+
+    Tasks are as many as the records' bytes ask for, at least one for each core as long as there are archives:
+    the bytes of the archives' names say nothing about the work. A record is held whole in memory.
+    """
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint"
     if with_payload:
         schema += ", payload binary"
-    dealt = archives.select("archive").repartition("archive")
+    many, size = archives.agg(F.count("archive"), F.coalesce(F.sum("record_bytes"), F.lit(0))).first()
+    cores = archives.sparkSession.sparkContext.defaultParallelism
+    dealt = archives.select("archive").repartition(max(1, min(many, cores), -(-size // READ_BYTES)))
     return dealt.mapInArrow(_read_batches(folder, with_payload), schema)
 
 
