@@ -10,7 +10,7 @@ import pytest
 from conftest import rows
 from odd_rows import documents, nothing, tricky  # noqa: F401
 
-from wayfreight.llm import langid, lm, quality, toxicity
+from wayfreight.llm import langid, lm, quality, sampling, toxicity
 from wayfreight.llm.common import UPPER, sliced
 
 LOWERED = str.maketrans(UPPER, UPPER.lower())
@@ -107,6 +107,65 @@ def test_quality_of_held_out_rows(table):
     assert held_accuracy(scored, table("labels").withColumnRenamed("quality", "truth").select("doc_id", "truth"), "predicted") > 0.95
 
 
+def test_toxicity_learns_within_its_bytes(spark):
+    """Very long texts and an id that repeats take no more than their share, and no class loses its texts to them."""
+    rows_ = [(i, ("good " if i % 2 else "vile ") * (200_000 if i % 50 == 0 else 20)) for i in range(400)] + [(7, "zzz" + "x" * k) for k in range(3000)]
+    docs = spark.createDataFrame(rows_, "id long, text string").repartition(8)
+    sample = spark.createDataFrame([(i, i % 2) for i in range(400)], "label_id long, label int")
+    for most in (1 << 20, 20_000):
+        taken = toxicity.learned_texts(docs, sample, most).collect()
+        assert max(len(r.text) for r in taken) <= most // 32
+        for label in (0, 1):
+            assert 0 < sum(len(r.text) for r in taken if r.label == label) <= most // 2
+    assert sum(len(r.text) == 100 for r in toxicity.learned_texts(docs, sample, 1 << 20).collect()) == 400 - 8 - 1
+    whole = toxicity.learned_texts(docs, sample, 1 << 28).collect()
+    assert len(whole) == 400 and [r.text for r in whole if r.text.startswith("z")] == ["zzz" + "x" * 2999]
+
+
+def test_log_count_ratios_and_weights_equal_a_plain_fit():
+    rng = np.random.default_rng(5)
+    texts = [[int(f) for f in rng.choice(12, 4, replace=False)] for _ in range(60)]
+    examples = [(int(3 in t or (7 in t and rng.random() < 0.7)), np.array(sorted(t), "<i4")) for t in texts]
+    having = np.zeros((2, 12), int)
+    for y, found in examples:
+        having[y, found] += 1
+    positives = sum(y for y, _ in examples)
+    ratio, used = toxicity.log_count_ratios(having[1], having[0], positives, len(examples) - positives)
+    for f in range(12):
+        a, b = having[1, f] + 1, having[0, f] + 1
+        assert math.isclose(ratio[f], math.log(a / (positives + 2)) - math.log(b / (len(examples) - positives + 2)))
+        assert used[f] == (abs(ratio[f]) >= toxicity.LEAST_ERRORS * math.sqrt(1 / a + 1 / b))
+    used[:] = True
+    wide, mark = np.zeros(toxicity.FEATURES), np.zeros(toxicity.FEATURES, bool)
+    wide[:12], mark[:12] = ratio, used
+    model = toxicity.weigh(examples, wide, mark, 0.25)
+    # The same descent on dense rows, one example at a time.
+    w, b, sw, sb = [0.0] * 12, 0.0, [1e-8] * 12, 1e-8
+    for _ in range(toxicity.STEPS):
+        gw, gb = [1e-5 * x for x in w], 0.0
+        for y, found in examples:
+            z = b + sum(w[f] * float(np.float32(ratio[f])) for f in found)
+            e = (1 / (1 + math.exp(-z)) - y) * (0.5 / positives if y else 0.5 / (len(examples) - positives))
+            gb += e
+            for f in found:
+                gw[f] += e * float(np.float32(ratio[f]))
+        sb += gb * gb
+        b -= 0.1 * gb / math.sqrt(sb)
+        for f in range(12):
+            sw[f] += gw[f] ** 2
+            w[f] -= 0.1 * gw[f] / math.sqrt(sw[f])
+    assert np.allclose(model["weights"][:12], [w[f] * ratio[f] for f in range(12)], rtol=1e-4, atol=1e-6)
+    assert math.isclose(model["bias"], b + math.log(0.25 / 0.75), rel_tol=1e-6)
+
+
+def test_a_sample_gives_no_key_more_than_one_row(spark):
+    hot = [(7, "a", str(k)) for k in range(5000)] + [(i, "ab"[i % 2], "t") for i in range(300)]
+    frame = spark.createDataFrame(hot, "id long, lang string, text string").repartition(8)
+    found, counts = sampling.sample_by_class(frame, "lang", frame.id, 10_000)
+    assert counts == {"a": 5150, "b": 150}
+    assert sorted((r.id, r.lang) for r in found.collect()) == sorted({(i, lang) for i, lang, _ in hot})
+
+
 def test_toxicity_of_held_out_rows(table):
     scored = toxicity.score_toxicity(table("documents"), table("labels"))
     assert held_accuracy(scored, table("labels").withColumnRenamed("toxic", "truth").select("doc_id", "truth"), "predicted") > 0.9

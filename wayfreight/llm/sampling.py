@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def sample_by_class(rows: DataFrame, label: str, key: Column, per_class: int, most_classes: int = 500) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each class, picked by a hash of ``key``, and the rows there are by class.
 
-    The result holds at most twice ``per_class`` rows for each class, also where one key repeats
-    without end. More classes than ``most_classes`` stop the job: then the label is not a class.
+    Of a key that repeats within a class one row stays, which is settled map-side, so that no key
+    takes the places of others. More classes than ``most_classes`` stop the job: then the label is not a class.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(most_classes + 1).collect()}
     if len(counts) > most_classes:
@@ -21,4 +21,5 @@ def sample_by_class(rows: DataFrame, label: str, key: Column, per_class: int, mo
     wanted = F.lit(False)
     for value, n in counts.items():
         wanted = wanted | ((F.col(label) == F.lit(value)) & (share < min(1.0, per_class / n)))
-    return rows.filter(wanted).limit(2 * per_class * len(counts)), counts
+    keyed = rows.filter(wanted).withColumn("__key", key)
+    return keyed.dropDuplicates([label, "__key"]).drop("__key"), counts

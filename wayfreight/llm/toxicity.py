@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfreight.llm.common import LOWER, in_fold, narrow, sliced, stored, text_bytes
@@ -20,6 +20,8 @@ FEATURES = BINS * len(LEVELS)
 PARTS = 12  # in which counts of features travel
 #: The model is fitted on a bounded sample of labelled documents.
 DOCUMENTS_PER_CLASS = 2000
+#: Texts it learns from are so many bytes together, half of them for each class; none is longer than a 32nd of that.
+MOST_SAMPLE_BYTES = 24 << 20
 #: Log-count ratios within so many standard errors of zero are chance; their n-grams are left out.
 LEAST_ERRORS = 3.0
 STEPS = 120
@@ -141,6 +143,22 @@ def weigh(examples: list[tuple[int, np.ndarray]], ratio: np.ndarray, used: np.nd
     return {"weights": weights, "bias": float(bias + np.log(share / (1 - share)))}
 
 
+def learned_texts(rows: DataFrame, sample: DataFrame, most_bytes: int = MOST_SAMPLE_BYTES) -> DataFrame:
+    """(label, text) of the sample's documents, one text for each id, at most ``most_bytes`` together.
+
+    Repeated ids combine map-side, the greatest text stays. Which texts are within the bound goes by a hash
+    of the id; that order is made over ids and sizes of the bounded sample only.
+    """
+    chosen = rows.join(F.broadcast(sample), F.col("id") == F.col("label_id"))
+    kept = stored(chosen.groupBy("label_id", "label").agg(F.max("text").alias("text")), "toxicity-sample")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    sizes = kept.select("label_id", "label", size.alias("size")).filter(F.col("size") <= most_bytes // 32)
+    order = Window.partitionBy("label").orderBy(F.xxhash64("label_id", F.lit("order")), "label_id")
+    within = sizes.withColumn("upto", F.sum("size").over(order)).filter(F.col("upto") <= most_bytes // 2)
+    fitting = within.select(F.col("label_id").alias("fitting_id"))
+    return kept.join(F.broadcast(fitting), F.col("label_id") == F.col("fitting_id"), "left_semi").select("label", "text").repartition(16)
+
+
 def fit(chosen: DataFrame, counts: dict) -> dict:
     """A model from rows of label and text; ``counts`` has the rows there are by label.
 
@@ -197,10 +215,11 @@ def score_toxicity(
 
     Labels are learned only from rows whose crc32 of the id does not leave ``remainder``. The sample of
     labels is bounded by ``DOCUMENTS_PER_CLASS`` a class and goes to the documents by broadcast; whole
-    texts of the sample are learned from.
+    texts of the sample are learned from, within ``MOST_SAMPLE_BYTES``, which also bounds the driver's memory.
 
     Defined cases: null and empty texts get the score of a text without n-grams; a null label is no
-    label, of several labels of one id the largest counts; without labels of both classes every text
+    label, of several labels of one id the largest counts, of several texts of one id the greatest is
+    learned from; without labels of both classes every text
     gets the share of label 1; a null id is not held out; repeated rows repeat; an empty table stays
     empty; other columns are not looked at.
     """
@@ -209,7 +228,5 @@ def score_toxicity(
     known = known.filter(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~in_fold("label_id", modulus, remainder))
     known = known.groupBy("label_id").agg(F.max("label").alias("label"))
     sample, counts = sample_by_class(known, "label", F.col("label_id"), DOCUMENTS_PER_CLASS)
-    chosen = rows.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select("label", "text")
-    bounded = chosen.limit(4 * DOCUMENTS_PER_CLASS).repartition(16)  # an id may repeat in the documents
-    model = fit(bounded, counts)
+    model = fit(learned_texts(rows, sample), counts)
     return rows.mapInArrow(_score_batches(model), "doc_id bigint, held_out boolean, score double, predicted int")
