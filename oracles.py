@@ -445,6 +445,19 @@ _HITS_SQL = " UNION ALL ".join(
     for label, where, count in _RULE_HITS
 )
 
+_RULE_TEXTS = [(f"ui: {old}", "type = 'streamlit'", _ui_after(n), old) for n, (old, _) in enumerate(_UI_RULES)] + [
+    (f"py: {old}", "type IN ('python', 'api') AND contains(content, 'snowpark')", text, old)
+    for old, text in (("from snowflake.snowpark import", "content"), ("snowpark.Session", _PY_1), ("session.", _PY_2))
+]
+# No rule writes or crosses the end of a line, so a line has the same number in every step.
+_PLACES_SQL = " UNION ALL ".join(
+    f"""SELECT app_id, path, '{label}' AS rule, line, {_hits("l", old)} AS n, strpos(l, '{old}') AS first_at,
+               length(l) - length('{old}') + 2 - strpos(reverse(l), reverse('{old}')) AS last_at
+        FROM (SELECT app_id, path, unnest(string_split({text}, chr(10))) AS l, generate_subscripts(string_split({text}, chr(10)), 1) AS line
+              FROM facts WHERE is_component AND {where}) WHERE contains(l, '{old}')"""
+    for label, where, text, old in _RULE_TEXTS
+)
+
 # --- the sales fact --------------------------------------------------------------------------------
 
 SALES = """
@@ -711,6 +724,11 @@ ORACLES: dict[str, str] = {
     },
     "rewrite_hits": f"""WITH {FACTS} SELECT app_id, rule, CAST(sum(n) AS BIGINT) AS hits FROM ({_HITS_SQL})
     GROUP BY app_id, rule HAVING sum(n) > 0""",
+    "rewrite_places": f"""WITH {FACTS} SELECT app_id, path, CAST(line AS INTEGER) AS line, count(DISTINCT rule) AS n_rules, CAST(sum(n) AS BIGINT) AS hits,
+           CASE WHEN count(DISTINCT rule) = 1 THEN max(rule) END AS rule,
+           CAST(CASE WHEN count(DISTINCT rule) = 1 THEN min(first_at) END AS INTEGER) AS first_column,
+           CAST(CASE WHEN count(DISTINCT rule) = 1 THEN max(last_at) END AS INTEGER) AS last_column
+    FROM ({_PLACES_SQL}) GROUP BY app_id, path, line""",
     # sales
     **{
         name: f"""WITH {SALES} SELECT {"".join(f"{c}, " for c in by)}CAST(sum(revenue) AS DECIMAL(28,2)) AS total_revenue,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfreight import rules
 from wayfreight.functions import revenue
 from wayfreight.functions.text import contains_any
-from wayfreight.operators import appfacts, changes, classify, cube, deps, manifest, rewrite, sales, semi, upkeep, versions
+from wayfreight.operators import appfacts, changes, classify, cube, deps, manifest, places, rewrite, sales, semi, upkeep, versions
 from wayfreight.plans import estate as plans
 from wayfreight.plans.migration import with_saved_facts
 from wayfreight.schemas import TABLES
@@ -461,6 +461,20 @@ def rewrite_hits(spark, data_dir):
     return rewrite.rewrite_hits(sample_estate(spark, data_dir).files)
 
 
+@query
+def rewrite_places(spark, data_dir):
+    """Hits by file, rule and line of the source, with the first and last column of those lines that one rule alone touches."""
+    found = places.rewrite_places(sample_estate(spark, data_dir).files)
+    lines = found.groupBy("app_id", "path", "line").agg(
+        F.count_distinct("rule").alias("n_rules"), F.max("rule").alias("rule"), F.count("*").alias("hits"),
+        F.min("column").alias("first_column"), F.max("column").alias("last_column"),
+    )
+    alone = F.col("n_rules") == 1
+    return lines.select(
+        "app_id", "path", "line", "n_rules", "hits", *[F.when(alone, F.col(c)).alias(c) for c in ("rule", "first_column", "last_column")]
+    )
+
+
 # --- sales -----------------------------------------------------------------------------------------
 
 
