@@ -532,6 +532,33 @@ _FACT_COLUMNS = """app_id, python_files, sql_files, components, ui_pages, unread
 REVENUE = "CAST(sum(revenue) AS DECIMAL(28,2)) AS revenue"
 ORDERS = "CAST(sum(order_count) AS BIGINT) AS"
 
+GRANTS = DOCS + """, grants AS (
+    SELECT app_id, 'grants/' || doc_id || '.sql' AS path, 1 AS statement_no, 'ROLE' AS grantee_kind, 'R' || i AS grantee,
+           CAST(NULL AS VARCHAR) AS role, unnest(['SELECT', 'INSERT']) AS privilege, 'TABLE' AS object_type, 'APP_SCHEMA.T' || i AS object FROM d
+    UNION ALL SELECT app_id, 'grants/' || doc_id || '.sql', 2, 'ROLE', 'R0', NULL, 'USAGE', 'ALL TABLES IN SCHEMA', '"App s"' FROM d
+    UNION ALL SELECT app_id, 'grants/' || doc_id || '.sql', 3, 'ROLE', 'R' || (i // 2), 'R' || i, NULL, NULL, NULL FROM d WHERE i > 0
+    UNION ALL SELECT app_id, 'grants/' || doc_id || '.sql', 3, 'ROLE', 'R5', 'R0', NULL, NULL, NULL FROM d WHERE i = 0 AND g % 3 = 0
+    UNION ALL SELECT app_id, 'grants/' || doc_id || '.sql', 4, 'USER', 'U' || (i % 3), 'R' || i, NULL, NULL, NULL FROM d WHERE i % 4 = 1
+), walked AS (
+    SELECT DISTINCT app_id, grantee_kind, grantee, role, 1 AS hops FROM grants WHERE role IS NOT NULL
+    UNION
+    SELECT w.app_id, w.grantee_kind, w.grantee, e.role, w.hops + 1
+    FROM walked w JOIN grants e ON e.app_id = w.app_id AND e.grantee_kind = 'ROLE' AND e.grantee = w.role AND e.role IS NOT NULL
+    WHERE w.hops < 22
+), chains AS (
+    SELECT app_id, grantee_kind, grantee, role, CAST(min(hops) AS BIGINT) AS hops FROM walked GROUP BY ALL
+), targets AS (
+    SELECT * FROM (VALUES ('USAGE', 'USE SCHEMA'), ('SELECT', 'SELECT')) AS v(privilege, target)
+), levels AS (
+    SELECT app_id, name, CAST(1 + (SELECT count(*) FROM chains c WHERE c.app_id = n.app_id AND c.grantee_kind = 'ROLE'
+           AND c.grantee = n.name AND c.role <> n.name) AS INTEGER) AS level
+    FROM (SELECT app_id, grantee AS name FROM grants WHERE grantee_kind = 'ROLE' UNION SELECT app_id, role FROM grants WHERE role IS NOT NULL) n
+)"""
+DRIFTING = """kinds AS (
+    SELECT *, CASE WHEN o_orderkey % 13 = 0 THEN 'missing' WHEN o_orderkey % 17 = 0 THEN 'broken' WHEN o_orderkey % 11 = 0 THEN 'empty'
+                   WHEN o_orderkey % 7 = 0 THEN 'text' WHEN o_orderkey % 5 = 0 THEN 'other' ELSE 'whole' END AS kind FROM orders
+)"""
+
 ORACLES: dict[str, str] = {
     # sources and sinks
     "estate_scan": f"""WITH {FILES}{MANIFEST_TEXTS_TAIL}
@@ -705,6 +732,24 @@ ORACLES: dict[str, str] = {
     UNION ALL SELECT app_id, 2, 1, 'create_schema', lower(app_id) || '_catalog.main' FROM apps
     UNION ALL SELECT app_id, entry_no + 2, object_no, CASE target WHEN 'needs_review' THEN target ELSE 'grant' END,
            target || ' on ' || coalesce(object_type, '?') || ' ' || coalesce(object, '?') FROM mapped WHERE entry_key <> 'remark'""",
+    "grant_statements": f"WITH RECURSIVE {GRANTS} SELECT * FROM grants",
+    "role_chains": f"WITH RECURSIVE {GRANTS} SELECT * FROM chains",
+    "effective_grants": f"""WITH RECURSIVE {GRANTS}, given AS (
+        SELECT app_id, grantee_kind, grantee, privilege, object_type, object, 0 AS hops FROM grants WHERE privilege IS NOT NULL
+        UNION ALL SELECT c.app_id, c.grantee_kind, c.grantee, g.privilege, g.object_type, g.object, c.hops
+        FROM chains c JOIN grants g ON g.app_id = c.app_id AND g.grantee_kind = 'ROLE' AND g.grantee = c.role AND g.privilege IS NOT NULL
+    ) SELECT app_id, grantee_kind, grantee, privilege, object_type, object, CAST(min(hops) AS BIGINT) AS hops,
+             coalesce(target, 'needs_review') AS target
+    FROM given LEFT JOIN targets USING (privilege) GROUP BY ALL""",
+    "role_plan": f"""WITH RECURSIVE {GRANTS}
+    SELECT app_id, 1 AS phase, level, 'create_role' AS action, name AS detail FROM levels
+    UNION ALL SELECT DISTINCT g.app_id, 2, level, CASE WHEN target IS NULL THEN 'needs_review' ELSE 'grant' END,
+           coalesce(target, privilege) || ' on ' || object_type || ' ' || object || ' to ROLE ' || grantee
+    FROM grants g LEFT JOIN targets USING (privilege) JOIN levels l ON l.app_id = g.app_id AND l.name = grantee WHERE privilege IS NOT NULL
+    UNION ALL SELECT DISTINCT g.app_id, 3, l.level, CASE WHEN EXISTS (SELECT 1 FROM chains c WHERE c.app_id = g.app_id AND g.grantee_kind = 'ROLE'
+               AND c.grantee_kind = 'ROLE' AND c.grantee = g.role AND c.role = g.grantee) THEN 'needs_review' ELSE 'grant_role' END,
+           g.role || ' to ' || g.grantee_kind || ' ' || g.grantee
+    FROM grants g JOIN levels l ON l.app_id = g.app_id AND l.name = g.role WHERE g.role IS NOT NULL""",
     # rewriting
     "rewrite_ui": f"WITH {REWRITTEN} SELECT app_id, path, new_content AS content FROM rewritten WHERE type = 'streamlit'",
     "rewrite_py": f"WITH {REWRITTEN} SELECT app_id, path, new_content AS content FROM rewritten WHERE type IN ('python', 'api')",
@@ -740,6 +785,10 @@ ORACLES: dict[str, str] = {
     "monthly_sales": f"""WITH {SALES} SELECT year, month, region, CAST(sum(revenue) AS DECIMAL(28,2)) AS total_revenue,
            {ORDERS} total_orders, count(DISTINCT customer_id) AS unique_customers
     FROM sales GROUP BY year, month, region""",
+    "stored_sales": f"WITH {SALES} SELECT * EXCLUDE (product_name) FROM sales",
+    "stored_monthly_sales": f"""WITH {SALES} SELECT year, month, region, CAST(sum(revenue) AS DECIMAL(28,2)) AS total_revenue,
+           {ORDERS} total_orders, count(DISTINCT customer_id) AS unique_customers
+    FROM sales WHERE year BETWEEN 1997 AND 2000 GROUP BY year, month, region""",
     "sales_filter": f"""WITH {SALES} SELECT year, region, order_id, customer_id, product_name, month, revenue
     FROM sales WHERE {DASHBOARD}""",
     "sales_kpis": f"""WITH {SALES} SELECT CAST(coalesce(sum(revenue), 0) AS DECIMAL(28,2)) AS total_sales,
@@ -809,6 +858,31 @@ ORACLES: dict[str, str] = {
            unnest([CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority]) AS value FROM orders""",
     "lateral_flatten": """SELECT event_type, j.key, count(*) AS n, CAST(sum(TRY_CAST(j.value->>'$' AS BIGINT)) AS BIGINT) AS total
     FROM events, json_each(props) j GROUP BY ALL""",
+    "variant_schema": f"""WITH {ORDER_OBJECTS} SELECT count(object) AS texts,
+           'OBJECT<of: OBJECT<customer: BIGINT, priority: STRING>, status: STRING, year: BIGINT>' AS schema FROM objects""",
+    "variant_paths": f"""WITH {DRIFTING}, types AS (
+        SELECT * FROM (VALUES ('missing', '$', 'MISSING'), ('broken', '$', 'UNREADABLE'), ('empty', '$', 'OBJECT'),
+            ('text', '$', 'OBJECT'), ('text', '$.status', 'STRING'), ('text', '$.year', 'STRING'), ('text', '$.of', 'OBJECT'),
+            ('text', '$.of.customer', 'BIGINT'), ('text', '$.of.note', 'OBJECT'), ('text', '$.of.note[''is late'']', 'BOOLEAN'),
+            ('other', '$', 'OBJECT'), ('other', '$.status', 'VOID'), ('other', '$.year', 'STRING'), ('other', '$.of', 'STRING'),
+            ('other', '$.extra', 'ARRAY<BIGINT>'),
+            ('whole', '$', 'OBJECT'), ('whole', '$.status', 'STRING'), ('whole', '$.year', 'BIGINT'), ('whole', '$.of', 'OBJECT'),
+            ('whole', '$.of.customer', 'BIGINT'), ('whole', '$.of.priority', 'STRING')) AS v(kind, path, type)
+    ) SELECT path, type, count(*) AS rows FROM kinds JOIN types USING (kind) GROUP BY ALL""",
+    "variant_typed": f"""WITH {DRIFTING} SELECT o_orderkey, CASE WHEN kind IN ('text', 'whole') THEN o_orderstatus END AS status,
+           CASE WHEN kind IN ('text', 'whole') THEN CAST(year(o_orderdate) AS INTEGER) END AS year,
+           CASE WHEN kind IN ('text', 'whole') THEN o_custkey END AS customer,
+           CASE kind WHEN 'broken' THEN '$' WHEN 'other' THEN 'year' ELSE '' END AS misfits FROM kinds""",
+    "variant_drift": f"""WITH {DRIFTING}
+    SELECT '$.status' AS path, count(*) FILTER (kind IN ('text', 'whole')) AS present, CAST(0 AS BIGINT) AS misfits, true AS declared FROM kinds
+    UNION ALL SELECT '$.year', count(*) FILTER (kind IN ('text', 'whole', 'other')), count(*) FILTER (kind = 'other'), true FROM kinds
+    UNION ALL SELECT '$.of.customer', count(*) FILTER (kind IN ('text', 'whole')), 0, true FROM kinds
+    UNION ALL SELECT path, n, NULL, false FROM (
+        SELECT '$.of' AS path, count(*) FILTER (kind = 'other') AS n FROM kinds
+        UNION ALL SELECT '$.extra', count(*) FILTER (kind = 'other') FROM kinds
+        UNION ALL SELECT '$.of.note[''is late'']', count(*) FILTER (kind = 'text') FROM kinds
+        UNION ALL SELECT '$.of.priority', count(*) FILTER (kind = 'whole') FROM kinds
+    ) WHERE n > 0""",
     "array_flatten_agg": """SELECT position, count(*) AS n, round(avg(v), 6) AS mean, min(v) AS low, max(v) AS high FROM (
         SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS position, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings
     ) GROUP BY position""",

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from wayfreight import rules
 from wayfreight.functions import revenue
 from wayfreight.functions.text import contains_any
-from wayfreight.operators import appfacts, changes, classify, cube, deps, manifest, places, rewrite, sales, semi, upkeep, versions
+from wayfreight.operators import appfacts, changes, classify, cube, deps, grants, manifest, places, rewrite, sales, semi, upkeep, variants, versions
 from wayfreight.plans import estate as plans
 from wayfreight.plans.migration import with_saved_facts
 from wayfreight.schemas import TABLES
 from wayfreight.session import shared_dir
-from wayfreight.sources import files, sample_corpus, source_tree, tree
+from wayfreight.sources import files, layout, sample_corpus, source_tree, tree
 from wayfreight.sources.tables import sales_data, table
 from wayfreight.streaming import ledger
 from wayfreight.streaming.load import copy_into
@@ -410,6 +410,34 @@ def provisioning_plan(spark, data_dir):
     return manifest.provisioning_plan(e.apps, e.privileges)
 
 
+def _grants(spark, data_dir):
+    """The grants of the sample estate, stored, and its chains of roles."""
+    at = shared_dir(spark, "grants")
+    grants.grant_statements(sample_corpus.granting_files(spark, data_dir)).write.parquet(at)
+    found = spark.read.parquet(at)
+    return found, grants.role_chains(found)
+
+
+@query
+def grant_statements(spark, data_dir):
+    return grants.grant_statements(sample_corpus.granting_files(spark, data_dir))
+
+
+@query
+def role_chains(spark, data_dir):
+    return _grants(spark, data_dir)[1]
+
+
+@query
+def effective_grants(spark, data_dir):
+    return grants.effective_grants(*_grants(spark, data_dir))
+
+
+@query
+def role_plan(spark, data_dir):
+    return grants.role_plan(*_grants(spark, data_dir))
+
+
 # --- rewriting -------------------------------------------------------------------------------------
 
 
@@ -519,6 +547,19 @@ def _dashboard(spark, data_dir, *columns):
     return sales.sales_filter(fact, DASHBOARD_YEAR, REGIONS.split(","))
 
 
+@query
+def stored_sales(spark, data_dir):
+    """The fact from tables stored by order and year."""
+    return layout.stored_sales(spark, layout.write_layout(spark, data_dir))
+
+
+@query
+def stored_monthly_sales(spark, data_dir):
+    """The rollup of the years before the forecast, from tables stored by order and year."""
+    stored = layout.write_layout(spark, data_dir)
+    return sales.monthly_sales(layout.stored_sales(spark, stored, FORECAST_YEAR - 4, FORECAST_YEAR - 1))
+
+
 @query
 def sales_filter(spark, data_dir):
     return _dashboard(spark, data_dir, "order_id", "customer_id", "product_name", "month", "revenue")
@@ -752,6 +793,47 @@ def lateral_flatten(spark, data_dir):
     return semi.lateral_flatten(table(spark, data_dir, "events"), "props", "event_type")
 
 
+def _drifting_objects(spark, data_dir):
+    """One JSON object per order, some with other types, paths of their own, or no JSON at all."""
+    key, year = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
+    inner = F.struct(F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"))
+    whole = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"), inner.alias("of")))
+    as_text = F.concat(F.lit('{"status":"'), "o_orderstatus", F.lit('","year":"'), year, F.lit('","of":{"customer":'), "o_custkey", F.lit(',"note":{"is late":true}}}'))
+    text = (
+        F.when(key % 13 == 0, F.lit(None))
+        .when(key % 17 == 0, '{"status": ')
+        .when(key % 11 == 0, "{}")
+        .when(key % 7 == 0, as_text)
+        .when(key % 5 == 0, '{"status":null,"year":"unknown","of":"none","extra":[1,2]}')
+        .otherwise(whole)
+    )
+    return table(spark, data_dir, "orders").select("o_orderkey", text.alias("object"))
+
+
+ORDER_FIELDS = {"status": ("$.status", "string"), "year": ("$.year", "int"), "customer": ("$.of.customer", "bigint")}
+
+
+@query
+def variant_schema(spark, data_dir):
+    return variants.variant_schema(_order_objects(spark, data_dir), "object")
+
+
+@query
+def variant_paths(spark, data_dir):
+    return variants.path_types(_drifting_objects(spark, data_dir), "object")
+
+
+@query
+def variant_typed(spark, data_dir):
+    found = variants.typed(_drifting_objects(spark, data_dir), "object", ORDER_FIELDS, ["o_orderkey"])
+    return found.withColumn("misfits", F.concat_ws(",", "misfits"))
+
+
+@query
+def variant_drift(spark, data_dir):
+    return variants.drift(_drifting_objects(spark, data_dir), "object", ORDER_FIELDS)
+
+
 @query
 def array_flatten_agg(spark, data_dir):
     return semi.array_flatten_agg(table(spark, data_dir, "embeddings"), "embedding")

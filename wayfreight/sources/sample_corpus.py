@@ -183,6 +183,23 @@ def pinned_files(spark: SparkSession, data_dir: str) -> DataFrame:
     return decode_files(raw_files(spark, data_dir).unionByName(more))
 
 
+def granting_files(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The decoded files, and for each document a file of grants: its role joins a tree, in some applications with a cycle."""
+    cols = _app_columns(F.col("doc_id"))
+    g, i = F.col("g"), F.col("i")
+    docs = table(spark, data_dir, "documents").select(*[cols[c].alias(c) for c in ("g", "i", "app_id")], "doc_id")
+    text = F.concat(
+        F.lit("-- GRANT ROLE r98 TO ROLE r0;\ngrant select, Insert\n ON TABLE app_schema.t"), i, F.lit(" TO APPLICATION ROLE r"), i,
+        F.lit(";\n/* GRANT ROLE r99\n TO ROLE r0; */ GRANT USAGE ON ALL TABLES IN SCHEMA \"App s\" to role R0 WITH GRANT OPTION;\n"),
+        F.when(i > 0, F.concat(F.lit("GRANT ROLE r"), i, F.lit(" TO ROLE r"), F.floor(i / 2), F.lit(";\n"))).otherwise(
+            F.when(g % 3 == 0, F.lit("Grant Database Role R0 to Database Role r5;\n")).otherwise("")
+        ),
+        F.when(i % 4 == 1, F.concat(F.lit("GRANT APPLICATION ROLE r"), i, F.lit(" TO USER u"), i % 3)).otherwise(""),
+    )
+    more = docs.select("app_id", F.concat(F.lit("grants/"), "doc_id", F.lit(".sql")).alias("path"), text.cast("binary").alias("content"))
+    return decode_files(raw_files(spark, data_dir).unionByName(more))
+
+
 def apps(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every application folder, with or without usable files."""
     return (
