@@ -343,7 +343,30 @@ def test_contaminated_documents_go(spark, tricky, nothing):
     assert decontaminate.find_contamination(tricky, bench.limit(0)).count() == 0
 
 
-def test_too_large_a_benchmark_stops(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MOST_BENCHMARK_BYTES", 10)
-    with pytest.raises(ValueError, match="benchmark"):
-        decontaminate.load_benchmark(spark.createDataFrame([(1, "some text")], "item_id long, text string"))
+@pytest.mark.parametrize("most", [60_000, 3_000, 400])
+def test_parts_of_a_benchmark_give_the_same_matches(spark, monkeypatch, most):
+    """Templated items share shingles across parts; texts hold them whole, edited, mixed and with words lost."""
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    frames = [word(12) for _ in range(4)]
+    items = [(k, f"{frames[k % 4]} {word(25)} {frames[(k + 1) % 4]}") for k in range(60)] + [(60, "one two"), (61, ""), (5, word(30))]
+    texts = []
+    for k in range(150):
+        words = f"{items[k % 60][1]}".split()
+        if k % 3:
+            words[int(rng.integers(0, len(words)))] = frames[k % 4] if k % 3 == 1 else "x"
+        texts.append((k, f"{word(20)} {' '.join(words)} {frames[k % 4]} {word(9)}"))
+    texts += [(150, "One Two"), (151, None), (152, word(400))]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted(tuple(r) for r in decontaminate.find_contamination(docs, bench, every_length=True).collect())
+    whole = found()
+    monkeypatch.setattr(decontaminate, "MOST_BENCHMARK_BYTES", most)
+    split = found()
+    assert [r[:2] + r[3:] for r in split] == [r[:2] + r[3:] for r in whole]
+    assert [r[2] for r in split] == pytest.approx([r[2] for r in whole])
+    assert {(k, k % 60) for k in range(0, 150, 3)} <= {r[:2] for r in whole}
+    with monkeypatch.context() as m:
+        m.setattr(decontaminate, "MOST_SHARED", 3)
+        if most < 60_000:
+            with pytest.raises(ValueError, match="several items"):
+                found()

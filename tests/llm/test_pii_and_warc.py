@@ -159,5 +159,7 @@ def test_account_numbers_end_before_other_words():
     assert found(f"AB12 {number} X") == [number]
     assert found(f"{number} {number} GB82WEST12345698765432 OK") == [number, number, "GB82WEST12345698765432"]
     assert found("DE88 3704 0044 0532 0130 00 BIC") == []
+    too_long = "DE85370400440532013000AB"  # passes modulo 97, but DE has 22 characters
+    assert pii.mod97(too_long) and found(too_long) == []
     unlisted = next(f"ZZ{k:02} 1234 5678 9012" for k in range(2, 99) if pii.mod97(f"ZZ{k:02}123456789012"))
     assert found(unlisted + " X") == [unlisted]

@@ -30,13 +30,21 @@ def in_fold(id_col: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+#: So many ids may go to every task as they are; of more, a filter goes there and tells which rows may be meant.
+MOST_BROADCAST_IDS = 1 << 18
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of docs, all their columns as they are, whose id is not among ``ids``.
 
-    Rows without an id cannot be named and stay.
+    Rows without an id cannot be named and stay. Few ids are broadcast, and no row moves. Where there are more, a filter of them is, and
+    docs are read twice: rows whose id cannot be among them stay where they are, only the others shuffle.
     """
     gone = ids.select(F.col(id_col).alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+    if gone.count() <= MOST_BROADCAST_IDS:
+        return docs.join(F.broadcast(gone), docs[id_col] == gone["__gone_id"], "left_anti")
+    unsure, certain = split_among(docs, id_col, gone, "__gone_id")
+    return certain.unionByName(unsure.join(gone.hint("merge"), unsure[id_col] == gone["__gone_id"], "left_anti"))
 
 
 def by_row(
@@ -252,20 +260,40 @@ def _slot(key: Column, k: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits))
 
 
-def perhaps_among(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose value may be among the keys (all that are, and few others), without a shuffle.
-
-    A Bloom filter of the keys is broadcast as (word, bits) rows; ``MOST_FILTER_BITS`` bounds its size.
-    """
+def _filter_of(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A Bloom filter of the keys as (word, set_bits) rows, stored, and its bits; ``MOST_FILTER_BITS`` bounds its size."""
     bits = 1 << max(12, min(MOST_FILTER_BITS, 16 * keys.count()).bit_length() - 1)
     slots = keys.select(F.explode(F.array(*[_slot(F.col(key), k, bits) for k in range(2)])).alias("slot"))
     words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("set_bits")
     )
-    words = stored(words, "membership-filter")
+    return stored(words, "membership-filter"), bits
+
+
+def perhaps_among(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose value may be among the keys (all that are, and few others), without a shuffle.
+
+    A Bloom filter of the keys is broadcast as (word, bits) rows; ``MOST_FILTER_BITS`` bounds its size.
+    """
+    words, bits = _filter_of(keys, key)
     for k in range(2):
         part = words.select(F.col("word").alias(f"__word{k}"), F.col("set_bits").alias(f"__bits{k}"))
         tested = df.withColumn("__slot", _slot(df[column], k, bits))
         hit = F.expr(f"shiftright(__slot, 6) = __word{k} AND (shiftright(__bits{k}, cast(__slot % 64 as int)) & 1L) = 1L")
         df = tested.join(F.broadcast(part), hit, "left_semi").drop("__slot")
     return df
+
+
+def split_among(df: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(Rows whose value may be among the keys, rows whose value is not or is null): each row is in one of the two.
+
+    As ``perhaps_among`` without a shuffle; both read df.
+    """
+    words, bits = _filter_of(keys, key)
+    marked, maybe = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[column].alias("value")), F.col("value").isNotNull()
+    for k in range(2):
+        part = words.select(F.col("word").alias(f"word{k}"), F.col("set_bits").alias(f"bits{k}"))
+        slotted = marked.withColumn(f"slot{k}", _slot(F.col("value"), k, bits))
+        marked = slotted.join(F.broadcast(part), F.shiftright(f"slot{k}", 6) == F.col(f"word{k}"), "left")
+        maybe = maybe & F.coalesce(F.expr(f"(shiftright(bits{k}, cast(slot{k} % 64 as int)) & 1L) = 1L"), F.lit(False))
+    return marked.filter(maybe).select("row.*"), marked.filter(~maybe).select("row.*")

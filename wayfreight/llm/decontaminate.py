@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfreight.llm.common import by_row, mix, narrow, shingle_hashes, sliced, stored, text_bytes, without, word_hashes, words_of
+from wayfreight.llm.common import by_row, mix, narrow, sets_of, shingle_hashes, sliced, stored, text_bytes, without, word_hashes, words_of
 
 SHINGLE = 5  # words
 LEAST_SIMILARITY = 0.8
 BITS = 256  # of a fingerprint
 RADIUS = 63  # Hamming distance within which all fingerprints are found
 BLOCKS = 16  # of a fingerprint; each has its own table
-#: The benchmark goes to every task. More text than this stops the job instead of flooding it.
-MOST_BENCHMARK_BYTES = 64 << 20
+#: The benchmark goes to every task. One with more text than this is gone through in parts of about this size.
+MOST_BENCHMARK_BYTES = 16 << 20
+#: With each part go the counts of all shingles that several items of the benchmark have. More of them stop the job.
+MOST_SHARED = 1 << 22
 
 #: Words are runs of ASCII letters and digits and of all bytes beyond ASCII.
 _WORD = np.zeros(256, bool)
@@ -51,11 +53,12 @@ class Benchmark:
     """The items as weighted shingles and fingerprints, with tables of their fingerprint blocks.
 
     A shingle weighs the more, the fewer items have it: log(1 + items / items with it). Nothing here
-    depends on the documents. Fingerprints take square roots of weights: the angle between them then follows
+    depends on the documents. For a part of a benchmark, ``whole`` has the number of items with shingles in all of it,
+    the shingles that several of them have, and how many have each. Fingerprints take square roots of weights: the angle between them then follows
     the weighted Jaccard similarity, also where a few shingles outweigh all others.
     """
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], whole: tuple[int, np.ndarray, np.ndarray] | None = None):
         raw = [t.encode() for t in texts]
         ends = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -69,18 +72,25 @@ class Benchmark:
             self.vocabulary = np.zeros(0, np.uint64)
             return
         self.vocabulary, having = np.unique(np.concatenate([s for s, _ in sets]), return_counts=True)
-        self.weight = np.log1p(len(sets) / having)
+        n_items = len(sets)
+        if whole:
+            n_items, shared, times = whole
+            self.vocabulary = np.union1d(self.vocabulary, shared)
+            having = np.ones(len(self.vocabulary), np.int64)
+            having[np.searchsorted(self.vocabulary, shared)] = times
+        self.weight = np.log1p(n_items / having)
         self.cells = np.zeros(1 << 20, bool)  # of hashes, to pass over most other shingles
         self.cells[self.vocabulary.astype(np.int64) & (len(self.cells) - 1)] = True
         #: What any shingle outside the benchmark weighs: as one that a single item has.
-        self.other_weight = float(np.log1p(len(sets)))
+        self.other_weight = float(np.log1p(n_items))
         self.items = [(np.searchsorted(self.vocabulary, s), c) for s, c in sets]
         self.total = np.array([(self.weight[v] * c).sum() for v, c in self.items])
-        pairs = sorted((int(v), k) for k, (vs, _) in enumerate(self.items) for v in vs)
-        self.holders = np.array([k for _, k in pairs])
-        times = {(int(v), k): int(c) for k, (vs, cs) in enumerate(self.items) for v, c in zip(vs, cs)}
-        self.holder_times = np.array([times[pair] for pair in pairs])
-        self.holder_at = np.searchsorted(np.array([v for v, _ in pairs]), np.arange(len(self.vocabulary) + 1))
+        place = np.concatenate([v for v, _ in self.items])
+        item = np.repeat(np.arange(len(self.items)), [len(v) for v, _ in self.items])
+        order = np.lexsort((item, place))
+        self.holders = item[order]
+        self.holder_times = np.concatenate([c for _, c in self.items])[order]
+        self.holder_at = np.searchsorted(place[order], np.arange(len(self.vocabulary) + 1))
         self.prints = np.stack([
             _pack(((np.sqrt(self.weight[v]) * c)[None, :].astype(np.float32) @ _signs(self.vocabulary[v])))[0] for v, c in self.items
         ])
@@ -280,15 +290,50 @@ def _match_batches(bench: Benchmark, every_length: bool):
     return run
 
 
-def load_benchmark(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Benchmark:
-    """All items, once their size is known to be within MOST_BENCHMARK_BYTES."""
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles of each item; the first of each is marked, so that items are counted with them."""
+    for batch in sliced(batches, "text", 4 << 20):
+        sets = list(sets_of(*text_bytes(batch.column("text")), SHINGLE, _WORD))
+        sizes = [len(s) for s in sets]
+        first = np.zeros(sum(sizes), bool)
+        first[np.cumsum([0, *sizes])[:-1][np.array(sizes) > 0]] = True
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)),
+                pa.array(first),
+            ],
+            names=["shingle", "first"],
+        )
+
+
+def benchmark_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Benchmark]:
+    """The items, in one part if they have at most MOST_BENCHMARK_BYTES, else in several of about so many or one longer item.
+
+    A part is made when it is asked for. Weights are those of the whole benchmark, whose shingles Spark counts: what a
+    part does not have of it and several items share comes with its count, and all else weighs as what one item has.
+    So matches do not hang on the parts.
+    """
     items = benchmark.select(benchmark[id_col].cast("bigint").alias("id"), benchmark[text_col].cast("string").alias("text"))
     items = items.filter("id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    if size > MOST_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; split it into parts of at most {MOST_BENCHMARK_BYTES}")
-    rows = sorted(items.collect())
-    return Benchmark([r[0] for r in rows], [r[1] for r in rows])
+    if size <= MOST_BENCHMARK_BYTES:
+        rows = sorted(items.collect())
+        yield Benchmark([r[0] for r in rows], [r[1] for r in rows])
+        return
+    parts = size // MOST_BENCHMARK_BYTES + 1
+    dealt = stored(items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")), "benchmark-items")
+    shingles = stored(dealt.select("text").mapInArrow(_shingle_batches, "shingle bigint, first boolean"), "benchmark-shingles")
+    n_items = shingles.filter("first").count()
+    shared = stored(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("items")).filter("items > 1"), "benchmark-shared")
+    if (many := shared.count()) > MOST_SHARED:
+        raise ValueError(f"{many} shingles are in several items of the benchmark; at most {MOST_SHARED} go to every task")
+    counts = shared.toArrow()
+    hashes = counts["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    whole = n_items, hashes[order], counts["items"].to_numpy()[order]
+    for part in range(parts):
+        rows = sorted(dealt.filter(F.col("part") == part).select("id", "text").collect())
+        yield Benchmark([r[0] for r in rows], [r[1] for r in rows], whole)
 
 
 def find_contamination(
@@ -310,14 +355,24 @@ def find_contamination(
     ``every_length`` asks for the same in any text where no window of the item's length matches: a
     passage may have lost or gained words. ``n_words`` is the window's own length.
 
+    A benchmark above MOST_BENCHMARK_BYTES is gone through in parts, one pass over the texts for each, with the
+    same matches.
+
     Defined cases: null and empty texts match nothing; items without text or id are not looked for; an
     item of fewer than five words matches only a text that consists of exactly its words; repeated
     items and rows each give their own row; an empty table gives an empty result; other columns are
     not looked at.
     """
-    bench = load_benchmark(benchmark, item_col, item_text_col)
     schema = "doc_id bigint, item_id bigint, similarity double, first_word bigint, n_words bigint"
-    return narrow(docs, id_col, text_col).mapInArrow(_match_batches(bench, every_length), schema)
+    texts = narrow(docs, id_col, text_col)
+    found, parts = None, benchmark_parts(benchmark, item_col, item_text_col)
+    bench, following = next(parts), next(parts, None)
+    while following is not None:  # each part has its own pass over the texts; its matches are stored
+        part = stored(texts.mapInArrow(_match_batches(bench, every_length), schema), "benchmark-matches")
+        found = part if found is None else found.unionByName(part)
+        bench, following = following, next(parts, None)
+    last = texts.mapInArrow(_match_batches(bench, every_length), schema)
+    return last if found is None else found.unionByName(last)
 
 
 def drop_contaminated(

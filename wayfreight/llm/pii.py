@@ -120,7 +120,7 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    """From each place where one may begin: as long as its country has it, or the whole match, if it passes modulo 97.
+    """From each place where one may begin: as long as its country has it, if it passes modulo 97.
 
     The pattern takes words in capitals and digits that follow, so the end of any word inside the match
     may be the number's; for countries that are not listed the longest that passes is taken.
@@ -134,7 +134,7 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
         fixed = _IBAN_LENGTH.get(text[start : start + 2])
         ends = [e for e in reversed(whole) if sizes[e] >= 15]
         if fixed:
-            ends = [e for e in ends if sizes[e] == fixed] + [end]
+            ends = [e for e in ends if sizes[e] == fixed]
         for e in ends:
             if mod97(text[start:e].replace(" ", "")):
                 yield start, e
@@ -210,7 +210,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lift above the threshold. Offsets count code points.
 
     Defined cases: a null text is empty and has no spans (the digest is that of the empty string); a
-    null id stays null; repeated rows repeat; other columns are not looked at.
+    null id stays null; repeated rows repeat; an empty table gives an empty result; other columns are not
+    looked at.
     """
     schema = (
         "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
