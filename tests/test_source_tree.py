@@ -171,3 +171,13 @@ def test_missing_roots_and_folders(spark, tmp_path):
     reader = reader_for(str(tmp_path))
     (row,) = [r for b in reader.read(source_tree.Folders([("a", "gone")])) for r in b.to_pylist()]
     assert (row["path"], row["kind"], row["error"]) == ("gone", None, "FileNotFoundError")
+
+
+def test_the_query_leaves_the_walk_to_tasks(spark, monkeypatch):
+    """Where a query is planned one process lists all folders; the reader travels by value, so the planner's has no walk either."""
+    from wayfreight.plans.catalogue import QUERIES
+
+    monkeypatch.setattr(source_tree.SourceTreeReader, "_walked", None)
+    found = QUERIES["tree_source"](spark, "/root/testdata/sf0.001")
+    wanted = QUERIES["estate_scan"](spark, "/root/testdata/sf0.001").filter("kind IN ('python', 'sql') AND NOT startswith(path, 'pages/')")
+    assert rows(found) == rows(wanted) != []

@@ -66,9 +66,14 @@ def stage_listing(spark, data_dir):
 
 @query
 def tree_source(spark, data_dir):
-    """The estate through the data source: Python and SQL files outside the pages, chosen before any is opened."""
+    """The estate through the data source: Python and SQL files outside the pages, chosen before any is opened.
+
+    Tasks list the folders first: the source's own walk would go through all of them where the query is planned.
+    """
     chosen = F.col("kind").isin("python", "sql") & ~F.col("path").startswith("pages/")
-    found = source_tree.source_tree(spark, _materialised(spark, data_dir), chosen)
+    root, at = _materialised(spark, data_dir), shared_dir(spark, "listing")
+    tree.save_listing(tree.list_tree(spark, root), at)
+    found = source_tree.source_tree(spark, root, chosen, listing=at)
     return files.decode_files(found).select(
         "app_id", "path", "kind", "readable", F.md5(F.col("content").cast("binary")).alias("text_md5")
     )
