@@ -58,3 +58,14 @@ def test_buckets_grow_with_the_tables(spark, monkeypatch):
     made = layout.write_layout(spark, DATA)
     assert made.buckets > 2
     layout.drop_layout(spark, made)
+
+
+def test_buckets_grow_with_rows_however_small_their_files(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BUCKET_ROWS", 1_000, raising=False)
+    made = layout.write_layout(spark, DATA)
+    many = sum(spark.read.parquet(f"{DATA}/{name}.parquet").count() for name in ("orders", "lineitem"))
+    assert made.buckets == -(-many // 1_000) > 2
+    want = sales_data(spark, DATA).drop("product_name")
+    fact = layout.stored_sales(spark, made)
+    assert fact.count() == want.count() and fact.select(want.columns).exceptAll(want).isEmpty()
+    layout.drop_layout(spark, made)

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from wayfreight.session import shared_dir
 from wayfreight.sources.tables import net_revenue, table
 
-#: Bytes of the stored tables' sources that make one bucket, over all years.
+#: Bytes of the stored tables' sources, and rows of both, that make one bucket, over all years. What a task sorts goes by
+#: rows: files of values that repeat hold ten times as many in a byte.
 BUCKET_BYTES = 256 << 20
+BUCKET_ROWS = 2_000_000
 LINES = ["l_orderkey", "l_partkey", "l_extendedprice", "l_discount"]
 
 
@@ -34,14 +36,20 @@ def _bytes(spark: SparkSession, path: str) -> int:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
 
 
+def _buckets(spark: SparkSession, data_dir: str) -> int:
+    names = ("orders", "lineitem")
+    size = sum(_bytes(spark, f"{data_dir}/{name}.parquet") for name in names)
+    many = sum(table(spark, data_dir, name).count() for name in names)  # from the footers, no column is read
+    return max(1, -(-size // BUCKET_BYTES), -(-many // BUCKET_ROWS))
+
+
 def write_layout(spark: SparkSession, data_dir: str, buckets: int | None = None) -> Layout:
     """Store lines and orders as two tables with names of their own in the catalog, files in the shared folder.
 
     Each bucket is written by one task, so a table has one file for each bucket and year. Lines without a known order have
     no year and are left out, as every query over the fact leaves them out.
     """
-    sizes = sum(_bytes(spark, f"{data_dir}/{name}.parquet") for name in ("orders", "lineitem"))
-    buckets = buckets or max(1, -(-sizes // BUCKET_BYTES))
+    buckets = buckets or _buckets(spark, data_dir)
     name = uuid.uuid4().hex
     layout = Layout(f"lines_{name}", f"orders_{name}", buckets)
 
