@@ -162,3 +162,21 @@ def test_a_range_of_documents_reads_few_rows(spark, many):
 def test_unknown_encoding(documents):
     with pytest.raises(ValueError, match="encoding"):
         tokenfiles.writer_options("plain")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abstrevmld' 12\n.,!_~éÿſǅµªº²×÷\x7f"), max_size=40), max_size=5))
+def test_plain_chunks_are_cut_as_the_library_cuts_them(texts):
+    assert [ids.tolist() for ids in tokenfiles.encoder().encode(texts)] == library(texts)
+
+
+def test_plain_chunks_go_to_the_model_alone(monkeypatch):
+    import public_tokenizers
+
+    encoder = tokenfiles.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole, seen = encoder._whole, []
+    monkeypatch.setattr(encoder, "_whole", lambda texts: seen.extend(texts) or whole(texts))
+    text = "first it's a'll, \"réf\" 12.5!? one\ntwo the µ end"
+    assert encoder.encode([text])[0].tolist() == library([text])[0]
+    assert "first" in seen and not any(c in t for t in seen for c in ("it's", "réf", "12.5", "end"))
+    assert any("µ" in t for t in seen)  # its class is in doubt

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +39,20 @@ INDEX = "part int, first_doc bigint, last_doc bigint, docs bigint, tokens bigint
 CUT = r" (?=\S)"
 #: A blank that is no such place.
 OTHER_BLANK = r" (?!\S)"
+#: Characters whose class in the byte-level pattern is beyond doubt: printable ASCII, Latin letters, and a line feed inside.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+PLAIN = rf"[!-~{LETTERS}]+(?:\n+[!-~{LETTERS}]+)*"
+#: The byte-level pattern over these characters.
+PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n0-9{LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+"
+BETWEEN = "\0"  # stands in no plain chunk
 
 
 class ChunkEncoder:
     """Encodes whole texts with the tokenizers library, chunk by chunk; chunks that come again are looked up.
 
     Natural text repeats its words, so most chunks are known after some documents. The others go to the library
-    some at a time as one text, with a line feed before each, whose tokens fall apart at the chunks' bytes.
+    some at a time as one text, with a line feed before each, whose tokens fall apart at the chunks' bytes. Those of plain
+    characters are cut by the pattern here and go to the library's model alone.
     """
 
     def __init__(self, vocabulary: str):
@@ -52,7 +60,7 @@ class ChunkEncoder:
         import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given each task its core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -63,12 +71,40 @@ class ChunkEncoder:
             self.width[i] = len(token)
         self.cut = re.compile(CUT).split
         self.odd = re.compile(OTHER_BLANK).search
+        self.plain = re.compile(PLAIN).fullmatch
+        self.pieces = re.compile(PIECES).findall
+        # The same model by itself: pieces come to it as the pattern cuts them and as the vocabulary spells them.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(BETWEEN)
+        self.spelled = byte_spelling() | {ord(BETWEEN): BETWEEN}
+        self.by_model = by_this_pattern(self.tokenizer) and vocab.keys() >= set(byte_spelling().values())
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
 
-    def _chunks(self, text: str) -> list[str]:
-        """The text at its cuts; all chunks but the first have lost their blank."""
-        return self.cut(text) if self.odd(text) else text.split(" ")
+    def _chunks(self, texts: list[str]) -> tuple[list[int], pa.Array, np.ndarray]:
+        """The texts at their cuts: places of the texts, all their chunks, n + 1 offsets. All chunks but a text's first have lost their blank."""
+        odd = [k for k, t in enumerate(texts) if self.odd(t)]
+        apart = set(odd)
+        even = [k for k in range(len(texts)) if k not in apart]
+        by_blank = pc.split_pattern(pa.array([texts[k] for k in even], pa.string()), " ")
+        by_cut = pa.array([self.cut(texts[k]) for k in odd], pa.list_(pa.string()))
+        sizes = np.concatenate([pc.list_value_length(lists).to_numpy() for lists in (by_blank, by_cut)]).astype(np.int64)
+        return even + odd, pa.concat_arrays([by_blank.flatten(), by_cut.flatten()]), np.concatenate(([0], np.cumsum(sizes)))
+
+    def _by_model(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of plain chunks with their blank. The library's own cutting of short texts costs more than its model."""
+        if not chunks:
+            return {}
+        pieces = self.pieces(" " + " ".join(chunks))
+        texts = [BETWEEN.join(pieces[k : k + LEARN_TOGETHER]) for k in range(0, len(pieces), LEARN_TOGETHER)]
+        texts = [
+            t.replace(" ", "Ġ").replace("\n", "Ċ") if t.isascii() else t.encode().decode("latin-1").translate(self.spelled) for t in texts
+        ]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum([(len(c) if c.isascii() else len(c.encode())) + 1 for c in chunks])
+        at = (4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()
+        raw = ids.tobytes()
+        return {c: raw[a:b] for c, a, b in zip(chunks, [0, *at[:-1]], at)}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -76,6 +112,13 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of chunks with their blank, from texts of some of them at a time."""
+        plain = [c for c in chunks if self.plain(c)] if self.by_model else []
+        if len(plain) == len(chunks):
+            return self._by_model(plain)
+        apart = set(plain)
+        return self._by_model(plain) | self._learn_whole([c for c in chunks if c not in apart])
+
+    def _learn_whole(self, chunks: list[str]) -> dict[str, bytes]:
         # White space at the end of a chunk would run into the line feed after it: such chunks go alone.
         alone = [c for c in chunks if c[-1].isspace() or c[-1] < " "]
         if alone:
@@ -92,27 +135,58 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, little-endian unsigned 32-bit."""
+        return [np.frombuffer(raw, "<u4") for raw in self.encode_raw(texts)]
+
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
+        """The bytes of the ids of each text."""
         if len(self.known) > MOST_CHUNKS:
             self.earlier, self.known = self.known, {}
-        chunked = [self._chunks(t) for t in texts]
-        heads = self._whole([c[0] for c in chunked])
-        for c in chunked:
-            del c[0]
-        missing = set().union(*chunked).difference(self.known)
-        if self.earlier and missing:
-            again = missing.intersection(self.earlier)
-            self.known |= {c: self.earlier[c] for c in again}
-            missing -= again
+        if not texts:
+            return []
+        order, chunks, at = self._chunks(texts)
+        rest = np.ones(len(chunks), bool)
+        rest[at[:-1]] = False
+        heads = self._whole(chunks.filter(pa.array(~rest)).to_pylist())
+        coded = chunks.filter(pa.array(rest)).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # as to_pylist, several times faster
+        ids = list(map(self.known.get, distinct))
+        unknown = [k for k, raw in enumerate(ids) if raw is None]
+        found = {distinct[k]: self.earlier.get(distinct[k]) for k in unknown}
+        missing = [c for c, raw in found.items() if raw is None]
         if missing:
-            self.known |= self._learn(list(missing))
-        ids_of = self.known.__getitem__
-        out = [np.frombuffer(head.tobytes() + b"".join(map(ids_of, c)), "<u4") for head, c in zip(heads, chunked)]
-        for c in missing:
-            if len(c) > CHUNK_CHARS:
-                del self.known[c]
+            found |= self._learn(missing)
+        for k in unknown:
+            ids[k] = found[distinct[k]]
+        self.known |= {c: raw for c, raw in found.items() if len(c) <= CHUNK_CHARS}
+        laid = pa.array(ids, pa.large_binary()).take(coded.indices)
+        _, ends, data = laid.buffers()
+        ends = np.frombuffer(ends, np.int64)[laid.offset :][at - np.arange(len(at))].tolist() if len(laid) else [0] * len(at)
+        data = memoryview(data or b"")
+        out = [b""] * len(texts)
+        for k, head, a, b in zip(order, heads, ends[:-1], ends[1:]):
+            out[k] = head.tobytes() + data[a:b]
         return out
 
 
+def byte_spelling() -> dict[int, str]:
+    """The character by which a byte-level vocabulary spells each byte."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def by_this_pattern(tokenizer) -> bool:
+    """Whether the tokenizer is byte-level BPE that cuts by the pattern of ``PIECES`` and nothing else."""
+    import json
+
+    made = json.loads(tokenizer.to_str())
+    cuts, model = made["pre_tokenizer"] or {}, made["model"]
+    plain_model = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+    by_bytes = cuts.get("type") == "ByteLevel" and cuts.get("use_regex") and not cuts.get("add_prefix_space")
+    special = all(t["special"] for t in made["added_tokens"])  # these are ordinary text here
+    return bool(by_bytes and special and made["normalizer"] is None and model["type"] == "BPE" and plain_model)
+
+
 def encoder(vocabulary: str | None = None) -> ChunkEncoder:
     """The encoder of a vocabulary file, made once in each worker. Default: the public 50k byte vocabulary."""
     import public_tokenizers
@@ -133,12 +207,12 @@ def _encode_batches(vocabulary: str | None, end_id: int | None):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = encoder(vocabulary).encode
-        last = np.array([] if end_id is None else [end_id], "<u4")
+        encode = encoder(vocabulary).encode_raw
+        last = np.array([] if end_id is None else [end_id], "<u4").tobytes()
         place = 0
-        for batch in sliced(batches, "text", 2 << 20):
-            ids = [np.concatenate((i, last)) for i in encode([t or "" for t in batch.column("text").to_pylist()])]
-            n = np.array([len(i) for i in ids], np.int64)
+        for batch in sliced(batches, "text", 4 << 20):
+            ids = [raw + last for raw in encode([t or "" for t in batch.column("text").to_pylist()])]
+            n = np.array([len(raw) // 4 for raw in ids], np.int64)
             at = np.concatenate(([0], np.cumsum(n)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -146,7 +220,7 @@ def _encode_batches(vocabulary: str | None, end_id: int | None):
                     pa.array(np.full(len(ids), part, np.int32)),
                     pa.array(place + at[:-1]),
                     pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))),
                 ],
                 names=["doc_id", "part", "start_in_part", "n_tokens", "token_ids"],
             )
